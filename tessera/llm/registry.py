@@ -18,6 +18,39 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import language_id
+    from tessera.llm.sampling import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, fold(F.col("doc_id"), 5) != 0)
+    found = language_id.identify(docs, model, F.col("doc_id").cast("long"), "doc_id")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+    from tessera.llm.sampling import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, index).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality_rules
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -25,18 +58,54 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality_classifier
+    from tessera.llm.sampling import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return quality_classifier.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: Base-32 of SHA-1: eight groups of five hex digits, each four characters.
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), g AS (SELECT h, max(page_id) AS holder FROM p GROUP BY h)
+SELECT p.page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(p.h, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = g.holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id = g.holder THEN NULL ELSE g.holder END AS refers_to
+FROM p JOIN g ON p.h = g.h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_toxicity": op2_toxicity,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_warc_round_trip": op8_warc_round_trip,
         "op10_harmonic_packing": op10_harmonic_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_round_trip": OP8_SQL}

@@ -38,6 +38,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, index).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality_rules
 
@@ -74,6 +80,12 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat_format import as_transcripts, format_transcripts
+
+    return format_transcripts(as_transcripts(_table(spark, sf_dir, "conversations")))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -98,11 +110,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_toxicity": op2_toxicity,
+        "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_warc_round_trip": op8_warc_round_trip,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_harmonic_packing": op10_harmonic_packing,
     }
 

@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     named = member.join(nodes, "_fp")
     best = named.groupBy("m").agg(F.min("least").alias("component"))
     renamed = written(named.join(best, "m").select("_fp", "component"), "components")
-    label = nodes.join(renamed, "_fp", "left").select("_fp", F.coalesce("component", "least").alias("component_id"))
+    # Written, so that both sides of the last join are plain scans and a fingerprint with very many copies can be split.
+    label = written(nodes.join(renamed, "_fp", "left").select("_fp", F.coalesce("component", "least").alias("component_id")), "labels")
     return prints.join(label, "_fp").select("doc_id", "_fp", "component_id")
 
 

@@ -98,7 +98,7 @@ WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS h FROM pages
 ), g AS (SELECT h, max(page_id) AS holder FROM p GROUP BY h)
 SELECT p.page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(((CAST('0x' || substr(p.h, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
   CASE WHEN p.page_id = g.holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id = g.holder THEN NULL ELSE g.holder END AS refers_to

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, K1, K2, RANGE = 7, 0.01, 0.03, 255.0
 
@@ -64,14 +65,14 @@ def dtw(cost: np.ndarray, band: int | None = None) -> float:
     return float(acc[n, m])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dtw_series(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Warping distance of two arrays of numbers by absolute difference."""
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None or not len(x) or not len(y) else dtw(np.abs(np.subtract.outer(np.asarray(x, float), np.asarray(y, float)))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dtw_vectors(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Warping distance of two arrays of unit vectors by one less their product."""
     for a, b in pairs:
@@ -140,7 +141,7 @@ def ssim_of_frames(pairs: DataFrame, frame_a: str, frame_b: str, keys: list[str]
     return s.groupBy(*keys).agg(F.avg(local).alias("ssim"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ssim_frames(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Structural similarity of two flat square frames of the given width."""
     for a, b, width in pairs:

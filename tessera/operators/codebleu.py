@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.codegraph import parse
 
@@ -96,7 +97,7 @@ def _share(candidate: Counter, reference: Counter) -> float:
     return sum(min(c, candidate[k]) for k, c in reference.items()) / total if total else 1.0
 
 
-@F.pandas_udf("struct<syntax: double, dataflow: double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("syntax", "dataflow")]))
 def tree_matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Syntax and data-flow match of candidates with references; 0 for a candidate, null for a reference that doesn't parse."""
     for candidate, reference in pairs:

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import dotted_head, dotted_rest
 
@@ -117,7 +118,7 @@ def names_of_many(codes: Iterable[str | None]) -> tuple[set[str], set[str]]:
     return scope.called, scope.touched
 
 
-@F.pandas_udf("struct<calls: array<string>, vars: array<string>>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("calls", "vars")]))
 def code_names(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Sorted names of each program."""
     for part in codes:
@@ -125,7 +126,7 @@ def code_names(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"calls": [sorted(a) for a, _ in pairs], "vars": [sorted(b) for _, b in pairs]})
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def parses(codes: pd.Series) -> pd.Series:
     return codes.map(lambda c: parse(c) is not None)
 

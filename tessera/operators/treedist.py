@@ -5,9 +5,9 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.codegraph import parse
 
@@ -47,35 +47,42 @@ def _keyroots(left: list[int]) -> list[int]:
 
 def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> int:
     """Fewest insertions, deletions and renamings that turn one tree into the other."""
+    if a == b:
+        return 0
     (la, ka), (lb, kb) = a, b
     kinds = {s: i for i, s in enumerate(dict.fromkeys(la + lb))}
-    xa, xb = (np.array([kinds[s] for s in x]) for x in (la, lb))
-    ka_arr, kb_arr = np.array(ka), np.array(kb)
-    dist = np.zeros((len(la), len(lb)), np.int64)
+    xa, xb = [kinds[s] for s in la], [kinds[s] for s in lb]
+    dist = [[0] * len(lb) for _ in la]
+    roots_b = _keyroots(kb)
     for i in _keyroots(ka):
-        for j in _keyroots(kb):
-            li, lj = ka[i], kb[j]
-            rows, cols = i - li + 2, j - lj + 2
-            forest = np.zeros((rows, cols), np.int64)
-            forest[:, 0], forest[0] = np.arange(rows), np.arange(cols)
-            whole_b = kb_arr[lj : j + 1] == lj
-            back_b = kb_arr[lj : j + 1] - lj
-            for x in range(1, rows):
-                at = li + x - 1
-                same_root = ka[at] == li
-                cost = (xa[at] != xb[lj : j + 1]).astype(np.int64)
-                rename = forest[x - 1, :-1] + cost
-                graft = forest[ka[at] - li, back_b] + dist[at, lj : j + 1]
-                best = np.minimum(forest[x - 1, 1:] + 1, np.where(whole_b, rename, graft) if same_root else graft)
-                # Insertions run along the row: min over k of best[k] + (y - k), as a running minimum.
-                steps = np.arange(1, cols)
-                forest[x, 1:] = np.minimum.accumulate(np.concatenate([[forest[x, 0]], best - steps]))[1:] + steps
-                if same_root:
-                    dist[at, lj : j + 1] = np.where(whole_b, forest[x, 1:], dist[at, lj : j + 1])
-    return int(dist[-1, -1])
-
-
-@F.pandas_udf("struct<norm: double, raw: double, max: double, syntax_error: boolean, reference_error: boolean>")
+        li = ka[i]
+        for j in roots_b:
+            lj = kb[j]
+            above = list(range(j - lj + 2))
+            forest = [above]
+            for x in range(li, i + 1):
+                label, back, known = xa[x], forest[ka[x] - li], dist[x]
+                whole = ka[x] == li
+                now = left = x - li + 1
+                row = [now]
+                for y in range(lj, j + 1):
+                    at = y - lj
+                    left += 1
+                    if (best := above[at + 1] + 1) < left:
+                        left = best
+                    if whole and kb[y] == lj:
+                        if (best := above[at] + (label != xb[y])) < left:
+                            left = best
+                        known[y] = left
+                    elif (best := back[kb[y] - lj] + known[y]) < left:
+                        left = best
+                    row.append(left)
+                forest.append(row)
+                above = row
+    return dist[-1][-1]
+
+
+@F.pandas_udf(T.StructType([*[T.StructField(c, T.DoubleType()) for c in ("norm", "raw", "max")], *[T.StructField(c, T.BooleanType()) for c in ("syntax_error", "reference_error")]]))
 def code_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Distance of generated and expected programs, by the larger tree; nulls where either doesn't parse."""
     for generated, expected in pairs:
@@ -91,7 +98,7 @@ def code_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["norm", "raw", "max", "syntax_error", "reference_error"]).astype({"norm": "float64", "raw": "float64", "max": "float64"})
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def tree_nodes(codes: pd.Series) -> pd.Series:
     """Nodes of each program's tree; null where it doesn't parse."""
     return codes.map(lambda c: None if (t := parse(c)) is None else len(postorder(t)[0])).astype("Int32")

@@ -58,6 +58,21 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
         li = ka[i]
         for j in roots_b:
             lj = kb[j]
+            # One node against a tree: all but one node are inserted, and that one is renamed unless the label is there.
+            if li == i:
+                label, there = xa[i], 0
+                for y in range(lj, j + 1):
+                    there = there or xb[y] == label
+                    if kb[y] == lj:
+                        dist[i][y] = y - lj + 1 - there
+                continue
+            if lj == j:
+                label, there = xb[j], 0
+                for x in range(li, i + 1):
+                    there = there or xa[x] == label
+                    if ka[x] == li:
+                        dist[x][j] = x - li + 1 - there
+                continue
             above = list(range(j - lj + 2))
             forest = [above]
             for x in range(li, i + 1):

@@ -242,8 +242,9 @@ def syntax_validity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_distance(spark: SparkSession, d: str) -> DataFrame:
-    # Much work for each row: dealt out evenly, whatever the files hold.
-    p = _programs(spark, d).where("expected IS NOT NULL").repartition(F.col("p_partkey")).select("p_partkey", treedist.code_distance("code", "expected").alias("t"))
+    # Much work for each row: dealt out evenly, whatever the files hold and however small they are.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = _programs(spark, d).where("expected IS NOT NULL").repartition(n, "p_partkey").select("p_partkey", treedist.code_distance("code", "expected").alias("t"))
     return p.select("p_partkey", "t.raw", "t.max", rounded(F.col("t.norm")).alias("norm"), "t.syntax_error")
 
 

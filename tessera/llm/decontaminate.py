@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import carried, text_column
 from tessera.shipping import ship
 
 #: Tokens of a seed, so of the shortest tile.
@@ -157,7 +158,7 @@ _HIT = pa.struct([("item_id", pa.int64()), ("item_tokens", pa.int64()), ("tiled_
 _HIT_SQL = "array<struct<item_id: bigint, item_tokens: bigint, tiled_tokens: bigint, tiles: bigint, coverage: double>>"
 
 
-def _with_hits(docs: DataFrame, items: list[tuple[int, str]], carry: Column, name: str, size: int, threshold: float) -> DataFrame:
+def _with_hits(docs: DataFrame, items: list[tuple[int, str]], carry: Column | None, name: str, size: int, threshold: float) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = _HIT.names
@@ -165,10 +166,10 @@ def _with_hits(docs: DataFrame, items: list[tuple[int, str]], carry: Column, nam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(shared.value, size)
         for batch in batches:
-            hits = [[dict(zip(names, h, strict=True)) for h in index.matches(t.as_py(), threshold)] for t in batch.column(1)]
+            hits = [[dict(zip(names, h, strict=True)) for h in index.matches(t.as_py(), threshold)] for t in text_column(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(_HIT))], [name, "hits"])
 
-    rows = docs.select(carry.alias(name), "text")
+    rows = carried(docs, carry, name)
     return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, hits {_HIT_SQL}")
 
 
@@ -187,6 +188,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, thresh
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that cover no test item to the threshold, with all their columns."""
     for items in blocks(benchmark):
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        docs = _with_hits(docs, items, row, "row", size, threshold).where(F.size("hits") == 0).select("row.*")
+        docs = _with_hits(docs, items, None, "row", size, threshold).where(F.size("hits") == 0).select("row.*")
     return docs

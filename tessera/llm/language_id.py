@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import carried, text_column
 from tessera.llm.sampling import fold
 from tessera.shipping import ship
 
@@ -166,8 +167,8 @@ def fit(docs: DataFrame, keep: Column) -> Model:
     return Model(texts)
 
 
-def identify(docs: DataFrame, model: Model, carry: Column, name: str) -> DataFrame:
-    """`carry` (as `name`), lang_pred, score for every row of docs; reads nothing but text.
+def identify(docs: DataFrame, model: Model, carry: Column | None, name: str) -> DataFrame:
+    """`carry` (or the whole row) as `name`, lang_pred, score for every row of docs; reads nothing but text.
 
     Null text or no letter: und, score 0; so is every text when no language was learned. Repeated rows and ties (the
     alphabetically first language) give equal results; very long texts are parsed whole. Empty table: no rows."""
@@ -176,12 +177,12 @@ def identify(docs: DataFrame, model: Model, carry: Column, name: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                lang, score = shared.value.predict(part.column(1).to_pylist())
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                lang, score = shared.value.predict(text_column(part).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], [name, "lang_pred", "score"])
 
-    rows = docs.select(carry.alias(name), "text")
+    rows = carried(docs, carry, name)
     return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -191,5 +192,5 @@ def held_out(doc_id: Column) -> Column:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs with a language that wins by more than half of the score, with all their columns."""
-    rows = identify(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "row")
+    rows = identify(docs, model, None, "row")
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import byte_texts, carried
 from tessera.llm.sampling import label_sample
 from tessera.llm.textstats import COUNTS, FEATURES, stats
 from tessera.shipping import ship
@@ -114,18 +115,18 @@ def expression(rules: list[Rule], stat: Column) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def with_stats(docs: DataFrame, keep: Column, name: str = "kept") -> DataFrame:
-    """`keep` (any column over docs, as `name`) and `stat`, the struct of FEATURES of the whole text."""
+def with_stats(docs: DataFrame, carry: Column | None, name: str) -> DataFrame:
+    """`carry` (or the whole row) as `name` and `stat`, the struct of FEATURES of the whole text."""
     ship(docs.sparkSession)
     kind = pa.struct([(f, pa.float64()) for f in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([stats(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(FEATURES))
+            values = np.array([stats(t.as_py()) for t in byte_texts(batch)], float).reshape(-1, len(FEATURES))
             stat = pa.StructArray.from_arrays([pa.array(values[:, i].copy()) for i in range(len(FEATURES))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([batch.column(0), stat], [name, "stat"])
 
-    rows = docs.select(keep.alias(name), F.col("text").cast("binary").alias("text"))
+    rows = carried(docs, carry, name)
     return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, stat struct<{', '.join(f'{f}: double' for f in FEATURES)}>")
 
 
@@ -158,5 +159,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    rows = with_stats(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "row")
+    rows = with_stats(docs, None, "row")
     return rows.where(~base_failed(F.col("stat")) & (expression(rules, F.col("stat")) == 0)).select("row.*")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.lineage import written
+from tessera.llm.rows import byte_texts, carried
 from tessera.shipping import ship
 
 #: Fingerprints to a tree, and so at most about twice that to a work unit.
@@ -47,19 +48,17 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, size: int = 3, column: str = "_fp") -> DataFrame:
-    """docs and its fingerprint as a signed long in `column`."""
+def with_fingerprints(docs: DataFrame, carry: Column | None, name: str, size: int = 3) -> DataFrame:
+    """`carry` (or the whole row) as `name`, and its fingerprint as a signed long in `_fp`."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            values = np.array([fingerprint(t.as_py(), size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], [*batch.schema.names[:-1], column])
+            values = np.array([fingerprint(t.as_py(), size) for t in byte_texts(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], [name, "_fp"])
 
-    kept = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("binary").alias(column)).mapInArrow(run, f"{schema}, {column} long")
+    rows = carried(docs, carry, name)
+    return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, _fp long")
 
 
 class BKTree:
@@ -242,7 +241,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     Null or wordless text: fingerprint 0, linked like any other. Repeated rows are returned once each. A null doc_id takes part but
     is never a component's id, unless the whole component has none. Very long texts are read whole. Empty table: no rows.
     Columns beyond doc_id and text are ignored."""
-    prints = written(with_fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), size).select("doc_id", "_fp"), "fingerprints")
+    prints = written(with_fingerprints(docs, F.col("doc_id").cast("long"), "doc_id", size), "fingerprints")
     nodes = prints.groupBy("_fp").agg(F.min("doc_id").alias("least"))
     star = stars(links(nodes.select("_fp"), radius))
     # The linked fingerprints, each with its component's smallest node, then that component's smallest doc_id.
@@ -264,8 +263,7 @@ def one_of_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     groups = near_duplicates(docs, radius, size)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_fp", key.alias("_key")).agg(F.lit(1).alias("_keep"))
-    # The whole row travels as one struct, so that no column of docs can clash with ours.
-    rows = with_fingerprints(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), size)
+    rows = with_fingerprints(docs, None, "row", size)
     kept = rows.select("row", "_fp", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("-")).alias("_key")).join(keepers, ["_fp", "_key"])
     first = F.row_number().over(Window.partitionBy("_fp", "_key").orderBy(F.xxhash64("row.text")))
     return kept.withColumn("_first", first).where("_first = 1").select("row.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sequence, templates, tokens, vectors
 from tessera.functions.vectors import rounded
-from tessera.operators import codebleu, codegraph, columns, docs, loop, samples, treedist
+from tessera.operators import codebleu, codegraph, columns, docs, evaluate, loop, rewards, samples, treedist
 from tessera.plans.registry import query
 from tessera.plans.responses import PAIRS_SQL, pairs
 from tessera.plans.scores import LINE, r6
@@ -337,3 +337,51 @@ def template_fill(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
 def total_order(spark: SparkSession, d: str) -> DataFrame:
     return columns.global_row_number(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "place", "o_totalprice", "o_orderkey").select("o_orderkey", "place")
+
+
+def _answer(df: DataFrame) -> DataFrame:
+    """Stands in for a model: some thinking, then a program named in the request."""
+    k = F.pmod(F.col("id"), F.lit(5))
+    code = F.when(k == 0, "").when(k == 1, "x = (").otherwise(F.concat(F.lit("Line("), F.length("request").cast("string"), F.lit(")")))
+    return df.withColumn("response", F.concat(F.lit("let me see</think>\n<code>"), code, F.lit("</code>")))
+
+
+def _show(df: DataFrame) -> DataFrame:
+    """Stands in for a renderer: what parses renders to its own text."""
+    ok = codegraph.parses("code")
+    return df.withColumn("success", ok).select("*", F.when(F.col("success"), F.col("code").cast("binary")).alias("artifact"), F.lit("").alias("info"), F.when(F.col("success"), "").otherwise("no").alias("errors"))
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    p = _programs(spark, d).where("expected IS NOT NULL").select(F.col("p_partkey").alias("id"), F.concat(F.lit("scene "), F.col("p_partkey").cast("string")).alias("text_script"), F.col("expected").alias("expected_code"), F.when(F.col("p_partkey") % 2 == 0, "1. go").alias("code_plan"))
+    share = lambda a, b: F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
+    return evaluate.evaluate(
+        p.where("id % 4 = 0"), _answer, _show,
+        lambda t: t.withColumn("codebert_similarity", share("generated_code", "expected_code")),
+        lambda t: t.withColumns({"ssim_score": share("generated_artifact", "expected_artifact"), "visual_semantic_score": F.lit(1.0)}),
+    )
+
+
+@query()
+def evaluation_run(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation with stand-ins for the model, the renderer and the encoders: one row a sample."""
+    return _evaluated(spark, d)
+
+
+@query()
+def evaluation_means(spark: SparkSession, d: str) -> DataFrame:
+    """Its fifteen means."""
+    return rewards.summary(_evaluated(spark, d))
+
+
+@query()
+def docs_augmented(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with a first program and notes on its names."""
+    dimension = spark.createDataFrame([("Line", "(start, end)", "A line. Examples: none")], "name string, sig string, doc string")
+
+    def notes(first: DataFrame) -> DataFrame:
+        n = first.select("id", codegraph.code_names("initial_code").alias("n")).select("id", codegraph.filter_names(F.col("n.calls")).alias("calls"), codegraph.filter_names(F.col("n.vars")).alias("v"))
+        return first.join(docs.notes(n.withColumn("assignments", codegraph.vars_beyond_calls(F.col("v"), F.col("calls"))), dimension, "id"), "id")
+
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("reviewed_description"))
+    return evaluate.augmented(s, _answer, notes)

@@ -121,3 +121,31 @@ def test_windows_of_a_stream(spark, tmp_path):
     want = rates.success_rate(df, F.col("ok")).orderBy("window_start").collect()
     assert got == want and [(r["n"], r["ok"], r["rate"]) for r in got] == [(2, 1, 0.5), (1, 1, 1.0)]
     assert math.isclose(json.loads("1.0"), got[1]["rate"])
+
+
+def test_evaluation(spark):
+    from tessera.operators import evaluate
+    from tessera.operators.rewards import summary
+    from tessera.plans.similarity import _show
+
+    rows = [(1, "Line(1)", "<code>Line(1)</code>"), (2, "Line(1)", "think</think><code> </code>"), (3, "Line(1)", "<code>x = (</code>"), (4, "x = (", "<code>Line(1)</code>")]
+    df = spark.createDataFrame([(k, f"t{k}", e, None) for k, e, _ in rows], "id long, text_script string, expected_code string, code_plan string")
+    said = spark.createDataFrame([(k, r) for k, _, r in rows], "id long, response string")
+    seen = []
+
+    def render(t):
+        seen.append(t.count())
+        return _show(t)
+
+    stages = (lambda t: t.join(said, "id"), render, lambda t: t.withColumn("codebert_similarity", F.lit(1.0)), lambda t: t.withColumns({"ssim_score": F.lit(0.64), "visual_semantic_score": F.lit(1.0)}))
+    got = {r["id"]: r for r in evaluate.evaluate(df, *stages).collect()}
+    assert seen == [2] and list(got[1].asDict())[1:] == list(evaluate.RESULT) and len(evaluate.RESULT) == 25
+    # One word has no runs of two and more, so its n-gram match is next to nothing; the other three matches are whole.
+    assert got[1]["codebleu"] == pytest.approx(0.75, abs=1e-3) and (got[1]["ast_distance_raw"], got[1]["visual_similarity"], got[1]["manim_render_success"]) == (0.0, 0.8, True)
+    assert (got[2]["codebleu"], got[2]["ast_distance_raw"], got[2]["syntax_error"], got[2]["manim_render_success"], got[2]["raw_generated_thinking"]) == (0.0, 0.0, True, False, "think")
+    assert (got[3]["ast_distance_raw"], got[3]["syntax_error"], got[3]["ssim_score"]) == (None, True, 0.0)
+    assert (got[4]["manim_render_success"], got[4]["visual_similarity"]) == (True, 0.0)
+    means = summary(evaluate.evaluate(df, *stages)).first()
+    assert means["manim_render_success"] == 0.5 and means["syntax_error"] == 0.5
+    with pytest.raises(RuntimeError, match="does not render"):
+        evaluate.evaluate(df, *stages, strict=True)

@@ -1,4 +1,4 @@
-"""CodeBLEU: n-gram and weighted n-gram match as joins, syntax and data-flow match from the programs' trees."""
+"""CodeBLEU: n-gram and weighted n-gram match by one count of both sides, syntax and data-flow match from the programs' trees."""
 
 from __future__ import annotations
 
@@ -23,42 +23,49 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n]+"), lambda w: w != "")
 
 
-def grams(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """keys, gram, c: how often each run of n words stands in a text. Counted before the shuffle."""
-    w = df.select(*keys, words(F.col(text)).alias("w")).where(F.size("w") >= n)
-    long = w.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram"))
-    return long.groupBy(*keys, "gram").agg(F.count("*").alias("c"))
+def _runs(w: Column, n: int) -> Column:
+    """Runs of n of an array's words, in order."""
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def counted(df: DataFrame, keys: list[str], candidate: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
+    """keys, n, gram, c, r: how often each run of n words stands in the candidate and in the reference; a row of nulls where neither has any.
+
+    Both sides go through one aggregation, whose map side does nearly all of it as a pair's runs come from one row: no join."""
+
+    def side(column: str, n: int, c: int, r: int) -> Column:
+        return F.transform(_runs(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(c).alias("c"), F.lit(r).alias("r")))
+
+    sides = [s for n in orders for s in (side("_cand", n, 1, 0), side("_ref", n, 0, 1))]
+    # Words are split off first, as columns: inside the runs they would be split again for each place.
+    split = df.select(*keys, words(F.col(candidate)).alias("_cand"), words(F.col(reference)).alias("_ref"))
+    long = split.select(*keys, F.explode_outer(F.concat(*sides)).alias("x"))
+    return long.groupBy(*keys, F.col("x.n").alias("n"), F.col("x.gram").alias("gram")).agg(F.sum("x.c").alias("c"), F.sum("x.r").alias("r"))
 
 
 def clipped_counts(df: DataFrame, keys: list[str], candidate: str, reference: str, n: int) -> DataFrame:
     """keys, matched, total: a candidate's runs of n words that the reference has, each as often at most, and all its runs."""
-    cand = grams(df, keys, candidate, n)
-    ref = grams(df, keys, reference, n).withColumnRenamed("c", "r")
-    both = cand.join(ref, [*keys, "gram"], "left")
-    return both.groupBy(*keys).agg(F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias("matched"), F.sum("c").alias("total"))
-
-
-def bleu(df: DataFrame, keys: list[str], candidate: str, reference: str, order: int = ORDER) -> DataFrame:
-    """keys, p1..pn, brevity, bleu. One table of counts by n, so that pairs are joined once; a precision without matches counts as 1/(2*total)."""
-    parts = None
-    for n in range(1, order + 1):
-        part = clipped_counts(df, keys, candidate, reference, n).withColumn("n", F.lit(n))
-        parts = part if parts is None else parts.unionByName(part)
-    share = F.when(F.col("matched") > 0, F.col("matched") / F.col("total")).otherwise(F.lit(1.0) / (2.0 * F.col("total")))
-    wide = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, share)).alias(f"p{n}") for n in range(1, order + 1)])
-    sizes = df.select(*keys, F.size(words(F.col(candidate))).alias("lc"), F.size(words(F.col(reference))).alias("lr"))
-    brevity = F.when(F.col("lc") >= F.col("lr"), 1.0).when(F.col("lc") == 0, 0.0).otherwise(F.exp(1.0 - F.col("lr") / F.col("lc")))
-    logs = sum((F.log(F.coalesce(f"p{n}", F.lit(1e-9))) for n in range(2, order + 1)), F.log(F.coalesce("p1", F.lit(1e-9))))
-    return sizes.join(wide, keys, "left").withColumn("brevity", brevity).select(*keys, *[f"p{n}" for n in range(1, order + 1)], "brevity", (F.col("brevity") * F.exp(logs / order)).alias("bleu"))
-
-
-def weighted_recall(df: DataFrame, keys: list[str], candidate: str, reference: str, heavy: tuple[str, ...] = tuple(keyword.kwlist), light: float = OTHER_WEIGHT) -> DataFrame:
-    """keys, weighted: weighted share of the reference's words that the candidate has, each as often at most."""
-    ref = grams(df, keys, reference, 1)
-    cand = grams(df, keys, candidate, 1).withColumnRenamed("c", "r")
+    return counted(df, keys, candidate, reference, (n,)).where("c > 0").groupBy(*keys).agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("total"))
+
+
+def ngram_scores(df: DataFrame, keys: list[str], candidate: str, reference: str, order: int = ORDER, heavy: tuple[str, ...] = tuple(keyword.kwlist), light: float = OTHER_WEIGHT) -> DataFrame:
+    """keys, p1..pn, brevity, bleu, weighted.
+
+    A precision without matches counts as 1/(2*total), one of a candidate too short for it as next to nothing. weighted is the weighted
+    share of the reference's words that the candidate has, each as often at most; null for a reference without words."""
+    at = lambda n, v: F.sum(F.when(F.col("n") == n, v))
     weight = F.when(F.col("gram").isin(*heavy), 1.0).otherwise(light)
-    both = ref.join(cand, [*keys, "gram"], "left").withColumn("wt", weight)
-    return both.groupBy(*keys).agg((F.sum(F.col("wt") * F.least("c", F.coalesce("r", F.lit(0)))) / F.sum(F.col("wt") * F.col("c"))).alias("weighted"))
+    both = F.least("c", "r")
+    sums = counted(df, keys, candidate, reference, tuple(range(1, order + 1))).groupBy(*keys).agg(
+        *[x for n in range(1, order + 1) for x in (at(n, both).alias(f"m{n}"), at(n, F.col("c")).alias(f"t{n}"))],
+        F.coalesce(at(1, F.col("r")), F.lit(0)).alias("lr"), at(1, weight * both).alias("wm"), at(1, weight * F.col("r")).alias("wt"),
+    )
+    lc = F.coalesce("t1", F.lit(0))
+    brevity = F.when(lc >= F.col("lr"), 1.0).when(lc == 0, 0.0).otherwise(F.exp(1.0 - F.col("lr") / lc))
+    shares = [F.when(F.col(f"t{n}") > 0, F.when(F.col(f"m{n}") > 0, F.col(f"m{n}") / F.col(f"t{n}")).otherwise(F.lit(1.0) / (2.0 * F.col(f"t{n}")))).alias(f"p{n}") for n in range(1, order + 1)]
+    got = sums.select(*keys, *shares, brevity.alias("brevity"), (F.col("wm") / F.nullif(F.col("wt"), F.lit(0.0))).alias("weighted"))
+    logs = [F.log(F.coalesce(f"p{n}", F.lit(1e-9))) for n in range(1, order + 1)]
+    return got.withColumn("bleu", F.col("brevity") * F.exp(sum(logs[1:], logs[0]) / order))
 
 
 def subtrees(tree: ast.AST) -> Counter:
@@ -115,8 +122,7 @@ def tree_matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
 
 def codebleu(df: DataFrame, keys: list[str], candidate: str, reference: str) -> DataFrame:
     """keys, ngram, weighted, syntax, dataflow, codebleu: four matches at equal weights."""
-    b = bleu(df, keys, candidate, reference).select(*keys, F.col("bleu").alias("ngram"))
-    w = weighted_recall(df, keys, candidate, reference)
+    b = ngram_scores(df, keys, candidate, reference).withColumnRenamed("bleu", "ngram").select(*keys, "ngram", "weighted")
     t = df.select(*keys, tree_matches(candidate, reference).alias("t")).select(*keys, "t.syntax", "t.dataflow")
     parts = [F.coalesce(c, F.lit(0.0)) for c in ("ngram", "weighted", "syntax", "dataflow")]
-    return t.join(b, keys, "left").join(w, keys, "left").withColumn("codebleu", sum(parts[1:], parts[0]) / 4)
+    return t.join(b, keys, "left").withColumn("codebleu", sum(parts[1:], parts[0]) / 4)

@@ -112,7 +112,7 @@ s AS (SELECT p.conv_id, p.turn, p1, p2, p3, p4, {_SIZE_SQL.format("completion")}
 b AS (SELECT *, CASE WHEN lc >= lr THEN 1.0::DOUBLE WHEN lc = 0 THEN 0.0::DOUBLE ELSE exp(1.0 - lr / lc::DOUBLE) END AS bp FROM s)
 SELECT conv_id, turn, {r6("bp")} AS brevity, {r6("bp * exp((" + " + ".join(f"ln(coalesce(p{n}, 1e-9::DOUBLE))" for n in range(1, 5)) + ") / 4)")} AS bleu FROM b""")
 def ngram_bleu(spark: SparkSession, d: str) -> DataFrame:
-    out = codebleu.bleu(pairs(spark, d), ["conv_id", "turn"], "completion", "description")
+    out = codebleu.ngram_scores(pairs(spark, d), ["conv_id", "turn"], "completion", "description")
     return out.select("conv_id", "turn", rounded(F.col("brevity")).alias("brevity"), rounded(F.col("bleu")).alias("bleu"))
 
 
@@ -121,7 +121,7 @@ WITH p AS {PAIRS_SQL}, j AS (SELECT r.conv_id, r.turn, CASE WHEN r.gram IN ('the
   FROM ({_gram_sql('description', 1)}) r LEFT JOIN ({_gram_sql('completion', 1)}) x ON r.conv_id = x.conv_id AND r.turn = x.turn AND r.gram = x.gram)
 SELECT conv_id, turn, {r6("sum(wt * m) / sum(wt * c)::DOUBLE")} AS weighted FROM j GROUP BY 1, 2""")
 def weighted_ngram(spark: SparkSession, d: str) -> DataFrame:
-    out = codebleu.weighted_recall(pairs(spark, d), ["conv_id", "turn"], "completion", "description", heavy=("the", "of", "and", "is", "de"))
+    out = codebleu.ngram_scores(pairs(spark, d), ["conv_id", "turn"], "completion", "description", heavy=("the", "of", "and", "is", "de"))
     return out.select("conv_id", "turn", rounded(F.col("weighted")).alias("weighted"))
 
 

@@ -20,8 +20,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
+    """a at unit length. The norm is held in a struct, so that it is taken once and not for each element."""
+    held = F.array(F.struct(a.alias("v"), norm(a).alias("n")))
+    return F.transform(held, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))[0]
 
 
 def dot_distance(a: Column, b: Column) -> Column:

@@ -59,9 +59,15 @@ def batches(df: DataFrame, size: int, partition: list[str], *order: str) -> Data
 
 
 def global_row_number(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df and its place in a total order, from 0. Ranges are sorted apart and counted, so no task sees all rows."""
+    """df and its place in a total order, from 0. Ranges are sorted apart and counted, so no task sees all rows.
+
+    The ranges are written before they are counted: bounds are sampled, and would differ if they were worked out twice."""
+    from tessera.sources.store import written
+
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    ranged = written(ranged, "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    # A row for each range: the broadcast is as long as the number of shuffle partitions.
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 

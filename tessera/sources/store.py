@@ -22,10 +22,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder."""
+    """The same rows from a table in the shared folder: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the table of a written() result that nothing will read any more."""
+    if path := getattr(df, "_written_at", None):
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def result_name(mode: str, model: Column, adapter: Column, at: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def postorder(tree: ast.AST) -> tuple[list[str], list[int]]:
     return labels, left
 
 
-def _keyroots(left: list[int]) -> list[int]:
+def _keyroots(left: tuple[int, ...]) -> list[int]:
     return sorted({lowest: i for i, lowest in enumerate(left)}.values())
 
 
@@ -49,10 +50,15 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
     """Fewest insertions, deletions and renamings that turn one tree into the other."""
     if a == b:
         return 0
-    (la, ka), (lb, kb) = a, b
-    kinds = {s: i for i, s in enumerate(dict.fromkeys(la + lb))}
-    xa, xb = [kinds[s] for s in la], [kinds[s] for s in lb]
-    dist = [[0] * len(lb) for _ in la]
+    kinds: dict[str, int] = {}
+    xa, xb = (tuple(kinds.setdefault(s, len(kinds)) for s in labels) for labels in (a[0], b[0]))
+    return _distance(xa, tuple(a[1]), xb, tuple(b[1]))
+
+
+@lru_cache(4096)
+def _distance(xa: tuple[int, ...], ka: tuple[int, ...], xb: tuple[int, ...], kb: tuple[int, ...]) -> int:
+    """The distance depends on shapes and on which labels are equal, so generations that differ in names alone share it."""
+    dist = [[0] * len(xb) for _ in xa]
     roots_b = _keyroots(kb)
     for i in _keyroots(ka):
         li = ka[i]

@@ -225,7 +225,9 @@ def _programs(spark: SparkSession, d: str) -> DataFrame:
     first, size = F.initcap(w[0]), F.col("p_size").cast("string")
     good = F.concat(F.lit("class Show(Scene):\n    def construct(self):\n        a = "), first, F.lit("(radius="), size, F.lit(")\n        b = Line(a.start, color="), F.upper(w[1]), F.lit(")\n        self.camera.background_color = b\n        self.play(Create(a).shift(UP), run_time="), size, F.lit(")\n"))
     code = F.when(F.col("p_partkey") % 11 == 0, F.concat(good, F.lit("  )"))).when(F.col("p_partkey") % 7 == 0, "").otherwise(good)
-    return table(spark, d, "part").select("p_partkey", code.alias("code"), F.lead(good).over(Window.partitionBy(F.col("p_size")).orderBy("p_partkey")).alias("expected"))
+    made = table(spark, d, "part").select("p_partkey", code.alias("code"), F.lead(good).over(Window.partitionBy(F.col("p_size")).orderBy("p_partkey")).alias("expected"))
+    # Much work for each row: dealt out evenly, whatever the files hold and however small they are.
+    return made.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey")
 
 
 @query()
@@ -242,9 +244,7 @@ def syntax_validity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_distance(spark: SparkSession, d: str) -> DataFrame:
-    # Much work for each row: dealt out evenly, whatever the files hold and however small they are.
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    p = _programs(spark, d).where("expected IS NOT NULL").repartition(n, "p_partkey").select("p_partkey", treedist.code_distance("code", "expected").alias("t"))
+    p = _programs(spark, d).where("expected IS NOT NULL").select("p_partkey", treedist.code_distance("code", "expected").alias("t"))
     return p.select("p_partkey", "t.raw", "t.max", rounded(F.col("t.norm")).alias("norm"), "t.syntax_error")
 
 

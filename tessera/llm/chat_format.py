@@ -5,8 +5,8 @@ whether the line opens a turn; what is observed is the line's speaker marker, if
 each turn is then rendered in one canonical form.
 
 A conversation of any length is decoded exactly without being gathered in one task. A chunk's lines fold into one max-plus
-matrix (best log-probability from the state before to the state after), in the pass over the text. Matrices of up to BLOCK chunks fold into one,
-blocks fold along the conversation, and the states found at the joints are handed back down, where each chunk is decoded alone.
+matrix (best log-probability from the state before to the state after), in the pass over the text. Matrices of up to BLOCK chunks fold into one, and
+so on up while a conversation has several; the states found at the joints are handed back down, where each chunk is decoded alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
+from tessera.sources.store import written
 
 ROLES = ("system", "user", "assistant")
 #: States: 2*r opens a turn of role r, 2*r+1 continues it; the last one stands before the first line.
@@ -188,13 +189,22 @@ def _joints(states: list[int], before: int) -> list[tuple[int, int]]:
 
 
 def chunk_states(chunks: DataFrame) -> DataFrame:
-    """conv_id, seq, h, before, after: the states around each distinct chunk (conv_id, seq, h, mat) of a conversation."""
-    rows = chunks.withColumn("block", F.floor(F.coalesce("seq", F.lit(-1)) / BLOCK).cast("long"))
-    blocks = _stream(rows.select("conv_id", "block", "seq", "h", "mat"), ["conv_id", "block"], ["seq", "h"], "conv_id long, block long, mat array<double>",
+    """conv_id, seq, h, before, after: the states around each distinct chunk (conv_id, seq, h, mat) of a conversation.
+
+    While a conversation spans several blocks of seq, blocks are folded, solved as chunks themselves, and opened again; so no task
+    holds more than a block of a conversation."""
+    block = F.floor(F.coalesce("seq", F.lit(-1)) / BLOCK).cast("long")
+    span = chunks.agg(F.min(block).alias("low"), F.max(block).alias("high")).first()
+    if span["low"] == span["high"]:
+        return _stream(chunks.select("conv_id", "seq", "h", "mat"), ["conv_id"], ["seq", "h"], "conv_id long, seq long, h long, before int, after int",
+                       lambda key, group: [(*r[:3], *j) for r, j in zip(group, _joints(path([_square(r[3]) for r in group], BEGIN, None), BEGIN), strict=True)])
+    rows = chunks.withColumn("block", block)
+    folded = _stream(rows.select("conv_id", "block", "seq", "h", "mat"), ["conv_id", "block"], ["seq", "h"], "conv_id long, block long, mat array<double>",
                      lambda key, group: [(*key, _product([_square(r[4]) for r in group]))])
-    ends = _stream(blocks, ["conv_id"], ["block"], "conv_id long, block long, before int, after int",
-                   lambda key, group: [(*r[:2], *j) for r, j in zip(group, _joints(path([_square(r[2]) for r in group], BEGIN, None), BEGIN), strict=True)])
-    held = rows.join(ends.withColumnRenamed("conv_id", "c2").withColumnRenamed("block", "b2"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("block") == F.col("b2")))
+    # Blocks count from 0 on the next level, so that a second null block does not keep it from being one.
+    ends = chunk_states(written(folded.select("conv_id", (F.col("block") - span["low"]).alias("seq"), F.lit(0).cast("long").alias("h"), "mat"), "blocks"))
+    ends = ends.select(F.col("conv_id").alias("c2"), (F.col("seq") + span["low"]).alias("b2"), "before", "after")
+    held = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("block") == F.col("b2")))
     return _stream(held.select("conv_id", "block", "seq", "h", "before", "after", "mat"), ["conv_id", "block"], ["seq", "h"], "conv_id long, seq long, h long, before int, after int",
                    lambda key, group: [(key[0], r[2], r[3], *j) for r, j in zip(group, _joints(path([_square(r[6]) for r in group], group[0][4], group[0][5]), group[0][4]), strict=True)])
 
@@ -216,7 +226,8 @@ def format_transcripts(chunks: DataFrame) -> DataFrame:
             mats = [chunk_matrix(t.as_py()).ravel().tolist() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mats, pa.list_(pa.float64()))], ["conv_id", "seq", "h", "mat"])
 
-    folded = rows.mapInArrow(fold, "conv_id long, seq long, h long, mat array<double>").groupBy("conv_id", "seq", "h").agg(F.first("mat").alias("mat"))
+    each = rows.mapInArrow(fold, "conv_id long, seq long, h long, mat array<double>").groupBy("conv_id", "seq", "h").agg(F.first("mat").alias("mat"))
+    folded = written(each, "chunks")
     states = chunk_states(folded).select(F.col("conv_id").alias("c2"), F.col("seq").alias("s2"), F.col("h").alias("h2"), "before", "after")
     same: Column = F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("seq").eqNullSafe(F.col("s2")) & (F.col("h") == F.col("h2"))
     joined = rows.join(states, same).select("conv_id", "seq", "text", "before", "after")

@@ -159,8 +159,9 @@ def fit(docs: DataFrame, keep: Column) -> Model:
     texts: dict[str, bytes] = {}
     if counts:
         picked = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("d"), F.substring("text", 1, EXCERPT).alias("t"))
-        # Bounded by the draw; the order makes it the same text whatever the partitioning.
-        for r in sorted(picked.dropDuplicates(["lang", "t"]).collect(), key=lambda r: (r["lang"], r["d"], r["t"])):
+        # Bounded by the draw, and by the limit where one id has very many texts; the order makes it the same text whatever the partitioning.
+        drawn = picked.dropDuplicates(["lang", "t"]).orderBy("d", "lang", "t").limit(4 * need * len(counts)).collect()
+        for r in sorted(drawn, key=lambda r: (r["lang"], r["d"], r["t"])):
             have = texts.get(r["lang"], b"")
             if len(have) < each and (more := normal(r["t"])):
                 texts[r["lang"]] = (have + b" " + more)[:each]

@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lineage import written
 from tessera.llm.rows import byte_texts, carried
 from tessera.shipping import ship
+from tessera.sources.store import dropped, written
 
 #: Fingerprints to a tree, and so at most about twice that to a work unit.
 SHARD = 4096
@@ -223,14 +223,18 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         now = edges.agg(mark.alias("x")).first()["x"]
         if now == before or not now[0]:
-            return edges.withColumnRenamed("v", "m")
+            out = edges.withColumnRenamed("v", "m")
+            out._written_at = edges._written_at
+            return out
         before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
+        old = edges
         edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        dropped(old)
     raise RuntimeError("components have not settled")
 
 
@@ -251,6 +255,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     renamed = written(named.join(best, "m").select("_fp", "component"), "components")
     # Written, so that both sides of the last join are plain scans and a fingerprint with very many copies can be split.
     label = written(nodes.join(renamed, "_fp", "left").select("_fp", F.coalesce("component", "least").alias("component_id")), "labels")
+    for done in (star, renamed):
+        dropped(done)
     return prints.join(label, "_fp").select("doc_id", "_fp", "component_id")
 
 

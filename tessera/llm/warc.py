@@ -22,8 +22,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.lineage import fresh_path
 from tessera.shipping import ship
+from tessera.sources.store import shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: Uncompressed bytes in one gzip member; below 2**24, so that its length field ends with a zero byte.
@@ -229,5 +229,5 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """What the archives of pages hold, written to the shared folder and read back."""
     spark = pages.sparkSession
-    return read(spark, write(pages, fresh_path(spark, "warc")))
+    return read(spark, write(pages, shared_path(spark, "warc")))
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tessera.llm import warc as W
-from tessera.llm.lineage import fresh_path
+from tessera.sources.store import shared_path
 
 PAGES = "page_id long, url string, html string, payload_digest string"
 
@@ -42,7 +42,7 @@ def sample():
 def test_round_trip_in_ranges(spark, size):
     pages = sample()
     df = spark.createDataFrame([(k, f"http://x/{k} a", h, "z") for k, h in pages], PAGES)
-    path = W.write(df, fresh_path(spark, "warc"))
+    path = W.write(df, shared_path(spark, "warc"))
     got = W.read(spark, path, size)
     assert rows(got) == want(pages)
     kept = {(r["page_id"], bytes(r["payload"])) for r in got.where("record_type = 'response'").collect()}
@@ -58,7 +58,7 @@ def test_stored_members_that_look_like_records(spark):
     rng = random.Random(8)
     raw = bytes(rng.randrange(256) for _ in range(3000))
     inner = gzip.compress(W.record(5, "u", raw, W.digest32(raw), None, False), 0)
-    path = fresh_path(spark, "stored").removeprefix("file:")
+    path = shared_path(spark, "stored").removeprefix("file:")
     os.makedirs(path)
     outer = b""
     for k in range(20):
@@ -74,7 +74,7 @@ def test_stored_members_that_look_like_records(spark):
 def test_records_of_several_members(spark):
     big = "".join(random.Random(9).choices("abcdefgh é", k=W.MEMBER + 1_000_000))
     df = spark.createDataFrame([(1, None, big, ""), (2, None, big, ""), (3, None, "x", "")], PAGES)
-    got = W.read(spark, W.write(df, fresh_path(spark, "warc"), level=1), 1 << 20)
+    got = W.read(spark, W.write(df, shared_path(spark, "warc"), level=1), 1 << 20)
     assert rows(got) == want([(1, big), (2, big), (3, "x")])
 
 
@@ -83,5 +83,5 @@ def test_table_and_edges(spark):
     assert rows(W.round_trip(pages)) == want([(r["page_id"], r["html"]) for r in pages.collect()])
     assert W.round_trip(pages.limit(0)).count() == 0
     df = spark.createDataFrame([(1, "u", "ab", ""), (2, "u", "ab", "")], PAGES)
-    path = W.write(df, fresh_path(spark, "warc"), smallest=3)
+    path = W.write(df, shared_path(spark, "warc"), smallest=3)
     assert {r["record_type"] for r in W.read(spark, path).collect()} == {"response"}

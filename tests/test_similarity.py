@@ -65,7 +65,7 @@ SCENE = """
 class Show(Scene):
     def construct(self):
         a = Circle(radius=2)
-        b = manim.Square()
+        b = lib.Square()
         a.shift(UP)
         b.scale(2)
         Line(a, b).set_color(RED)
@@ -78,9 +78,9 @@ class Show(Scene):
 
 def test_names():
     calls, touched = codegraph.names_of(SCENE)
-    assert {"Circle", "manim.Square", "Circle.shift", "manim.scale", "Line", "Line.set_color", "self.play", "Scene.play", "Create", "text.join"} == calls
+    assert {"Circle", "lib.Square", "Circle.shift", "lib.scale", "Line", "Line.set_color", "self.play", "Scene.play", "Create", "text.join"} == calls
     # Both readings of self stand side by side; a list is not looked into.
-    assert {"self.camera.background_color", "Scene.camera.background_color", "Circle.color", "Circle", "manim.width", "manim"} >= touched >= {"Circle.color", "manim.width", "Circle", "Scene.camera.background_color"}
+    assert {"self.camera.background_color", "Scene.camera.background_color", "Circle.color", "Circle", "lib.width", "lib"} >= touched >= {"Circle.color", "lib.width", "Circle", "Scene.camera.background_color"}
     assert "Circle.x" not in touched
     assert codegraph.names_of("x = (") == (set(), set()) == codegraph.names_of(None)
     assert codegraph.names_of_many(["a = Dot()", "a.move()"])[0] == {"Dot", "Dot.move"}

@@ -72,3 +72,19 @@ def test_documents_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     tok = Tokenizer.from_file(tokenizer_path())
     check(pack(docs, tokenizer_path()).collect(), {r["doc_id"]: [*tok.encode(r["text"], add_special_tokens=False).ids, 1] for r in docs.collect()})
+
+
+def test_fast_ids_are_the_tokenizers(spark):
+    import random
+
+    from tessera.llm.packing import _PLAIN, Encoder
+
+    enc = Encoder(tokenizer_path())
+    rng = random.Random(3)
+    letters = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028), 0x20AC)] + list(" \n\t'stremvld") * 20
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(3000)] + ["a" * 50_000, " " * 50_000, "=" * 50_000]
+    for t in texts:
+        assert enc.fast is not None and not _PLAIN.search(t)
+        assert enc.fast.encode_ordinary(t) == enc.slow.encode(t, add_special_tokens=False).ids
+    for t in ("Ελλάδα", "日本", "🙂", "x <|endoftext|> y"):
+        assert enc.ids(t) == enc.slow.encode(t, add_special_tokens=False).ids

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions.templates import PLAIN, fill
 from tessera.functions.text import before_examples, strip
 
+#: The signature of an unknown name, and the formats of the notes.
 NO_SIGNATURE = "()"
+CALL = "- **{name}**: signature `{sig}` - {doc}\n"
+PROPERTY = "- **{name}** {sig} - {doc}"
+ATTRIBUTE = "- **{name}** (attribute{sig}) - {doc}"
+OTHER = "- **{name}** (property/variable) - {doc}"
 
 
 def look_up(names: DataFrame, docs: DataFrame, name: str = "name") -> DataFrame:
@@ -26,15 +31,15 @@ def _summary(doc: Column) -> Column:
 
 def call_lines(entries: Column) -> Column:
     """Text of an array of struct(name, sig, doc) for calls: an item each, with an empty line between."""
-    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- **"), e["name"], F.lit("**: signature `"), e["sig"], F.lit("` - "), _summary(e["doc"]), F.lit("\n"))), "\n")
+    return F.array_join(F.transform(entries, lambda e: fill(CALL, name=e["name"], sig=e["sig"], doc=_summary(e["doc"]))), "\n")
 
 
 def assignment_lines(entries: Column) -> Column:
     """The same for attributes, worded by what the signature says; empty for no entries."""
 
     def line(e: Column) -> Column:
-        kind = F.when(e["sig"].startswith("@property"), F.concat(F.lit(" "), e["sig"])).when(e["sig"].startswith(":"), F.concat(F.lit(" (attribute"), e["sig"], F.lit(")"))).otherwise(" (property/variable)")
-        return F.concat(F.lit("- **"), e["name"], F.lit("**"), kind, F.lit(" - "), _summary(e["doc"]))
+        said = {"name": e["name"], "sig": e["sig"], "doc": _summary(e["doc"])}
+        return F.when(e["sig"].startswith("@property"), fill(PROPERTY, **said)).when(e["sig"].startswith(":"), fill(ATTRIBUTE, **said)).otherwise(fill(OTHER, **said))
 
     return F.when(F.size(entries) > 0, F.concat(F.array_join(F.transform(entries, line), "\n"), F.lit("\n"))).otherwise("")
 

@@ -38,12 +38,16 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: The parts of a result file's name, and how its time is written.
+RESULT_PREFIX, ADAPTER_PREFIX, RESULT_TIME = "eval_result_", "_peft_", "yyyyMMdd_HHmmss"
+
+
 def result_name(mode: str, model: Column, adapter: Column, at: Column) -> Column:
     """Name of a result file: mode, model, adapter if any, and the time to the second."""
     from tessera.functions.fusion import adapter_label, sanitised
 
-    part = F.when(F.coalesce(adapter, F.lit("")) == "", "").otherwise(F.concat(F.lit("_peft_"), adapter_label(adapter)))
-    return F.concat(F.lit(f"eval_result_{mode}_"), sanitised(model), part, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".csv"))
+    part = F.when(F.coalesce(adapter, F.lit("")) == "", "").otherwise(F.concat(F.lit(ADAPTER_PREFIX), adapter_label(adapter)))
+    return F.concat(F.lit(f"{RESULT_PREFIX}{mode}_"), sanitised(model), part, F.lit("_"), F.date_format(at, RESULT_TIME), F.lit(".csv"))
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> str:

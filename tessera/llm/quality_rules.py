@@ -23,8 +23,8 @@ from tessera.shipping import ship
 
 #: Labelled rows to fit on at most.
 SAMPLE = 8000
-#: Statistics that rules may test: ratios, so that a text's length alone rejects nothing.
-TESTED = FEATURES[len(COUNTS) : -1]
+#: Statistics that rules may test: ratios, so that a text's length alone rejects nothing, and none that differ by language or layout.
+TESTED = tuple(f for f in FEATURES[len(COUNTS) :] if f not in ("mean_word_chars", "words_per_line"))
 
 
 @dataclass(frozen=True)

@@ -11,9 +11,11 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 DIGITS = string.digits.encode()
+#: Words of a block: how many of a block's words differ does not depend on the text's length, as it does for whole texts.
+BLOCK = 50
 #: In this order in FEATURES; the first five are counts, the rest are ratios.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = (*COUNTS, "symbols_per_word", "dup_line_share", "repeat_share", "mean_word_chars", "upper_share", "distinct_share", "bang_words_share", "digit_share", "mark_words_share", "words_per_line")
+FEATURES = (*COUNTS, "symbols_per_word", "dup_line_share", "repeat_share", "mean_word_chars", "upper_share", "block_distinct_share", "bang_words_share", "digit_share", "mark_words_share", "words_per_line")
 
 
 def repeat_words(words: list[bytes], window: int = 5) -> int:
@@ -67,5 +69,5 @@ def stats(text: bytes | None) -> list[float]:
     marks = sum(text.count(m) for m in (b"# ", b"$ ", b"% ", b"& ", b"* ", b"| ", b"> "))
     return [
         n, chars, symbols, dup, repeats,
-        symbols / n, dup / len(lines), repeats / n, chars / n, upper / max(1, upper + lower), len(set(words)) / n, bangs / n, without(DIGITS) / chars, marks / n, n / len(lines),
+        symbols / n, dup / len(lines), repeats / n, chars / n, upper / max(1, upper + lower), sum(len(set(words[i : i + BLOCK])) for i in range(0, n, BLOCK)) / n, bangs / n, without(DIGITS) / chars, marks / n, n / len(lines),
     ]

@@ -53,7 +53,7 @@ def test_expression_is_the_list(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["rule"] for r in Q.judge(df, rules).collect()}
     for i, t in enumerate(texts):
-        x = np.array([stats(t.encode())[len(COUNTS) : -1]])
+        x = np.array([[stats(t.encode())[FEATURES.index(f)] for f in Q.TESTED]])
         assert got[i] == next((k for k, r in enumerate(rules, 1) if Q.covers(r, x)[0]), 0)
 
 

@@ -196,10 +196,18 @@ _SERIES_SQL = "(SELECT vec_id, a[1:4] AS rows, b[1:4] AS cols FROM " + _NEIGHBOU
 
 @query(f"SELECT vec_id, {r6('d44')} AS folded, {r6('d44')} AS vectorised FROM (SELECT vec_id, {_dtw_sql('abs(rows[{i}] - cols[{j}])')} FROM {_SERIES_SQL})")
 def dtw_series(spark: SparkSession, d: str) -> DataFrame:
+    """The first four values of each series alone, as its SQL has it; dtw_series_whole warps all."""
     n = _neighbours(spark, d).select("vec_id", *[F.transform(F.slice(c, 1, 4), lambda x: x.cast("double")).alias(c) for c in ("a", "b")])
     return n.select("vec_id", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("folded"), rounded(sequence.dtw_series("a", "b")).alias("vectorised"))
 
 
+@query()
+def dtw_series_whole(spark: SparkSession, d: str) -> DataFrame:
+    """dtw_series over whole series: its SQL unrolls a table of 4 x 4, so it warps the first four values of each."""
+    n = _neighbours(spark, d).select("vec_id", "other", *[F.col(c).cast("array<double>").alias(c) for c in ("a", "b")])
+    return n.select("vec_id", "other", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("folded"), rounded(sequence.dtw_series("a", "b")).alias("vectorised"))
+
+
 _UNIT_SQL = "list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))"
 
 

@@ -20,3 +20,28 @@ def test_the_evaluation_takes_every_program(spark):
     assert all(r["raw_generated_code_plan"] == ("1. go" if r["id"] % 2 == 0 else "") for r in rows)
     means = QUERIES["evaluation_means"](spark, FOLDER).collect()
     assert len(means) == 1 and math.isclose(means[0]["manim_render_success"], sum(k % 5 > 1 for k in want) / len(want))
+
+
+def warped(a, b):
+    above = [0.0] + [math.inf] * len(b)
+    for x in a:
+        row = [math.inf]
+        for j, y in enumerate(b):
+            row.append(abs(x - y) + min(row[-1], above[j], above[j + 1]))
+        above = row
+    return above[-1]
+
+
+def test_series_are_warped_whole(spark):
+    rows = pq.read_table(f"{FOLDER}/embeddings.parquet").to_pylist()
+    by = {}
+    for r in sorted(rows, key=lambda r: r["vec_id"]):
+        by.setdefault(r["label"], []).append(r)
+    want = {x["vec_id"]: (y["vec_id"], x["embedding"], y["embedding"]) for line in by.values() for x, y in zip(line, line[1:], strict=False)}
+    got = QUERIES["dtw_series_whole"](spark, FOLDER).collect()
+    assert len(got) == len(want) and {r["vec_id"] for r in got} == set(want)
+    for r in got:
+        other, a, b = want[r["vec_id"]]
+        assert r["other"] == other and len(a) == len(b) == 64
+        assert abs(r["folded"] - warped(a, b)) < 2e-6 and abs(r["vectorised"] - warped(a, b)) < 2e-6
+        assert r["folded"] > warped(a[:4], b[:4]) + 0.1

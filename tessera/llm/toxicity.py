@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from tessera.llm.language_id import normal
 from tessera.llm.sampling import label_sample
 from tessera.shipping import ship
+from tessera.sources.store import dropped, written
 
-#: Labelled examples, vocabulary terms and characters of one example at most: with these the index and its broadcast are bounded.
-EXAMPLES, TERMS, CHARS = 6000, 4096, 20_000
+#: Labelled examples and vocabulary terms at most: with these the index and its broadcast are bounded.
+EXAMPLES, TERMS = 6000, 4096
 #: Bytes of a term. A word's end counts as a byte, so a term may be a whole word.
 LENGTHS = (4, 5, 6, 7, 8, 10, 12)
 #: Examples in a block, neighbours of a text.
@@ -57,17 +58,22 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out)
 
 
-def distinct(texts: list[str | None]) -> list[int]:
-    """Places of the texts that are no near copies of earlier ones: none of their least word-triple hashes, by several hash
-    functions, has been seen. Copies would make every word of one text speak for its label."""
+def marks_of(text: str | None) -> list[int]:
+    """A text's least word-triple hash by each of several hash functions."""
     salts = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64) | np.uint64(1)
+    words = normal(text).split()
+    triples = [b" ".join(w) for w in zip(words, words[1:], words[2:], strict=False)] or [b" ".join(words)]
+    keys = np.array([zlib.crc32(t) for t in triples], np.uint64)
+    return [int(((keys * salt) & np.uint64(0xFFFFFFFF)).min()) for salt in salts]
+
+
+def distinct(marks: list[list[int]]) -> list[int]:
+    """Places of the texts (by marks_of) that are no near copies of earlier ones: none of their marks has been seen.
+    Copies would make every word of one text speak for its label."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for place, text in enumerate(texts):
-        words = normal(text).split()
-        triples = [b" ".join(w) for w in zip(words, words[1:], words[2:], strict=False)] or [b" ".join(words)]
-        keys = np.array([zlib.crc32(t) for t in triples], np.uint64)
-        least = {(k, int(((keys * salt) & np.uint64(0xFFFFFFFF)).min())) for k, salt in enumerate(salts)}
+    for place, found in enumerate(marks):
+        least = set(enumerate(found))
         if not least & seen:
             out.append(place)
         seen |= least
@@ -80,12 +86,23 @@ class Index:
     def __init__(self, examples: list[tuple[int, str, int]]):
         examples = sorted(examples)
         bags = [np.unique(grams(t), return_counts=True) for _, t, _ in examples]
-        self.marks = np.array([y for _, _, y in examples], float)
-        n, pos = len(examples), float(self.marks.sum())
+        labels = np.array([y for _, _, y in examples], float)
+        once = distinct([marks_of(t) for _, t, _ in examples])
+        self._fill([k for k, _, _ in examples], labels, bags, *self._choose([bags[e] for e in once], labels[once]))
+
+    @classmethod
+    def of(cls, ids: list[int], labels: np.ndarray, bags: list, terms: np.ndarray, idf: np.ndarray) -> Index:
+        """An index whose terms are chosen already; bags (keys, counts) need hold no other keys."""
+        out = cls.__new__(cls)
+        out._fill(ids, labels, bags, terms, idf)
+        return out
+
+    def _fill(self, ids: list[int], labels: np.ndarray, bags: list, terms: np.ndarray, idf: np.ndarray) -> None:
+        self.marks = labels
+        n, pos = len(ids), float(self.marks.sum())
         self.base = (pos + 1) / (n + 2)
         self.blank = None
-        once = distinct([t for _, t, _ in examples])
-        self.terms, self.idf = self._choose([bags[e] for e in once], self.marks[once])
+        self.terms, self.idf = terms, idf
         # Terms by hash, where two share a slot by a list of further tables.
         self.tables: list[np.ndarray] = []
         left = np.arange(len(self.terms))
@@ -98,7 +115,7 @@ class Index:
         vectors = [self._weights(*self._known(keys, counts)) for keys, counts in bags]
         # Examples with the same heaviest term stand together, which keeps the bounds of the other blocks low.
         order = sorted(range(n), key=lambda e: (max((w, -t) for t, w in vectors[e])[1], e))
-        self.ids, self.marks = [examples[e][0] for e in order], self.marks[order]
+        self.ids, self.marks = [ids[e] for e in order], self.marks[order]
         postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.terms) + 1)]
         for place, e in enumerate(order):
             for t, w in vectors[e]:
@@ -124,14 +141,19 @@ class Index:
         none, n, pos = np.zeros(0, np.uint64), len(bags), float(marks.sum())
         keys, df = np.unique(np.concatenate([none, *[b[0] for b in bags]]), return_counts=True)
         with_mark, times = np.unique(np.concatenate([none, *[b[0] for b, y in zip(bags, marks, strict=True) if y]]), return_counts=True)
-        if not 0 < pos < n:
-            return none, np.zeros(0)
         a = np.zeros(len(keys))
         a[np.searchsorted(keys, with_mark)] = times
+        return Index._best(keys, df, a, len(keys), n, pos)
+
+    @staticmethod
+    def _best(keys: np.ndarray, df: np.ndarray, a: np.ndarray, tried: int, n: int, pos: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of keys in df texts, a of them labelled, those to keep. tried: all keys that there are, these or more."""
+        if not 0 < pos < n:
+            return np.zeros(0, np.uint64), np.zeros(0)
         diff = a * n - pos * df
         chi = n * diff * diff / np.maximum(1e-9, pos * (n - pos) * df * (n - df))
         speaks = a / df >= (1 + pos / n) / 2
-        good = np.flatnonzero((chi >= 2 * math.log(max(2, len(keys))) + 8) & speaks & (df >= 3) & (df < n))
+        good = np.flatnonzero((chi >= 2 * math.log(max(2, tried)) + 8) & speaks & (df >= 3) & (df < n))
         good = good[np.lexsort((keys[good], -chi[good]))][:TERMS]
         return keys[good], np.log(n / df[good])
 
@@ -195,11 +217,56 @@ class Index:
         return float((vote + SHRINK * self.base) / (weight + SHRINK)), near
 
 
+_BAG = "doc_id long, label int, marks array<long>, keys array<long>, counts array<long>"
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, label and whole text to _BAG: what an index needs of a text, a row at a time."""
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        for k, t, y in zip(*batch.columns, strict=True):
+            text = t.as_py()
+            keys, counts = np.unique(grams(text), return_counts=True)
+            columns = [pa.array([k.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), *[pa.array([v], longs) for v in (marks_of(text), keys.view(np.int64), counts)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "marks", "keys", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES) -> Index:
-    """An index of at most `examples` labelled texts (labels: doc_id, toxic) for which `keep` over doc_id holds."""
+    """An index of at most `examples` labelled texts (labels: doc_id, toxic) for which `keep` over doc_id holds.
+
+    Texts are read whole, in the executors. The driver gets a few marks of each, the counts of keys that may be terms, and the
+    terms of each."""
+    spark = docs.sparkSession
+    ship(spark)
     picked = label_sample(labels, "toxic", examples, keep)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, CHARS).alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    return Index([(r[0], r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("label").alias("label")).select("doc_id", "t", "label").collect()])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    bags = written(rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("label").alias("label")).select("doc_id", "t", "label").mapInArrow(_bags, _BAG), "bags")
+    heads = sorted(bags.select("doc_id", "label", "marks").collect())
+    marks = np.array([r["label"] for r in heads], float)
+    once = distinct([r["marks"] for r in heads])
+    n, pos = len(once), float(marks[once].sum())
+    single = F.broadcast(spark.createDataFrame([(heads[e]["doc_id"],) for e in once], "doc_id long"))
+    keys = written(bags.join(single, "doc_id").select("label", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).alias("a")), "keys")
+    # A little more than _best keeps, so that no rounding matters; it has the last word.
+    able = keys.where((F.col("df") >= 3) & (F.col("df") < n) & (F.col("a") >= F.col("df") * ((1 + pos / max(1, n)) / 2 - 1e-6))).orderBy("key").collect() if 0 < pos < n else []
+    found = [np.array([r[c] for r in able], np.int64) for c in ("key", "df", "a")]
+    order = np.argsort(found[0].view(np.uint64))
+    terms, idf = Index._best(found[0].view(np.uint64)[order], found[1][order], found[2][order].astype(float), keys.count(), n, pos)
+    known = spark.sparkContext.broadcast(np.sort(terms))
+
+    def only_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            for k, held, counts in zip(*batch.columns, strict=True):
+                held = held.values.to_numpy(zero_copy_only=False)
+                at = np.isin(held.view(np.uint64), known.value)
+                counts = counts.values.to_numpy(zero_copy_only=False)[at]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([held[at]], longs), pa.array([counts], longs)], ["doc_id", "keys", "counts"])
+
+    few = {r["doc_id"]: (np.array(r["keys"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)) for r in bags.select("doc_id", "keys", "counts").mapInArrow(only_terms, "doc_id long, keys array<long>, counts array<long>").collect()}
+    for done in (bags, keys):
+        dropped(done)
+    return Index.of([r["doc_id"] for r in heads], marks, [few[r["doc_id"]] for r in heads], terms, idf)
 
 
 SCHEMA = "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>"

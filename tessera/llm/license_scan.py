@@ -96,7 +96,10 @@ TRIGGERS = ("licens", "permission", "redistribut", "warrant", "rights reserved",
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"\n|(?<=[.!?;:])[ \t]+")
-_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.I)
+#: A part of an SPDX expression: a bracket, or an operator or identifier (of a document of its own, perhaps).
+_PART = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
+_OPERATORS = ("AND", "OR", "WITH")
 
 
 def normal(sentence: str) -> str:
@@ -157,10 +160,30 @@ def recognise(found: list[tuple[int, str]]) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def spdx(line: str) -> list[str]:
+    """Identifiers of the SPDX expression that a line begins with, exceptions after WITH included.
+
+    The expression ends where two identifiers meet without an operator, or at anything else: a comment's end, say."""
+    out, wanted, at = [], True, 0
+    while m := _PART.match(line, at):
+        part, at = m[1], m.end()
+        operator = part.upper() in _OPERATORS
+        if part in "()":
+            if (part == "(") != wanted:
+                break
+        elif operator == wanted or not (operator or any(c.isalnum() for c in part)):
+            break
+        else:
+            if not operator:
+                out.append(part)
+            wanted = operator
+    return out
+
+
 def scan_text(text: str | None) -> list[tuple[str, str, int, int]]:
     """Licences of one text; SPDX tags name theirs outright, with sentence numbers -1."""
     found = recognise(identifiers(text))
-    return found + [(m, "spdx-tag", -1, -1) for m in (_SPDX.findall(text) if text and "icense-" in text else ())]
+    return found + [(k, "spdx-tag", -1, -1) for line in (_SPDX.findall(text) if text and "icense-" in text.lower() else ()) for k in spdx(line)]
 
 
 SCHEMA = "doc_id long, license string, rule string, first_sentence long, last_sentence long"

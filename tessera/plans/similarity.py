@@ -187,7 +187,7 @@ _FULL = "len(rows) = 4 AND len(cols) = 4"
 
 @query(f"SELECT pair_id, {r6('d44')} AS distance, {r6('exp(-5.0 * d44 / 4)')} AS score FROM (SELECT pair_id, {_dtw_sql('abs(rows[{i}] - cols[{j}])')} FROM {_BEST_SQL} WHERE {_FULL})")
 def ssim_dtw_score(spark: SparkSession, d: str) -> DataFrame:
-    best = sequence.best_match(_matrix(spark, d)).where("size(rows) = 4 AND size(cols) = 4").withColumn("d", sequence.dtw_fold(F.col("rows"), F.col("cols")))
+    best = sequence.best_match(_matrix(spark, d)).where("size(rows) > 0 AND size(cols) > 0").withColumn("d", sequence.dtw_fold(F.col("rows"), F.col("cols")))
     return best.select("pair_id", rounded(F.col("d")).alias("distance"), rounded(sequence.similarity(F.col("d"), F.size("rows"), F.size("cols"), 5.0)).alias("score"))
 
 
@@ -217,7 +217,7 @@ SELECT pair_id, {r6('d44')} AS cost, {r6('exp(-d44 / 4)')} AS score FROM (SELECT
 def embed_dtw_score(spark: SparkSession, d: str) -> DataFrame:
     f = _frames(spark, d).select("pair_id", "side", F.struct("k", vectors.normalise(F.col("embedding")).alias("e")).alias("f"))
     line = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("f")))), lambda x: x["e"])
-    g = f.groupBy("pair_id").agg(line(0).alias("a"), line(1).alias("b")).where("size(a) = 4 AND size(b) = 4")
+    g = f.groupBy("pair_id").agg(line(0).alias("a"), line(1).alias("b")).where("size(a) > 0 AND size(b) > 0")
     cost = g.withColumn("c", sequence.dtw_vectors("a", "b"))
     return cost.select("pair_id", rounded(F.col("c")).alias("cost"), rounded(sequence.similarity(F.col("c"), F.size("a"), F.size("b"))).alias("score"))
 

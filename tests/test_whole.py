@@ -45,3 +45,20 @@ def test_series_are_warped_whole(spark):
         assert r["other"] == other and len(a) == len(b) == 64
         assert abs(r["folded"] - warped(a, b)) < 2e-6 and abs(r["vectorised"] - warped(a, b)) < 2e-6
         assert r["folded"] > warped(a[:4], b[:4]) + 0.1
+
+
+def test_pairs_with_gaps_are_scored(spark, tmp_path):
+    rows = pq.read_table(f"{FOLDER}/embeddings.parquet")
+    kept = [k for k in range(rows.num_rows) if rows["vec_id"][k].as_py() not in (1, 2, 3, 13, 20, 21, 22, 23)]
+    pq.write_table(rows.take(kept), tmp_path / "embeddings.parquet")
+    full, gaps = ({n: {r["pair_id"]: r for r in QUERIES[n](spark, d).collect()} for n in ("ssim_dtw_score", "embed_dtw_score")} for d in (FOLDER, str(tmp_path)))
+    vectors = {r["vec_id"]: r["embedding"] for r in rows.take(kept).to_pylist()}
+    for n in full:
+        # Pair 0 has 1 and 4 frames, pair 1 has 4 and 3, pair 2 has no second side.
+        assert set(gaps[n]) == set(full[n]) - {2}
+        assert all(gaps[n][k] == r for k, r in full[n].items() if k > 2)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    one = unit(vectors[0])
+    cost = sum(1 - sum(x * y for x, y in zip(one, unit(vectors[k]), strict=True)) for k in range(4, 8))  # one frame meets all of the other side
+    assert abs(gaps["embed_dtw_score"][0]["cost"] - cost) < 2e-6 and abs(gaps["embed_dtw_score"][0]["score"] - math.exp(-cost / 4)) < 2e-6
+    assert gaps["ssim_dtw_score"][0]["distance"] >= 0

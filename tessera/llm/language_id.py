@@ -149,25 +149,41 @@ class Model:
 
 
 def fit(docs: DataFrame, keep: Column) -> Model:
-    """A model from labelled rows of docs (doc_id, text, lang) for which `keep` holds: at most EACH bytes a language."""
+    """A model from labelled rows of docs (doc_id, text, lang) for which `keep` holds: at most EACH bytes a language.
+
+    A text gives at most EXCERPT characters, from a hashed place anywhere in it. Shorter texts are drawn in larger numbers, and
+    the draw grows until a language has its bytes or no more texts."""
     labelled = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = min(EACH, ALL // max(1, len(counts)))
-    need = 16 * math.ceil(each / EXCERPT) + 32  # texts drawn from a language, on average
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, need / n) * (1 << 30)))]) if counts else None
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(EXCERPT))).alias("size")).collect()
+    each = min(EACH, ALL // max(1, len(sizes)))
+    counts = {r["lang"]: r["n"] for r in sizes}
+    need = {r["lang"]: 16 * math.ceil(each / max(1, r["size"])) + 32 for r in sizes}  # texts drawn from a language, on average
     texts: dict[str, bytes] = {}
-    if counts:
-        picked = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("d"), F.substring("text", 1, EXCERPT).alias("t"))
-        # Bounded by the draw, and by the limit where one id has very many texts; the order makes it the same text whatever the partitioning.
-        drawn = picked.dropDuplicates(["lang", "t"]).orderBy("d", "lang", "t").limit(4 * need * len(counts)).collect()
-        for r in sorted(drawn, key=lambda r: (r["lang"], r["d"], r["t"])):
-            have = texts.get(r["lang"], b"")
-            if len(have) < each and (more := normal(r["t"])):
-                texts[r["lang"]] = (have + b" " + more)[:each]
+    todo = sorted(counts)
+    while todo:
+        texts |= _drawn(labelled, {k: min(1.0, need[k] / counts[k]) for k in todo}, 4 * sum(need[k] for k in todo), each)
+        todo = [k for k in todo if len(texts.get(k, b"")) < each and need[k] < counts[k]]
+        need |= {k: 8 * need[k] for k in todo}
     return Model(texts)
 
 
+def _drawn(labelled: DataFrame, shares: dict[str, float], most: int, each: int) -> dict[str, bytes]:
+    """Up to `each` bytes of excerpts by language, from a hash draw of its share of the texts."""
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(v * (1 << 30)))])
+    # Copies of a text give the same excerpt.
+    start = F.pmod(F.xxhash64("text", F.lit(9)), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
+    picked = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("d"), F.col("text").substr(start, F.lit(EXCERPT)).alias("t"))
+    # Bounded by the draw, and by the limit where one id has very many texts; the order makes it the same text whatever the partitioning.
+    drawn = picked.dropDuplicates(["lang", "t"]).orderBy("d", "lang", "t").limit(most).collect()
+    texts: dict[str, bytes] = {}
+    for r in sorted(drawn, key=lambda r: (r["lang"], r["d"], r["t"])):
+        have = texts.get(r["lang"], b"")
+        if len(have) < each and (more := normal(r["t"])):
+            texts[r["lang"]] = (have + b" " + more)[:each]
+    return texts
+
+
 def identify(docs: DataFrame, model: Model, carry: Column | None, name: str) -> DataFrame:
     """`carry` (or the whole row) as `name`, lang_pred, score for every row of docs; reads nothing but text.
 

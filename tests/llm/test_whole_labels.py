@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tessera.llm import language_id as L
 from tessera.llm import toxicity as T
 
 
@@ -23,3 +25,19 @@ def test_toxic_words_late_in_a_text(spark):
     assert len(index.terms) and np.array_equal(index.terms, plain.terms) and np.array_equal(index.idf, plain.idf)
     assert index.ids == plain.ids and np.array_equal(index.marks, plain.marks) and index.held == plain.held
     assert index.score("calm words and grumble, snarl grumble")[0] >= 0.7 > 0.3 > index.score("calm words")[0]
+
+
+def test_short_texts_fill_a_language(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = [(k, text(8), "aa") for k in range(3000)] + [(3000 + k, "12 34 56 78 9 " * 10 + text(1), "bb") for k in range(6000)]
+    monkeypatch.setattr(L, "Model", lambda texts: texts)
+    got = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert {k: len(v) for k, v in got.items()} == {"aa": L.EACH, "bb": L.EACH}
+
+
+def test_language_is_learned_beyond_the_opening(spark, monkeypatch):
+    rows = [(k, "opening words " * 400 + f"later {chr(97 + k % 26)}x " * 2000, "aa") for k in range(50)]
+    monkeypatch.setattr(L, "Model", lambda texts: texts)
+    got = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert got["aa"].count(b"later") > got["aa"].count(b"opening") > 0

@@ -1,16 +1,15 @@
 """Toxicity by nearest labelled examples.
 
-The examples are a bounded sample of labelled texts. Terms are the beginnings of words, of several lengths up to whole words, so that a
-stem counts whatever ending it has; those are kept that speak for the label (chi-square over texts that are no copies, corrected for the number of terms tried, and a
-labelled rate at least halfway from the base rate to 1). Vectors hold TF-IDF weights at unit length. Every text is compared with the examples by exact cosine: the
-index keeps, for each term and block of examples, the postings and their largest weight; a block whose
-bound cannot reach the k-th best similarity is skipped. Similarity-weighted votes, shrunk to the labelled base rate,
-are the score, and the neighbours are its evidence.
+The examples are a bounded sample of labelled texts. Terms are whole words, all of them: every word of the examples is in the index.
+A vector holds TF-IDF weights at unit length, each times the relevance of its term: FLOOR for a word of which the labels say nothing, up to 1 for one that
+stands far more often in texts with label 1 than chance allows. Every text is compared with the examples by exact cosine. The inverted index is cut into
+blocks of examples and keeps the largest weight of each term in each block; blocks whose bound cannot reach the k-th best similarity are
+skipped. The neighbours' votes, weighted by squared similarity and calibrated (a rising curve by
+pooling) on the votes that labelled rows get from the other rows, are the score, and the neighbours are its evidence.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,37 +24,24 @@ from tessera.llm.sampling import label_sample
 from tessera.shipping import ship
 from tessera.sources.store import dropped, written
 
-#: Labelled examples and vocabulary terms at most: with these the index and its broadcast are bounded.
-EXAMPLES, TERMS = 6000, 4096
-#: Bytes of a term. A word's end counts as a byte, so a term may be a whole word.
-LENGTHS = (4, 5, 6, 7, 8, 10, 12)
-#: Examples in a block, neighbours of a text.
-BLOCK, NEIGHBOURS = 64, 9
-#: Weight of one more term that every vector has, for all the words that are no terms: a text with little evidence stays close to texts without any.
-BACKGROUND = 4.0
-#: Weight of the base rate against the neighbours' similarities.
-SHRINK = 0.15
+#: Labelled examples at most, and (example, term) pairs at most: with these the index and its broadcast are bounded. Where the
+#: examples hold more pairs than that, those come first whose id has the smaller hash.
+EXAMPLES, POSTINGS = 6000, 6_000_000
+#: Labelled rows whose votes are used to calibrate, at most.
+CALIBRATION = 3000
+#: Examples in a block; blocks of best bound that are read before any is skipped; neighbours of a text.
+BLOCK, FIRST, NEIGHBOURS = 64, 12, 25
+#: Weight of a term of which the labels say nothing, and the standard deviations from chance at which a term starts to weigh more and weighs fully.
+FLOOR, LOW, HIGH = 0.04, 4.0, 9.0
+#: Weight of the base rate against the neighbours' squared similarities.
+SHRINK = 0.0025
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 18
-
-
-def grams(text: str | None) -> np.ndarray:
-    """Terms of a text as 64-bit hashes; words are runs of letters and of bytes beyond ASCII, in lower case."""
-    raw = np.frombuffer(b" " + normal(text) + b" " * LENGTHS[-1], np.uint8)
-    space = raw == 32
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lasts = np.flatnonzero(~space[:-1] & space[1:])
-    size = lasts - starts + 2  # with the space after it
-    key, out = np.zeros(len(starts), np.uint64), []
-    for k in range(LENGTHS[-1]):
-        key = (key + raw[starts + k] + np.uint64(1)) * _MIX
-        if k + 1 in LENGTHS:
-            out.append(key[size > k])
-            keep = size > k + 1
-            starts, size, key = starts[keep], size[keep], key[keep]
-    return np.concatenate(out)
+
+
+def term_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text as sorted 64-bit hashes, and how often each stands in it."""
+    words = normal(text).split()
+    return np.unique(np.fromiter((zlib.crc32(w) << 32 | zlib.adler32(w) for w in words), np.uint64, len(words)) * _MIX, return_counts=True)
 
 
 def marks_of(text: str | None) -> list[int]:
@@ -80,141 +66,158 @@ def distinct(marks: list[list[int]]) -> list[int]:
     return out
 
 
+def relevance(df: np.ndarray, a: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """Of terms in df of n texts, a of them labelled 1 (pos in all): FLOOR, rising to 1 with the surplus over chance."""
+    if not 0 < pos < n:
+        return np.ones(len(df))
+    rate = pos / n
+    surplus = (a - df * rate) / np.sqrt(np.maximum(1e-9, df * rate * (1 - rate)))
+    return FLOOR + (1 - FLOOR) * np.clip((surplus - LOW) / (HIGH - LOW), 0, 1)
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of several runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def isotonic(votes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A rising curve from votes to the share of label 1, as points to interpolate between: neighbouring votes are pooled while their shares
+    fall. A pool of n rows counts half a row of each label more. Without both labels the curve is the vote itself."""
+    if not 0 < marks.sum() < len(marks):
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    pools: list[list[float]] = []  # rows, rows with label 1, sum of votes
+    for v, y in sorted(zip(votes.tolist(), marks.tolist(), strict=True)):
+        pools.append([1.0, y, v])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    rows, ones, sums = np.array(pools).T
+    return np.append(sums / rows, 1.0), np.append(np.maximum.accumulate((ones + 0.5) / (rows + 1)), (ones[-1] + 0.5) / (rows[-1] + 1))
+
+
 class Index:
     """Labelled examples (id, text, label 0 or 1) by block."""
 
     def __init__(self, examples: list[tuple[int, str, int]]):
         examples = sorted(examples)
-        bags = [np.unique(grams(t), return_counts=True) for _, t, _ in examples]
-        labels = np.array([y for _, _, y in examples], float)
-        once = distinct([marks_of(t) for _, t, _ in examples])
-        self._fill([k for k, _, _ in examples], labels, bags, *self._choose([bags[e] for e in once], labels[once]))
+        self._fill([k for k, _, _ in examples], np.array([y for _, _, y in examples], float), [term_keys(t) for _, t, _ in examples], distinct([marks_of(t) for _, t, _ in examples]))
 
     @classmethod
-    def of(cls, ids: list[int], labels: np.ndarray, bags: list, terms: np.ndarray, idf: np.ndarray) -> Index:
-        """An index whose terms are chosen already; bags (keys, counts) need hold no other keys."""
+    def of(cls, ids: list[int], labels: np.ndarray, bags: list, once: list[int]) -> Index:
+        """An index of bags of terms (keys, counts); once: the examples that are no copies of others."""
         out = cls.__new__(cls)
-        out._fill(ids, labels, bags, terms, idf)
+        out._fill(ids, labels, bags, once)
         return out
 
-    def _fill(self, ids: list[int], labels: np.ndarray, bags: list, terms: np.ndarray, idf: np.ndarray) -> None:
-        self.marks = labels
-        n, pos = len(ids), float(self.marks.sum())
-        self.base = (pos + 1) / (n + 2)
-        self.blank = None
-        self.terms, self.idf = terms, idf
-        # Terms by hash, where two share a slot by a list of further tables.
-        self.tables: list[np.ndarray] = []
-        left = np.arange(len(self.terms))
-        while len(left):
-            table = np.full(1 << _TABLE_BITS, -1, np.int32)
-            slots = self._slots(self.terms[left])
-            table[slots] = left
-            self.tables.append(table)
-            left = left[table[slots] != left]
-        vectors = [self._weights(*self._known(keys, counts)) for keys, counts in bags]
+    def _fill(self, ids: list[int], labels: np.ndarray, bags: list, once: list[int]) -> None:
+        n = len(ids)
+        self.base = (float(labels.sum()) + 1) / (n + 2)
+        none = np.zeros(0, np.uint64)
+        keys = np.concatenate([none, *[k for k, _ in bags]])
+        counts = np.concatenate([np.zeros(0), *[c for _, c in bags]])
+        owner = np.repeat(np.arange(n), [len(k) for k, _ in bags])
+        self.terms, term = np.unique(keys, return_inverse=True)
+        df = np.bincount(term, minlength=len(self.terms))
+        single = np.isin(owner, once)
+        seen = np.bincount(term[single], minlength=len(self.terms))
+        a = np.bincount(term[single], labels[owner[single]], minlength=len(self.terms))
+        # A word that every example holds still counts a little, so that no text with known words is without a vector.
+        self.worth = np.log1p(n / np.maximum(1, df)) * relevance(seen, a, len(once), float(labels[once].sum()))
+        weight = (1 + np.log(counts)) * self.worth[term]
+        weight /= np.sqrt(np.bincount(owner, weight * weight, minlength=n))[owner]
         # Examples with the same heaviest term stand together, which keeps the bounds of the other blocks low.
-        order = sorted(range(n), key=lambda e: (max((w, -t) for t, w in vectors[e])[1], e))
-        self.ids, self.marks = [ids[e] for e in order], self.marks[order]
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.terms) + 1)]
-        for place, e in enumerate(order):
-            for t, w in vectors[e]:
-                postings[t].append((place, w))
-        self.blocks = -(-n // BLOCK) if n else 0
-        self.most = np.zeros((len(postings), self.blocks), np.float64)
-        self.held: list[dict[int, list[tuple[int, float]]]] = []
-        for t, rows in enumerate(postings):
-            by: dict[int, list[tuple[int, float]]] = {}
-            for e, w in rows:
-                by.setdefault(e // BLOCK, []).append((e, w))
-            for b, part in by.items():
-                self.most[t, b] = max(w for _, w in part)
-            self.held.append(by)
-
-    @staticmethod
-    def _slots(keys: np.ndarray) -> np.ndarray:
-        return (keys * _MIX) >> np.uint64(64 - _TABLE_BITS)
-
-    @staticmethod
-    def _choose(bags: list, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The terms to keep, best first, and their inverse document frequencies."""
-        none, n, pos = np.zeros(0, np.uint64), len(bags), float(marks.sum())
-        keys, df = np.unique(np.concatenate([none, *[b[0] for b in bags]]), return_counts=True)
-        with_mark, times = np.unique(np.concatenate([none, *[b[0] for b, y in zip(bags, marks, strict=True) if y]]), return_counts=True)
-        a = np.zeros(len(keys))
-        a[np.searchsorted(keys, with_mark)] = times
-        return Index._best(keys, df, a, len(keys), n, pos)
-
-    @staticmethod
-    def _best(keys: np.ndarray, df: np.ndarray, a: np.ndarray, tried: int, n: int, pos: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of keys in df texts, a of them labelled, those to keep. tried: all keys that there are, these or more."""
-        if not 0 < pos < n:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        diff = a * n - pos * df
-        chi = n * diff * diff / np.maximum(1e-9, pos * (n - pos) * df * (n - df))
-        speaks = a / df >= (1 + pos / n) / 2
-        good = np.flatnonzero((chi >= 2 * math.log(max(2, tried)) + 8) & speaks & (df >= 3) & (df < n))
-        good = good[np.lexsort((keys[good], -chi[good]))][:TERMS]
-        return keys[good], np.log(n / df[good])
-
-    def _known(self, keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and counts of those keys that are terms."""
-        slots = self._slots(keys)
-        ids, times = [], []
-        for table in self.tables:
-            got = table[slots]
-            at = np.flatnonzero(got >= 0)
-            at = at[self.terms[got[at]] == keys[at]]
-            ids.append(got[at])
-            times.append(np.ones(len(at)) if counts is None else counts[at])
-        if not ids:
-            return np.zeros(0, np.int64), np.zeros(0)
-        found, where = np.unique(np.concatenate(ids), return_inverse=True)
-        return found, np.bincount(where, np.concatenate(times), len(found))
-
-    def _weights(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]]:
-        """(term, weight) at unit length; the background is the term after the last."""
-        raw = np.append((1 + np.log(counts)) * self.idf[ids], BACKGROUND) if len(ids) else np.array([BACKGROUND])
-        return list(zip([*ids.tolist(), len(self.terms)], (raw / math.sqrt(float(raw @ raw))).tolist(), strict=True))
-
-    def vector(self, text: str | None) -> list[tuple[int, float]]:
-        """The vector of a text."""
-        return self._weights(*self._known(grams(text)))
-
-    def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        order = np.lexsort((term, -weight, owner))
+        heaviest = np.full(n, len(self.terms))
+        first = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        heaviest[owner[order][first]] = term[order][first]
+        place = np.empty(n, np.int64)
+        place[np.lexsort((np.arange(n), heaviest))] = np.arange(n)
+        back = np.argsort(place)
+        self.ids, self.marks = np.array(ids, np.int64)[back], labels[back]
+        self.blocks = -(-n // BLOCK)
+        at = place[owner]
+        order = np.lexsort((at, term))
+        self.example, self.weight = at[order].astype(np.int32), weight[order]
+        run = np.flatnonzero((np.diff(term[order], prepend=-1) != 0) | (np.diff(at[order] // BLOCK, prepend=-1) != 0))
+        # A run: the postings of one term in one block. head[t] to head[t + 1] are the runs of term t.
+        self.start = np.append(run, len(order))
+        self.run_block = (self.example[run] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, run) if len(run) else np.zeros(0)
+        self.head = np.searchsorted(term[order][run], np.arange(len(self.terms) + 1))
+        self.curve = isotonic(np.zeros(0), np.zeros(0))
+
+    def calibrate(self, rows: int = CALIBRATION) -> Index:
+        """Fit the curve from votes to scores on the votes that examples get from the others."""
+        some = np.argsort((self.ids.view(np.uint64) * _MIX))[:rows]
+        held = self._by_example(some)
+        votes = np.array([self._vote(self.nearest(q, without=e)) for e, q in zip(some.tolist(), held, strict=True)])
+        self.curve = isotonic(votes, self.marks[some])
+        return self
+
+    def _by_example(self, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        wanted = np.flatnonzero(np.isin(self.example, some))
+        term = np.searchsorted(self.start[self.head], wanted, side="right") - 1
+        order = np.argsort(self.example[wanted], kind="stable")
+        wanted, term = wanted[order], term[order]
+        lo, hi = np.searchsorted(self.example[wanted], some, side="left"), np.searchsorted(self.example[wanted], some, side="right")
+        return [(term[i:j], self.weight[wanted[i:j]]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights at unit length) of a text; words that no example holds have no weight."""
+        keys, counts = term_keys(text)
+        at = np.searchsorted(self.terms, keys)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == keys[known]
+        raw = (1 + np.log(counts[known])) * self.worth[at[known]]
+        norm = math.sqrt(float(raw @ raw))
+        return at[known], raw / norm if norm else raw
+
+    def _similar(self, runs: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        """Sums by example over some runs, each with the query's weight of its term."""
+        sizes = self.start[runs + 1] - self.start[runs]
+        at = _flat(self.start[runs], sizes)
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(factor, sizes), minlength=self.blocks * BLOCK)
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties by id. Exact: only blocks that cannot matter are skipped."""
-        if not query:
+        term, weight = query
+        if not len(term) or not self.blocks:
             return []
-        bound = np.array([w for _, w in query]) @ self.most[[t for t, _ in query]]
-        best: list[tuple[float, int, int]] = []  # a heap of (cosine, -id, example)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[0][0] - 1e-12):
-                break
-            got: dict[int, float] = {}
-            for t, w in query:
-                for e, v in self.held[t].get(b, ()):
-                    got[e] = got.get(e, 0.0) + w * v
-            for e, s in got.items():
-                item = (round(s, 12), -self.ids[e], e)
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, e) for s, _, e in sorted(best, reverse=True)]
+        sizes = self.head[term + 1] - self.head[term]
+        runs = _flat(self.head[term], sizes)
+        factor = np.repeat(weight, sizes)
+        block = self.run_block[runs]
+        bound = np.bincount(block, self.most[runs] * factor, minlength=self.blocks)
+        todo = bound > 0
+        got = np.zeros(self.blocks * BLOCK)
+        if self.blocks > 2 * FIRST:
+            best = np.zeros(self.blocks, bool)
+            best[np.argpartition(-bound, FIRST)[:FIRST]] = True
+            now = best[block]
+            got = self._similar(runs[now], factor[now])
+            got[got.size if without < 0 else without : None if without < 0 else without + 1] = 0
+            least = np.partition(got, -k)[-k] if k < len(got) else 0.0
+            todo = ~best & (bound >= least - 1e-9) & todo
+        now = todo[block]
+        got += self._similar(runs[now], factor[now])
+        if without >= 0:
+            got[without] = 0
+        got = np.round(got[: len(self.ids)], 12)
+        able = np.flatnonzero(got > 0)
+        if k < len(able):
+            able = able[got[able] >= np.partition(got[able], -k)[-k]]
+        order = able[np.lexsort((self.ids[able], -got[able]))][:k]
+        return list(zip(got[order].tolist(), order.tolist(), strict=True))
+
+    def _vote(self, near: list[tuple[float, int]]) -> float:
+        weight = sum(s * s for s, _ in near)
+        return float((sum(s * s * self.marks[e] for s, e in near) + SHRINK * self.base) / (weight + SHRINK))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """Score from 0 to 1 and the neighbours."""
-        query = self.vector(text)
-        if len(query) == 1:  # nothing but the background: one answer for all such texts
-            if self.blank is None:
-                self.blank = self._vote(self.nearest(query))
-            return self.blank
-        return self._vote(self.nearest(query))
-
-    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list[tuple[float, int]]]:
-        weight = sum(s for s, _ in near)
-        vote = sum(s * self.marks[e] for s, e in near)
-        return float((vote + SHRINK * self.base) / (weight + SHRINK)), near
+        near = self.nearest(self.vector(text))
+        return float(np.interp(self._vote(near), *self.curve)), near
 
 
 _BAG = "doc_id long, label int, marks array<long>, keys array<long>, counts array<long>"
@@ -226,47 +229,33 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, t, y in zip(*batch.columns, strict=True):
             text = t.as_py()
-            keys, counts = np.unique(grams(text), return_counts=True)
+            keys, counts = term_keys(text)
             columns = [pa.array([k.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), *[pa.array([v], longs) for v in (marks_of(text), keys.view(np.int64), counts)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "marks", "keys", "counts"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES) -> Index:
-    """An index of at most `examples` labelled texts (labels: doc_id, toxic) for which `keep` over doc_id holds.
+def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES, postings: int = POSTINGS) -> Index:
+    """An index of at most `examples` labelled texts (labels: doc_id, toxic) for which `keep` over doc_id holds, with at most `postings` terms in all.
 
-    Texts are read whole, in the executors. The driver gets a few marks of each, the counts of keys that may be terms, and the
-    terms of each."""
+    Texts are read whole, in the executors; the driver gets the terms of those that the bounds let in. An id with several texts
+    is read by the smallest, an id with several labels has the smaller."""
     spark = docs.sparkSession
     ship(spark)
     picked = label_sample(labels, "toxic", examples, keep)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "doc_id")
     bags = written(rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("label").alias("label")).select("doc_id", "t", "label").mapInArrow(_bags, _BAG), "bags")
-    heads = sorted(bags.select("doc_id", "label", "marks").collect())
-    marks = np.array([r["label"] for r in heads], float)
-    once = distinct([r["marks"] for r in heads])
-    n, pos = len(once), float(marks[once].sum())
-    single = F.broadcast(spark.createDataFrame([(heads[e]["doc_id"],) for e in once], "doc_id long"))
-    keys = written(bags.join(single, "doc_id").select("label", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).alias("a")), "keys")
-    # A little more than _best keeps, so that no rounding matters; it has the last word.
-    able = keys.where((F.col("df") >= 3) & (F.col("df") < n) & (F.col("a") >= F.col("df") * ((1 + pos / max(1, n)) / 2 - 1e-6))).orderBy("key").collect() if 0 < pos < n else []
-    found = [np.array([r[c] for r in able], np.int64) for c in ("key", "df", "a")]
-    order = np.argsort(found[0].view(np.uint64))
-    terms, idf = Index._best(found[0].view(np.uint64)[order], found[1][order], found[2][order].astype(float), keys.count(), n, pos)
-    known = spark.sparkContext.broadcast(np.sort(terms))
-
-    def only_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        for batch in batches:
-            for k, held, counts in zip(*batch.columns, strict=True):
-                held = held.values.to_numpy(zero_copy_only=False)
-                at = np.isin(held.view(np.uint64), known.value)
-                counts = counts.values.to_numpy(zero_copy_only=False)[at]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([held[at]], longs), pa.array([counts], longs)], ["doc_id", "keys", "counts"])
-
-    few = {r["doc_id"]: (np.array(r["keys"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)) for r in bags.select("doc_id", "keys", "counts").mapInArrow(only_terms, "doc_id long, keys array<long>, counts array<long>").collect()}
-    for done in (bags, keys):
-        dropped(done)
-    return Index.of([r["doc_id"] for r in heads], marks, [few[r["doc_id"]] for r in heads], terms, idf)
+    sizes = bags.select("doc_id", F.size("keys").cast("long").alias("n"), F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()
+    total, within = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["n"]
+        if total > postings:
+            break
+        within.append((r["doc_id"],))
+    held = bags if len(within) == len(sizes) else bags.join(F.broadcast(spark.createDataFrame(within, "doc_id long")), "doc_id")
+    got = sorted(held.collect(), key=lambda r: r["doc_id"])
+    dropped(bags)
+    pairs = [(np.array(r["keys"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)) for r in got]
+    return Index.of([r["doc_id"] for r in got], np.array([r["label"] for r in got], float), pairs, distinct([r["marks"] for r in got])).calibrate()
 
 
 SCHEMA = "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>"
@@ -275,7 +264,8 @@ SCHEMA = "doc_id long, score double, evidence array<struct<doc_id: bigint, simil
 def score(docs: DataFrame, index: Index, shown: int = 3) -> DataFrame:
     """doc_id, score, evidence (the nearest `shown` examples) for every row of docs; reads nothing but the text.
 
-    Null or empty text counts as a text without any term. Without labels every score is 0.5. Repeated rows score alike, ties go to the smaller example id. Very long texts are read whole. Empty table: no rows."""
+    Null or empty text, and text without a known word, has no neighbours and the score of the base rate; without labels every score is 0.5. Repeated rows score
+    alike, ties go to the smaller example id. Very long texts are read whole; a null doc_id stays null; other columns, whatever their names, are ignored. Empty table: no rows."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -287,7 +277,7 @@ def score(docs: DataFrame, index: Index, shown: int = 3) -> DataFrame:
             for t in batch.column(1):
                 s, near = ix.score(t.as_py())
                 scores.append(s)
-                evidence.append([{"doc_id": ix.ids[e], "similarity": c, "toxic": int(ix.marks[e])} for c, e in near[:shown]])
+                evidence.append([{"doc_id": int(ix.ids[e]), "similarity": c, "toxic": int(ix.marks[e])} for c, e in near[:shown]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

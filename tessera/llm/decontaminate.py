@@ -1,9 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become lower-case word tokens. A Karp-Rabin hash that runs over SEED tokens joins a document with the test items that share a
-seed. For each such pair the longest common runs of tokens that are still unmarked are marked as tiles, again and again
+Texts become lower-case word tokens; a script that writes no spaces gives a token for each character. A Karp-Rabin hash that runs over SEED tokens joins a
+document with the test items that share a seed. For each such pair the longest common runs of tokens that are still unmarked are marked as tiles, again and again
 (Wise 1993), so a reordered or edited passage still gives its pieces. The share of an item's tokens under tiles is its
-coverage; at THRESHOLD the document is contaminated.
+coverage; at THRESHOLD the document is contaminated. An item shorter than a seed is its own seed: it has to stand in the document whole.
+
+Pairs of seed positions are joined into runs where there are few of them; where a text repeats itself and they would grow with the product of both lengths, hashes over
+runs of other lengths find the longest match instead. Both give the same tiles.
 
 The items travel to the documents in blocks of bounded size, each a broadcast; documents are never shuffled or compared with each other.
 """
@@ -24,21 +27,28 @@ from pyspark.sql import functions as F
 from tessera.llm.rows import carried, text_column
 from tessera.shipping import ship
 
-#: Tokens of a seed, so of the shortest tile.
+#: Tokens of a seed, so of the shortest tile of an item that has as many.
 SEED = 5
 #: Share of an item's tokens under tiles from which a document counts as contaminated.
 THRESHOLD = 0.5
 #: Characters of test items in one broadcast.
 BLOCK_CHARS = 8_000_000
 
-_TOKEN = re.compile(r"\w+")
+#: Pairs of seed positions are enumerated while there are at most this many a token of text and item.
+PAIRS = 16
+#: Letters of scripts that write no spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_SPACED_TOKEN, _TOKEN = re.compile(r"\w+"), re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _TABLE_BITS = 20
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_SPACED_TOKEN if text.isascii() or not _ANY_UNSPACED.search(text) else _TOKEN).findall(text.lower())
 
 
 def running_hash(values: np.ndarray, size: int) -> np.ndarray:
@@ -95,52 +105,149 @@ def tiles(item: list[str], text: list[str], seeds: list[tuple[int, int]], size:
     return out
 
 
+class _Prefixes:
+    """Hashes of all runs of any length of some values, modulo 2^64."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * powers[:-1], dtype=np.uint64)])
+        self.back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
+
+    def runs(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[starts + size] - self.sums[starts]) * self.back[starts]
+
+
+def running_tiles(item: np.ndarray, text: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """tiles() from token values alone, in time that the lengths bound whatever the number of seed pairs.
+
+    The greatest length at which an unmarked run of both sides has the same hash is found by halving; all tiles of that length are
+    taken in one sweep, then the next length is looked for."""
+    sides = [(_Prefixes(v), np.zeros(len(v), bool), v) for v in (item, text)]
+
+    def free(marks: np.ndarray, length: int) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(marks)])
+        return np.flatnonzero(before[length:] == before[:-length]) if length <= len(marks) else np.zeros(0, np.int64)
+
+    def hashed(length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for prefixes, marks, _ in sides:
+            starts = free(marks, length)
+            out.append((starts, prefixes.runs(starts, length)))
+        return out
+
+    def common(length: int) -> bool:
+        (_, a), (_, b) = hashed(length)
+        return bool(len(a) and len(b) and np.isin(a, b).any())
+
+    out: list[tuple[int, int, int]] = []
+    high = min(len(item), len(text))
+    while high >= size and common(size):
+        low = size
+        while low < high:  # the greatest length is within [low, high]
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        (at_item, a), (at_text, b) = hashed(low)
+        order = np.argsort(b, kind="stable")
+        b, at_text = b[order], at_text[order]
+        first, end = np.searchsorted(b, a, side="left"), np.searchsorted(b, a, side="right")
+        hit = first < end
+        reached: dict[int, int] = {}
+        (_, in_item, _), (_, in_text, _) = sides
+        for j, f, e in zip(at_item[hit].tolist(), first[hit].tolist(), end[hit].tolist(), strict=True):
+            if in_item[j : j + low].any():
+                continue
+            at = reached.get(f, f)
+            while at < e and in_text[at_text[at] : at_text[at] + low].any():
+                at += 1
+            reached[f] = at
+            if at < e and np.array_equal(item[j : j + low], text[at_text[at] : at_text[at] + low]):
+                i = int(at_text[at])
+                out.append((j, i, low))
+                in_item[j : j + low] = in_text[i : i + low] = True
+        high = low - 1
+    return out
+
+
+def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers from a to below b of each pair, one after the other."""
+    sizes = b - a
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - ends + sizes, sizes)
+
+
+class Seeds:
+    """Seeds of one size of some test items, as sorted arrays. Hashes are those of this process, so seeds are built where they are used."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], size: int):
+        self.size, self.items = size, items
+        self.values = [word_hashes(words) for _, words in items]
+        hashes = [running_hash(v, size) for v in self.values]
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.argsort(self.hash, kind="stable")
+        self.hash = self.hash[order]
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(h) for h in hashes])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])[order].astype(np.int32)
+        self.some = np.zeros(1 << _TABLE_BITS, bool)
+        self.some[self.hash >> np.uint64(64 - _TABLE_BITS)] = True
+
+    def matches(self, words: list[str], values: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+        hashes = running_hash(values, self.size)
+        at = np.flatnonzero(self.some[hashes >> np.uint64(64 - _TABLE_BITS)])
+        if not len(at):
+            return
+        seen, back, times = np.unique(hashes[at], return_inverse=True, return_counts=True)
+        lo, hi = np.searchsorted(self.hash, seen, side="left"), np.searchsorted(self.hash, seen, side="right")
+        rows = _numbers(lo, hi)
+        owner = np.repeat(np.arange(len(seen)), hi - lo)
+        order = np.lexsort((self.place[rows], self.item[rows]))
+        rows, owner = rows[order], owner[order]
+        cuts = np.flatnonzero(np.diff(self.item[rows])) + 1
+        by_hash = np.argsort(back, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(times)])
+        for some, of in zip(np.split(rows, cuts), np.split(owner, cuts), strict=True):
+            if not len(some):
+                continue
+            key, item = self.items[self.item[some[0]]]
+            place = self.place[some]
+            # What the seeds cover at most, marked or not.
+            if np.minimum(np.diff(place, append=place[-1] + self.size), self.size).sum() < threshold * len(item):
+                continue
+            if int(times[of].sum()) <= PAIRS * (len(item) + len(words)):
+                where = at[by_hash[_numbers(starts[of], starts[of + 1])]]
+                found = tiles(item, words, list(zip(where.tolist(), np.repeat(place, times[of]).tolist(), strict=True)), self.size)
+            else:
+                found = running_tiles(self.values[self.item[some[0]]], values, self.size)
+            tiled = sum(t[2] for t in found)
+            if tiled and tiled >= threshold * len(item):
+                yield key, len(item), tiled, len(found), tiled / len(item)
+
+
 class Index:
-    """Seeds of some test items. Hashes are those of this process, so an index is built where it is used."""
+    """Test items by the size of their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], size: int = SEED):
-        self.size = size
-        self.items = [(k, words) for k, t in items if len(words := tokens(t)) >= size]
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.some = np.zeros(1 << _TABLE_BITS, bool)
-        for n, (_, words) in enumerate(self.items):
-            hashes = running_hash(word_hashes(words), size)
-            self.some[hashes >> np.uint64(64 - _TABLE_BITS)] = True
-            for j, h in enumerate(hashes.tolist()):
-                self.seeds[h].append((n, j))
+        by_size: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+        for k, t in items:
+            if words := tokens(t):
+                by_size[min(size, len(words))].append((k, words))
+        self.seeds = [Seeds(found, n) for n, found in sorted(by_size.items())]
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(item id, item tokens, tiled tokens, tiles, coverage) for each item covered to the threshold."""
         words = tokens(text)
-        if len(words) < self.size or not self.items:
-            return []
-        hashes = running_hash(word_hashes(words), self.size)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i in np.flatnonzero(self.some[hashes >> np.uint64(64 - _TABLE_BITS)]).tolist():
-            for n, j in self.seeds.get(int(hashes[i]), ()):
-                hits[n].append((i, j))
-        out = []
-        for n, seeds in hits.items():
-            key, item = self.items[n]
-            # Each seed covers at most `size` new tokens of the item.
-            if len({j for _, j in seeds}) + (self.size - 1) * len({j for _, j in seeds}) < threshold * len(item):
-                continue
-            found = tiles(item, words, seeds, self.size)
-            tiled = sum(t[2] for t in found)
-            if tiled >= threshold * len(item):
-                out.append((key, len(item), tiled, len(found), tiled / len(item)))
-        return sorted(out)
+        values = word_hashes(words)
+        return sorted(m for seeds in self.seeds for m in seeds.matches(words, values, threshold))
 
 
 _indexes: dict[tuple[int, int, int], Index] = {}
 
 
 def index_of(items: list[tuple[int, str]], size: int) -> Index:
-    """One per worker process and block."""
+    """The index of the block that a worker process reads now; it holds no other."""
     key = (zlib.crc32(repr(items).encode("utf-8", "replace")), len(items), size)
     if key not in _indexes:
-        if len(_indexes) > 3:
-            _indexes.clear()
+        _indexes.clear()
         _indexes[key] = Index(items, size)
     return _indexes[key]
 
@@ -176,8 +283,9 @@ def _with_hits(docs: DataFrame, items: list[tuple[int, str]], carry: Column | No
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_tokens, tiled_tokens, tiles, coverage: a row for each document and test item that it covers to the threshold.
 
-    Null, empty or shorter texts than a seed have no rows, nor have items with null id or text or fewer tokens than a seed. Repeated documents give
-    a row each, repeated items one. Very long texts are tiled whole. Ties between tiles go by position. Either table empty: no rows."""
+    Null texts and texts without a word have no rows, nor have items with null id, null text or no word. An item of fewer tokens than a seed is found where it stands
+    whole. A null doc_id stays null. Repeated documents give a row each, repeated items one. Very long texts are tiled whole, repetitive ones in near-linear time. Ties between
+    tiles go by position. Other columns, whatever their names, are ignored. Either table empty: no rows."""
     out = None
     for items in blocks(benchmark):
         part = _with_hits(docs, items, F.col("doc_id").cast("long"), "doc_id", size, threshold).select("doc_id", F.inline("hits"))
@@ -186,7 +294,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, thresh
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that cover no test item to the threshold, with all their columns."""
+    """The rows of docs that cover no test item to the threshold, with all their columns, whatever their names.
+
+    Null texts, texts without a word and rows with a null doc_id are judged by their text alone; repeated rows are kept or dropped together. Items, very
+    long texts and ties: as in contaminated(). Benchmark empty: all rows; docs empty: none."""
     for items in blocks(benchmark):
         docs = _with_hits(docs, items, None, "row", size, threshold).where(F.size("hits") == 0).select("row.*")
     return docs

@@ -1,16 +1,18 @@
 """Harmonic packing of tokenised documents into fixed-capacity training sequences.
 
-Lengths fall into reciprocal-capacity classes (C/1, C/2, C/4, C/8): a document is cut into whole pieces of those
-lengths, largest first, and what remains is shorter than C/8. A bin of class m takes exactly m pieces of C/m tokens, so
-it is full without any comparison of lengths; remainders, the last class, run on through their bins and are cut at a bin's end.
-Every task fills its own bins: no shuffle, no shared state. What is open when a task ends is closed as sequences whose
-lengths are powers of two, which need no padding.
+A document that fits a sequence has the class m of its length: it is longer than C/(m+1) and at most C/m, so m documents of the class
+always fit one bin, and a bin of class m is given exactly m, without any search. Documents of at most C/CLASSES tokens share the last class, whose bins
+take the next document until one doesn't fit. What a bin has left over is filled with tokens of documents longer than a sequence, which have to be cut
+anyway. A bin for which there are none yet waits; where too many wait, or the input ends, documents that fit are cut as well. Every task
+fills its own bins: no shuffle, no shared state. What is open when a task ends is closed as full sequences and sequences whose
+lengths are powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 
 #: Code points for which both tokenizer libraries split words alike whatever Unicode version they were built with.
 _PLAIN = re.compile("[^\x00-ɏ‐-‧€]")
+#: The last class. Bins that wait for filling, and sequences' worth of cut tokens held to fill them, in a task at most.
+CLASSES, WAITING, STOCK = 32, 64, 16
 _encoders: dict = {}
 
 
@@ -75,13 +79,13 @@ def powers(total: int) -> list[int]:
 class Packer:
     """The bins of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, first_id: int, capacity: int = 2048, parts: tuple[int, ...] = (1, 2, 4, 8)):
-        if any(capacity % m for m in parts) or parts[0] != 1 or list(parts) != sorted(parts):
-            raise ValueError("parts must be ascending divisors of the capacity, from 1")
-        self.capacity, self.parts, self.next_id = capacity, parts, first_id
-        self.bins: dict[int, list] = {m: [] for m in parts}
-        self.rest: list = []
-        self.rest_len = 0
+    def __init__(self, first_id: int, capacity: int = 2048, classes: int = CLASSES, waiting: int = WAITING, stock: int = STOCK):
+        self.capacity, self.classes, self.most_waiting, self.most_stock, self.next_id = capacity, classes, waiting, stock * capacity, first_id
+        self.bins: dict[int, list] = {m: [] for m in range(1, classes + 1)}
+        self.last_len = 0
+        self.waiting: deque[tuple[list, int]] = deque()  # (pieces, tokens of space left)
+        self.stock: deque = deque()
+        self.stock_len = 0
         self.out: list[tuple] = []
 
     def _close(self, pieces: list, lengths: list[int]) -> None:
@@ -99,29 +103,77 @@ class Packer:
                 ids, start, room, at = ids[take:], start + take, room - take, at + take
         self.next_id += 1
 
+    def _taken(self, want: int) -> list:
+        """Pieces of the stock with `want` tokens, or all of it."""
+        got = []
+        while want and self.stock:
+            doc_id, start, ids, n = self.stock.popleft()
+            take = min(want, len(ids))
+            got.append((doc_id, start, ids[:take], n))
+            if take < len(ids):
+                self.stock.appendleft((doc_id, start + take, ids[take:], n))
+            want -= take
+            self.stock_len -= take
+        return got
+
+    def _fill(self) -> None:
+        """Fill waiting bins, the longest waiting first, while there is stock for them; then keep the stock within its bound."""
+        while self.waiting and self.stock:
+            pieces, space = self.waiting.popleft()
+            got = self._taken(space)
+            space -= sum(len(p[2]) for p in got)
+            if space:
+                self.waiting.appendleft((pieces + got, space))
+            else:
+                self._close(pieces + got, [self.capacity])
+        while self.stock_len > self.most_stock:
+            self._close(self._taken(self.capacity), [self.capacity])
+
+    def _supply(self, piece: tuple) -> None:
+        self.stock.append(piece)
+        self.stock_len += len(piece[2])
+        self._fill()
+
+    def _full(self, pieces: list, used: int) -> None:
+        """A bin that has all its documents."""
+        if used == self.capacity:
+            self._close(pieces, [self.capacity])
+        else:
+            self.waiting.append((pieces, self.capacity - used))
+            self._fill()
+
     def add(self, doc_id, ids: np.ndarray) -> None:
-        n, start = len(ids), 0
-        for m in self.parts:
-            size = self.capacity // m
-            while n - start >= size:
-                pieces = self.bins[m]
-                pieces.append((doc_id, start, ids[start : start + size], n))
-                start += size
-                if len(pieces) == m:
-                    self._close(pieces, [self.capacity])
-                    self.bins[m] = []
-        while start < n:
-            take = min(n - start, self.capacity - self.rest_len)
-            self.rest.append((doc_id, start, ids[start : start + take].copy(), n))
-            self.rest_len, start = self.rest_len + take, start + take
-            if self.rest_len == self.capacity:
-                self._close(self.rest, [self.capacity])
-                self.rest, self.rest_len = [], 0
+        n = len(ids)
+        piece = (doc_id, 0, ids, n)
+        if n > self.capacity or len(self.waiting) >= self.most_waiting:
+            self._supply(piece)
+            return
+        m = min(self.classes, self.capacity // n)
+        if m == self.classes:
+            if self.last_len + n > self.capacity:
+                self._full(self.bins[m], self.last_len)
+                self.bins[m], self.last_len = [], 0
+            self.last_len += n
+            self.bins[m].append(piece)
+            return
+        self.bins[m].append(piece)
+        if len(self.bins[m]) == m:
+            self._full(self.bins[m], sum(len(p[2]) for p in self.bins[m]))
+            self.bins[m] = []
 
     def finish(self) -> None:
-        for pieces in [*self.bins.values(), self.rest]:
-            if total := sum(len(p[2]) for p in pieces):
-                self._close(pieces, powers(total))
+        """Close what is open: the documents of bins that have not all theirs fill those that wait, and follow each other over the rest."""
+        for m, pieces in self.bins.items():
+            for piece in pieces:
+                self.stock.append(piece)
+                self.stock_len += len(piece[2])
+            self.bins[m] = []
+        self.last_len, self.most_stock = 0, float("inf")
+        self._fill()
+        left = [p for pieces, _ in self.waiting for p in pieces] + self._taken(self.stock_len)
+        self.waiting.clear()
+        if total := sum(len(p[2]) for p in left):
+            self._close(left, [self.capacity] * (total // self.capacity) + powers(total % self.capacity))
 
     def drain(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) if self.out else [[] for _ in _ARROW]
@@ -133,8 +185,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
     """Pack every document (doc_id, text) into sequences; one row per piece (SCHEMA).
 
     A document's ids are the tokenizer file's, then end_id. Null or empty text: end_id alone. Repeated rows are packed once each;
-    a null doc_id stays null. Very long texts become many whole sequences; other columns are ignored. An empty
-    table gives no rows. Sequence ids are unique, offsets within one are gapless from 0."""
+    a null doc_id stays null. A very long text is cut over many sequences; documents that fit one are cut only where no longer document's tokens are there to
+    fill their bins. Documents of the same length follow each other as read. Other columns, whatever their names, are ignored. An empty table gives no rows. Sequence ids are unique, offsets within one are gapless from 0."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -62,6 +62,43 @@ def test_bins(seed):
     assert len({r["sequence_id"] for r in rows}) <= sum(map(len, want.values())) // 64 + 24
 
 
+def packed(lengths, capacity=2048, **bounds):
+    packer, want = Packer(0, capacity, **bounds), {}
+    for k, n in enumerate(lengths):
+        want[k] = np.full(n, k, "<u4")
+        packer.add(k, want[k])
+    packer.finish()
+    rows = packer.drain().to_pylist()
+    check(rows, want, capacity)
+    return rows
+
+
+def split(rows, capacity=2048):
+    pieces = Counter(r["doc_id"] for r in rows if r["doc_tokens"] <= capacity)
+    return sum(n > 1 for n in pieces.values()) / max(1, len(pieces))
+
+
+def test_a_bin_holds_as_many_documents_as_its_class_says():
+    rng = np.random.default_rng(4)
+    for m in (1, 2, 3, 7, 20):
+        lengths = rng.integers(2048 // (m + 1) + 1, 2048 // m + 1, 40 * m)
+        rows = packed([*lengths.tolist(), *[9000] * 40])
+        by_sequence = {}
+        for r in rows:
+            if r["doc_tokens"] <= 2048:
+                by_sequence.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+        assert split(rows) == 0 and {len(v) for v in by_sequence.values()} == {m}
+
+
+def test_few_documents_that_fit_are_cut():
+    rng = np.random.default_rng(5)
+    rows = packed(np.minimum(20_000, 1 + np.exp(rng.normal(6.4, 1.05, 4000)).astype(int)).tolist())
+    assert split(rows) < 0.02
+    assert sum(r["length"] for r in rows) > 0.999 * 2048 * (len({r["sequence_id"] for r in rows}) - 11)
+    # Without a longer document a bin's space takes other documents, the same few for many bins.
+    assert split(packed([1500] * 3000)) < 0.3 and split(packed([300] * 3000)) < 0.15
+
+
 def test_powers():
     assert powers(13) == [8, 4, 1] and powers(0) == []
 

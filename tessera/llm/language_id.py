@@ -20,24 +20,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.rows import carried, text_column
-from tessera.llm.sampling import fold
 from tessera.shipping import ship
 
 #: Bytes of labelled text for a language, and for all languages together, at most.
 EACH, ALL = 32_768, 1 << 20
+#: Languages to learn at most: those with the most labelled texts, so that a noisy lang column bounds the model too.
+LANGS = 64
 #: Characters taken from one labelled text, so that a language's text comes from several.
 EXCERPT = 4096
 #: How sharply the score falls with the distance in bits a byte.
 SHARPNESS = 6.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _RUNS = re.compile(rb"  +")
 
 
 def normal(text: str | None) -> bytes:
     """Lower-case UTF-8 in which runs of other ASCII characters than letters are one space; empty without a letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return b""
     return _RUNS.sub(b" ", text.lower().encode("utf-8", "replace").translate(_FOLD)).strip()
 
@@ -149,12 +149,12 @@ class Model:
 
 
 def fit(docs: DataFrame, keep: Column) -> Model:
-    """A model from labelled rows of docs (doc_id, text, lang) for which `keep` holds: at most EACH bytes a language.
+    """A model from labelled rows of docs (doc_id, text, lang) for which `keep` holds: at most LANGS languages, EACH bytes of each.
 
     A text gives at most EXCERPT characters, from a hashed place anywhere in it. Shorter texts are drawn in larger numbers, and
     the draw grows until a language has its bytes or no more texts."""
     labelled = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(EXCERPT))).alias("size")).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(EXCERPT))).alias("size")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     each = min(EACH, ALL // max(1, len(sizes)))
     counts = {r["lang"]: r["n"] for r in sizes}
     need = {r["lang"]: 16 * math.ceil(each / max(1, r["size"])) + 32 for r in sizes}  # texts drawn from a language, on average
@@ -188,7 +188,8 @@ def identify(docs: DataFrame, model: Model, carry: Column | None, name: str) ->
     """`carry` (or the whole row) as `name`, lang_pred, score for every row of docs; reads nothing but text.
 
     Null text or no letter: und, score 0; so is every text when no language was learned. Repeated rows and ties (the
-    alphabetically first language) give equal results; very long texts are parsed whole. Empty table: no rows."""
+    alphabetically first language) give equal results; very long texts are parsed whole; a null id stays null. With `carry` other columns are
+    ignored, without it they travel inside the row's struct, so no name can clash. Empty table: no rows."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,11 +204,10 @@ def identify(docs: DataFrame, model: Model, carry: Column | None, name: str) ->
     return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(fold(doc_id, 5) == 0, F.lit(False))
-
-
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs with a language that wins by more than half of the score, with all their columns."""
+    """The rows of docs with a language that wins by more than half of the score, with all their columns, whatever their names.
+
+    Null texts and texts without a letter go; rows with a null doc_id are judged by their text; repeated rows stay or go together. Very long texts and ties: as
+    in identify(). Empty table, or no language learned: no rows."""
     rows = identify(docs, model, None, "row")
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -65,3 +65,18 @@ def test_edge_rows(spark):
     assert L.identify(empty, model, empty["doc_id"], "doc_id").count() == 0
     nothing = L.fit(empty, empty["doc_id"].isNotNull())
     assert {(r["lang_pred"], r["score"]) for r in L.identify(df, nothing, df["doc_id"], "doc_id").collect()} == {("und", 0.0)}
+
+
+def test_und_without_a_letter(spark):
+    model = L.Model(TEXTS)
+    for text in ("½ ½", "²³", "①②", "ⅷ", "12 _ 3", "", None, "🙂"):
+        assert model.predict([text])[0] == [L.UNKNOWN] and model.predict([text])[1][0] == 0
+    assert model.predict(["ª x"])[0] != [L.UNKNOWN]
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGS", 3)
+    rows = [(k, f"some text {k % 9} of this", f"l{min(k % 9, k % 5)}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    most = sorted({r[2] for r in rows}, key=lambda v: (-sum(r[2] == v for r in rows), v))[:3]
+    assert L.fit(df, F.lit(True)).langs == sorted(most)

@@ -83,6 +83,16 @@ def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def simplified(rule: Rule) -> Rule:
+    """The rule without conditions that another one on the same statistic implies."""
+    tightest: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        had = tightest.get((c.feature, c.at_least))
+        if had is None or (c.threshold > had.threshold) == c.at_least:
+            tightest[c.feature, c.at_least] = c
+    return tuple(tightest.values())
+
+
 def learn(x: np.ndarray, bad: np.ndarray, most: int = 12, longest: int = 4, precision: float = 0.95, least: int = 5) -> list[Rule]:
     """Ordered rejection rules from statistics (TESTED, a row each) and marks. No bad or no good text: no rules."""
     rules: list[Rule] = []
@@ -99,7 +109,7 @@ def learn(x: np.ndarray, bad: np.ndarray, most: int = 12, longest: int = 4, prec
         p, n = (got & bad).sum(), (got & ~bad).sum()
         if not rule or p < least or p / (p + n) < precision:
             break
-        rules.append(rule)
+        rules.append(simplified(rule))
         left &= ~got
     return rules
 
@@ -130,11 +140,15 @@ def with_stats(docs: DataFrame, carry: Column | None, name: str) -> DataFrame:
     return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, stat struct<{', '.join(f'{f}: double' for f in FEATURES)}>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from at most `sample` labelled rows (quality 0 is bad)."""
-    picked = label_sample(labels, "quality", sample)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
-    got = with_stats(rows, F.struct("doc_id", "label"), "k").select("k.doc_id", "k.label", "stat").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: Column | None = None) -> list[Rule]:
+    """Rules from at most `sample` labelled rows (quality 0 is bad) for which `keep` over doc_id holds.
+
+    Texts that the base rules reject are left out: no learned rule ever decides on them. An id with several texts is read by that of the smallest hash."""
+    picked = label_sample(labels, "quality", sample, keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    known = with_stats(rows, F.struct("doc_id", "label", F.xxhash64("text").alias("h")), "k").select("k.*", "stat")
+    one = known.groupBy("doc_id").agg(F.min(F.struct("h", "label", "stat")).alias("s")).select("doc_id", "s.label", "s.stat")
+    got = one.where(~base_failed(F.col("stat"))).orderBy("doc_id").collect()
     x = np.array([[r["stat"][f] for f in TESTED] for r in got], float).reshape(-1, len(TESTED))
     return learn(x, np.array([r["label"] == 0 for r in got], bool))
 
@@ -148,7 +162,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Counts, base_failed, rule (the first that rejects, else 0) and kept for every row of docs.
 
     Null or wordless text: all counts 0, base_failed, not kept. Repeated rows are judged alike, one result each; a null
-    doc_id stays null; columns beyond doc_id and text are ignored. Empty table: no rows."""
+    doc_id stays null; very long texts are counted whole; a value that ties with a threshold is at least it. Columns beyond doc_id and text, whatever their
+    names, are ignored. Empty table: no rows."""
     stat = F.col("stat")
     return (
         with_stats(docs, F.col("doc_id").cast("long"), "doc_id")
@@ -158,6 +173,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
+    """The rows of docs that judge() keeps, with all their columns, whatever their names; nulls, very long texts, ties and
+    repeated rows are treated as there. Empty table: no rows."""
     rows = with_stats(docs, None, "row")
     return rows.where(~base_failed(F.col("stat")) & (expression(rules, F.col("stat")) == 0)).select("row.*")

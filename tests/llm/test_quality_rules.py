@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules as Q
+from tessera.llm.sampling import fold
 from tessera.llm.textstats import COUNTS, FEATURES, stats
 
 
@@ -65,6 +66,22 @@ def test_verdicts_on_labels(spark):
     assert share[1]["ruled"] < 0.01 and share[0]["kept"] < 0.05
 
 
+def test_verdicts_on_rows_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = Q.fit(docs, labels, keep=fold(F.col("doc_id"), 5) != 0)
+    held = labels.where(fold(F.col("doc_id"), 5) == 0)
+    judged = Q.judge(docs, rules).where("NOT base_failed").join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    share = {r["quality"]: r for r in judged}
+    print({q: (r["n"], r["kept"]) for q, r in share.items()})
+    assert share[1]["kept"] > 0.99 and (0 not in share or share[0]["kept"] < 0.1)
+
+
+def test_redundant_conditions_go():
+    c = Q.Condition
+    rule = (c("repeat_share", True, 0.54), c("upper_share", False, 0.3), c("repeat_share", True, 0.87), c("upper_share", False, 0.4))
+    assert Q.simplified(rule) == (c("repeat_share", True, 0.87), c("upper_share", False, 0.3))
+
+
 def test_counts_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -2,7 +2,7 @@
 
 A linear model on style features is fitted by minimising the non-negative unbiased risk (Kiryo et al. 2017) with logistic loss:
 prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]). Positives are trusted texts, the unlabelled are a draw of all
-texts, and the class prior is estimated: from the labelled rows where they hold both classes, else by Elkan and Noto's ratio.
+texts, and the class prior is estimated from these two by Elkan and Noto's ratio; no label of a bad text is read.
 """
 
 from __future__ import annotations
@@ -118,24 +118,27 @@ def _matrix(rows: list) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> Model:
-    """A model from labelled rows (labels: doc_id, quality) and texts for which `keep` over doc_id holds."""
-    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    shares = labels.where(keep & F.col("quality").isNotNull()).agg(F.avg(F.col("quality").cast("double")).alias("m"), F.count("*").alias("n")).first()
-    prior = (shares["m"] * shares["n"] + 1) / (shares["n"] + 2) if shares["n"] and 0 < shares["m"] < 1 else None
-    picked = F.broadcast(label_sample(labels.where("quality = 1"), "quality", POSITIVES, keep))
-    good = _featured(ids.select("doc_id", "text").join(picked, "doc_id"), [F.col("doc_id")]).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    """A model from trusted rows (labels: doc_id, quality; an id labelled both ways is not trusted) and texts for which `keep` over doc_id holds."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    picked = F.broadcast(label_sample(labels, "quality", POSITIVES, keep, only=1))
+    good = _one_each(_featured(ids.join(picked, "doc_id"), [F.col("doc_id"), F.xxhash64("text").alias("h")])).collect()
     n = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30))
     some = ids.where(keep & (draw < int(min(1.0, 0.9 * UNLABELLED / max(1, n)) * (1 << 30))))
-    rest = _featured(some.select("doc_id", "text"), [F.col("doc_id")]).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(UNLABELLED).collect()
-    return learn(_matrix(good), _matrix(rest), prior)
+    rest = _one_each(_featured(some, [F.col("doc_id"), F.xxhash64("text").alias("h")])).limit(UNLABELLED).collect()
+    return learn(_matrix(good), _matrix(rest), None)
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """doc_id and x of one row of each doc_id, in order: that of the text with the smallest hash."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct("h", "x")).alias("s")).select("doc_id", "s.x").orderBy("doc_id")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (probability of good quality) for every row of docs; reads nothing but the text.
 
-    Null or empty text: the score of zero features. Repeated rows score alike. Very long texts are read whole; other columns
-    are ignored; a null doc_id stays null. Empty table: no rows."""
+    Null or empty text: the score of zero features. Repeated rows, and texts that tie in all features, score alike. Very long texts are read whole; other columns, whatever
+    their names, are ignored; a null doc_id stays null. Empty table: no rows."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

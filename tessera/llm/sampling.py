@@ -11,9 +11,11 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def label_sample(labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:
-    """(doc_id, label int) of at most `most` labelled ids, an even draw by hash. Conflicting rows of an id: the smaller label."""
+def label_sample(labels: DataFrame, label: str, most: int, keep: Column | None = None, only: int | None = None) -> DataFrame:
+    """(doc_id, label int) of at most `most` labelled ids, an even draw by hash; with `only`, of those with that label.
+    Conflicting rows of an id: the smaller label."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     if keep is not None:
         rows = rows.where(keep)
-    return rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+    ids = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+    return (ids if only is None else ids.where(F.col("label") == only)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)

@@ -1,18 +1,21 @@
 """Chat formatting: raw transcripts become canonical turns.
 
-A transcript is a sequence of text chunks (conv_id, seq, text). A hidden Markov model reads its lines: hidden states are a role and
-whether the line opens a turn; what is observed is the line's speaker marker, if any, and whether the line is blank. Viterbi recovers the roles;
-each turn is then rendered in one canonical form.
+A transcript is the text of a conversation, whole or cut into chunks (conv_id, seq, text) between any two lines. A hidden Markov model reads its lines: hidden states
+are a role and whether the line opens a turn, goes on with it or is blank; what is observed is the line's speaker marker or, without one, what kind of
+line it is (blank, code, list, greeting, question, or how long). Where a chunk begins is no evidence. Probabilities start from fixed ones and are
+learned from labelled transcripts. Viterbi recovers the roles; each turn is then rendered in one canonical form.
 
 A conversation of any length is decoded exactly without being gathered in one task. A chunk's lines fold into one max-plus
-matrix (best log-probability from the state before to the state after), in the pass over the text. Matrices of up to BLOCK chunks fold into one, and
-so on up while a conversation has several; the states found at the joints are handed back down, where each chunk is decoded alone.
+matrix (best log-probability from the state before to the state after), in the pass over the text. Chunks are numbered in one order of all conversations, so a block of
+BLOCK numbers holds no more than that of any. The matrices of a conversation in a block fold into one, and so on up while it has several; the states found at the joints are
+handed back down, where each chunk is decoded alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -20,15 +23,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import fold
+from tessera.operators.columns import global_row_number
 from tessera.shipping import ship
 from tessera.sources.store import written
 
 ROLES = ("system", "user", "assistant")
-#: States: 2*r opens a turn of role r, 2*r+1 continues it; the last one stands before the first line.
-STATES = 2 * len(ROLES) + 1
+#: States: 3*r opens a turn of role r, 3*r+1 goes on with it, 3*r+2 is a blank line of it; the last one stands before the first line.
+STATES = 3 * len(ROLES) + 1
 BEGIN = STATES - 1
 #: Chunks of a conversation that one task folds.
 BLOCK = 1024
+#: Turns of a conversation that as_transcripts() puts into one chunk at most, and turn numbers.
+CHUNK_ROWS, CHUNK_TURNS = 256, 64
+#: Labelled conversations and their turns to learn from at most.
+LEARN_CONVERSATIONS, LEARN_TURNS = 2000, 20_000
 #: Spellings of speaker markers, by role.
 MARKERS = {
     "system": ("system", "sys", "instruction", "instructions"),
@@ -43,44 +52,99 @@ _MARK = re.compile(
     re.I,
 )
 _END = re.compile(r"[ \t]*<\|(?:im_end|end|eot_id)\|>[ \t]*$")
-
-# Log-probabilities. Rows: the state before; columns: the state after.
-_P_OPEN = {0: (0.01, 0.94, 0.05), 1: (0.01, 0.09, 0.90), 2: (0.01, 0.94, 0.05)}
-
-
-def _transitions() -> np.ndarray:
-    t = np.full((STATES, STATES), 1e-12)
-    for before in range(BEGIN):
-        role, stay = before // 2, 0.7
-        t[before, 2 * role + 1] = stay
-        t[before, :BEGIN:2] = (1 - stay) * np.array(_P_OPEN[role])
-    t[BEGIN, :BEGIN:2] = (0.3, 0.6, 0.1)
-    t[:, BEGIN] = 0.0
-    with np.errstate(divide="ignore"):
-        return np.log(t)
-
-
-TRANSITIONS = _transitions()
-#: Of the lines that open a turn: with their role's marker, with another's, without one at the start of a chunk, without one elsewhere.
-_OPEN_OWN, _OPEN_OTHER, _OPEN_BARE_FIRST, _OPEN_BARE = np.log([0.7, 0.004, 0.25, 0.002])
-#: Of the lines that continue one: with a marker, at the start of a chunk, elsewhere.
-_GO_MARKED, _GO_FIRST, _GO_BARE = np.log([0.001, 0.02, 0.97])
-
-
-def emissions(line: str, first: bool) -> np.ndarray:
-    """Log-probability of what a line shows, by state. first: it starts a chunk."""
-    mark = _MARK.match(line)
-    out = np.zeros(STATES)
-    opens, goes = slice(0, BEGIN, 2), slice(1, BEGIN, 2)
-    if mark:
-        role = _ROLE[next(g for g in mark.groups() if g).lower()]
-        out[opens] = _OPEN_OTHER
-        out[2 * role] = _OPEN_OWN
-        out[goes] = _GO_MARKED
-    else:
-        out[opens] = _OPEN_BARE_FIRST if first and line.strip() else _OPEN_BARE
-        out[goes] = _GO_FIRST if first else _GO_BARE
-    return out
+_LIST = re.compile(r"[ \t]*(?:[-*\u2022+]|\d{1,3}[.)])[ \t]")
+_CODE = re.compile(r"(?:\t| {4}|[ \t]*(?:```|~~~))|.*[;{}]$")
+#: Words that greet.
+_GREETING = re.compile(r"[ \t]*(?:hi|hello|hey|dear|good (?:morning|evening|day)|hallo|bonjour|hola|sure|certainly|thanks|thank you)\b", re.I)
+#: Kinds of lines without a marker, and the lengths that part the last ones.
+KINDS = ("blank", "code", "list", "greeting", "question", "short", "medium", "long", "very long")
+LENGTHS = (40, 100, 200)
+#: Symbols: a marker of role r alone (2*r) or with words after it (2*r+1), then KINDS.
+SYMBOLS = 2 * len(ROLES) + len(KINDS)
+BLANK = 2 * len(ROLES)
+
+
+def symbol(line: str) -> int:
+    """What a line shows."""
+    if not line or line.isspace():
+        return BLANK
+    if mark := _MARK.match(line):
+        return 2 * _ROLE[next(g for g in mark.groups() if g).lower()] + (mark.end() < len(line.rstrip()))
+    if _CODE.match(line):
+        return BLANK + 1
+    if _LIST.match(line):
+        return BLANK + 2
+    if _GREETING.match(line):
+        return BLANK + 3
+    if line.rstrip().endswith(("?", "\uff1f")):
+        return BLANK + 4
+    return BLANK + 5 + sum(len(line) >= n for n in LENGTHS)
+
+
+# Fixed probabilities, where nothing has been learned.
+_P_NEXT = {0: (0.01, 0.94, 0.05), 1: (0.01, 0.09, 0.90), 2: (0.01, 0.94, 0.05)}
+_P_BEGIN = (0.3, 0.6, 0.1)
+#: Of a line, by the state before: that it opens a turn, goes on with the last, is blank.
+_P_AFTER = ((0.25, 0.65, 0.1), (0.2, 0.7, 0.1), (0.5, 0.4, 0.1))
+#: Of a line that opens a turn: that it has its role's marker, another's, none. Of one that goes on: that it has a marker.
+_P_OWN, _P_OTHER, _P_BARE, _P_INNER = 0.8, 0.005, 0.195, 0.002
+_TINY = 1e-9
+
+
+def _fixed() -> tuple[np.ndarray, np.ndarray]:
+    """Transition and emission probabilities."""
+    go, show = np.full((STATES, STATES), _TINY), np.full((STATES, SYMBOLS), _TINY)
+    plain = np.full(len(KINDS) - 1, 1 / (len(KINDS) - 1))
+    for s in range(BEGIN):
+        role, kind = divmod(s, 3)
+        opens, goes, blank = _P_AFTER[kind]
+        go[s, 0:BEGIN:3] = opens * np.array(_P_NEXT[role])
+        go[s, 3 * role + 1], go[s, 3 * role + 2] = goes, blank
+        if kind == 0:
+            show[s, :BLANK] = _P_OTHER / BLANK
+            show[s, 2 * role : 2 * role + 2] = _P_OWN / 2
+            show[s, BLANK + 1 :] = _P_BARE * plain
+        elif kind == 1:
+            show[s, :BLANK] = _P_INNER / BLANK
+            show[s, BLANK + 1 :] = plain
+        else:
+            show[s, BLANK] = 1.0
+    go[BEGIN, 0:BEGIN:3] = 0.97 * np.array(_P_BEGIN)
+    go[BEGIN, 2:BEGIN:3] = 0.01
+    return go, show
+
+
+@dataclass
+class Model:
+    """One max-plus matrix a symbol: log-probability of the state after and of what the line shows, by the state before."""
+
+    steps: np.ndarray
+
+    @classmethod
+    def of(cls, go: np.ndarray, show: np.ndarray) -> Model:
+        go, show = (m / m.sum(1, keepdims=True) for m in (np.maximum(go, _TINY), np.maximum(show, _TINY)))
+        steps = np.log(go)[None, :, :] + np.log(show).T[:, None, :]
+        steps[:, :, BEGIN] = -np.inf
+        return cls(steps)
+
+    def __post_init__(self) -> None:
+        self.known: dict[tuple[int, ...], np.ndarray] = {}
+
+    def folded(self, symbols: list[int]) -> np.ndarray:
+        """The product over some lines; short runs are remembered, for there are not many different ones."""
+        out = None
+        for at in range(0, len(symbols), 4):
+            key = tuple(symbols[at : at + 4])
+            run = self.known.get(key)
+            if run is None:
+                run = self.steps[key[0]]
+                for k in key[1:]:
+                    run = times(run, self.steps[k])
+                if len(self.known) > 20_000:
+                    self.known.clear()
+                self.known[key] = run
+            out = run if out is None else times(out, run)
+        return np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf) if out is None else out
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,17 +152,6 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def chunk_matrix(text: str | None) -> np.ndarray:
-    """Max-plus matrix of a chunk's lines; the identity without text."""
-    out = np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf)
-    if text:
-        plain = TRANSITIONS + emissions("x", False)
-        for i, line in enumerate(text.split("\n")):
-            bare = i and not _MARK.match(line)
-            out = times(out, plain if bare else TRANSITIONS + emissions(line, i == 0))
-    return out
-
-
 def path(mats: list[np.ndarray], before: int, after: int | None) -> list[int]:
     """The best states after each of a run of matrices, between the state before and the state after (None: the best)."""
     score, back = np.full(STATES, -np.inf), []
@@ -113,9 +166,57 @@ def path(mats: list[np.ndarray], before: int, after: int | None) -> list[int]:
     return states[::-1]
 
 
-def decode_chunk(text: str, before: int, after: int) -> list[int]:
-    """The best states of a chunk's lines between two states."""
-    return path([TRANSITIONS + emissions(line, i == 0) for i, line in enumerate(text.split("\n"))], before, after)
+def labelled_states(turns: list[tuple[int, list[int]]]) -> tuple[list[int], list[int]]:
+    """(states, symbols) of the lines of a labelled transcript: (role, symbols of its lines) of each turn, in order."""
+    states, symbols, before = [], [], None
+    for role, shown in turns:
+        opened = False
+        for k in shown:
+            if k == BLANK:
+                states.append(3 * (role if opened or before is None else before) + 2)
+            else:
+                states.append(3 * role + (1 if opened else 0))
+                opened = True
+            symbols.append(k)
+        before = role if opened else before
+    return states, symbols
+
+
+def learn(transcripts: list[list[tuple[int, list[int]]]], weight: float = 20.0) -> Model:
+    """A model from labelled transcripts; the fixed probabilities count like `weight` lines a state."""
+    go, show = _fixed()
+    go, show = go / go.sum(1, keepdims=True) * weight, show / show.sum(1, keepdims=True) * weight
+    for turns in transcripts:
+        before = BEGIN
+        for s, k in zip(*labelled_states(turns), strict=True):
+            go[before, s] += 1
+            show[s, k] += 1
+            before = s
+    return Model.of(go, show)
+
+
+def fit(conversations: DataFrame, keep: Column | None = None) -> Model:
+    """A model from the transcripts that as_transcripts() makes of at most LEARN_CONVERSATIONS labelled conversations (LEARN_TURNS turns) for which `keep` holds.
+
+    Turns of other roles, and without conv_id, turn or text, teach nothing. Empty table: the fixed probabilities."""
+    ship(conversations.sparkSession)
+    rows = spelled(conversations).where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    rows = rows if keep is None else rows.where(keep)
+    draw = F.xxhash64("conv_id", F.lit(17))
+    picked = rows.select("conv_id").distinct().orderBy(draw, "conv_id").limit(LEARN_CONVERSATIONS)
+    some = rows.join(F.broadcast(picked), "conv_id").orderBy(draw, "conv_id", "turn", F.xxhash64("text")).limit(LEARN_TURNS)
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[symbol(line) for line in t.as_py().split("\n")] for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "shown"])
+
+    got = some.select("conv_id", "turn", F.lower("role").alias("role"), "text").mapInArrow(shown, "conv_id long, turn long, role string, shown array<int>").collect()
+    by: dict[int, list[tuple[int, list[int]]]] = {}
+    for r in sorted(got, key=lambda r: (r["conv_id"], r["turn"], r["shown"])):
+        if r["role"] in ROLES:
+            by.setdefault(r["conv_id"], []).append((ROLES.index(r["role"]), r["shown"]))
+    return learn(list(by.values()))
 
 
 def strip_marker(line: str) -> str:
@@ -127,8 +228,8 @@ def turns(text: str, states: list[int]) -> list[tuple[str, bool, str]]:
     """(role, whether the turn began in an earlier chunk, content) of the turns in a chunk."""
     out: list[list] = []
     for line, s in zip(text.split("\n"), states, strict=True):
-        if s % 2 == 0 or not out:
-            out.append([ROLES[s // 2], s % 2 == 1, [strip_marker(line) if s % 2 == 0 else line]])
+        if s % 3 == 0 or not out:
+            out.append([ROLES[s // 3], s % 3 != 0, [strip_marker(line) if s % 3 == 0 else line]])
         else:
             out[-1][2].append(line)
     return [(role, going, _END.sub("", "\n".join(body).strip("\n"))) for role, going, body in out]
@@ -146,10 +247,13 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, list(group)
 
 
-def _stream(df: DataFrame, keys: list[str], order: list[str], schema: str, fn: Callable[[tuple, list[tuple]], list[tuple]]) -> DataFrame:
-    """fn over the rows of each key, in order; its rows in one table."""
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *[c for c in df.columns if c not in keys])
-    kinds = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.list_(pa.float64()))) for f in _empty(df, schema).schema.fields])
+_KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64())}
+
+
+def _stream(df: DataFrame, schema: str, fn: Callable[[tuple, list[tuple]], list[tuple]]) -> DataFrame:
+    """fn over the rows of each (conv_id, block), in the order of n; its rows in one table."""
+    dealt = df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n")
+    kinds = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -158,7 +262,7 @@ def _stream(df: DataFrame, keys: list[str], order: list[str], schema: str, fn: C
             columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-        for key, rows in _by_key(batches, len(keys)):
+        for key, rows in _by_key(batches, 2):
             out += fn(key, rows)
             if len(out) > 5000:
                 yield batch()
@@ -168,10 +272,6 @@ def _stream(df: DataFrame, keys: list[str], order: list[str], schema: str, fn: C
     return dealt.mapInArrow(run, schema)
 
 
-def _empty(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
-
-
 def _square(flat: list[float]) -> np.ndarray:
     return np.array(flat).reshape(STATES, STATES)
 
@@ -189,48 +289,52 @@ def _joints(states: list[int], before: int) -> list[tuple[int, int]]:
 
 
 def chunk_states(chunks: DataFrame) -> DataFrame:
-    """conv_id, seq, h, before, after: the states around each distinct chunk (conv_id, seq, h, mat) of a conversation.
-
-    While a conversation spans several blocks of seq, blocks are folded, solved as chunks themselves, and opened again; so no task
-    holds more than a block of a conversation."""
-    block = F.floor(F.coalesce("seq", F.lit(-1)) / BLOCK).cast("long")
-    span = chunks.agg(F.min(block).alias("low"), F.max(block).alias("high")).first()
-    if span["low"] == span["high"]:
-        return _stream(chunks.select("conv_id", "seq", "h", "mat"), ["conv_id"], ["seq", "h"], "conv_id long, seq long, h long, before int, after int",
-                       lambda key, group: [(*r[:3], *j) for r, j in zip(group, _joints(path([_square(r[3]) for r in group], BEGIN, None), BEGIN), strict=True)])
-    rows = chunks.withColumn("block", block)
-    folded = _stream(rows.select("conv_id", "block", "seq", "h", "mat"), ["conv_id", "block"], ["seq", "h"], "conv_id long, block long, mat array<double>",
-                     lambda key, group: [(*key, _product([_square(r[4]) for r in group]))])
-    # Blocks count from 0 on the next level, so that a second null block does not keep it from being one.
-    ends = chunk_states(written(folded.select("conv_id", (F.col("block") - span["low"]).alias("seq"), F.lit(0).cast("long").alias("h"), "mat"), "blocks"))
-    ends = ends.select(F.col("conv_id").alias("c2"), (F.col("seq") + span["low"]).alias("b2"), "before", "after")
-    held = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("block") == F.col("b2")))
-    return _stream(held.select("conv_id", "block", "seq", "h", "before", "after", "mat"), ["conv_id", "block"], ["seq", "h"], "conv_id long, seq long, h long, before int, after int",
-                   lambda key, group: [(key[0], r[2], r[3], *j) for r, j in zip(group, _joints(path([_square(r[6]) for r in group], group[0][4], group[0][5]), group[0][4]), strict=True)])
+    """conv_id, n, before, after: the states around each chunk (conv_id, n, mat) of a conversation, in the order of n.
+
+    A conversation within one block of n is solved there. Blocks of the others are folded, solved as chunks themselves, and opened again; so no task
+    holds more than a block of a conversation, and each level has at most a BLOCK-th of the rows."""
+    rows = chunks.select("conv_id", F.floor(F.col("n") / BLOCK).cast("long").alias("block"), "n", "mat")
+    spans = rows.groupBy("conv_id").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select(F.col("conv_id").alias("c2"))
+    several = written(spans, "several")
+    begin, none = F.lit(BEGIN), F.lit(None).cast("int")
+    if several.isEmpty():
+        held = rows.select("conv_id", "block", "n", begin.alias("before"), none.alias("after"), "mat")
+    else:
+        long = rows.join(several, F.col("conv_id").eqNullSafe(F.col("c2")), "left_semi")
+        folded = _stream(long, "conv_id long, n long, mat array<double>", lambda key, group: [(*key, _product([_square(r[3]) for r in group]))])
+        ends = chunk_states(written(folded, "blocks")).select(F.col("conv_id").alias("c2"), F.col("n").alias("b2"), "before", "after")
+        joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("block") == F.col("b2")), "left")
+        held = joined.select("conv_id", "block", "n", F.coalesce("before", begin).alias("before"), "after", "mat")
+    return _stream(held, "conv_id long, n long, before int, after int",
+                   lambda key, group: [(key[0], r[2], *j) for r, j in zip(group, _joints(path([_square(r[5]) for r in group], group[0][3], group[0][4]), group[0][3]), strict=True)])
 
 
 SCHEMA = "conv_id long, seq long, part long, role string, continues boolean, content string, rendered string"
 
 
-def format_transcripts(chunks: DataFrame) -> DataFrame:
-    """A row (SCHEMA) for each turn, or part of a turn, in each chunk (conv_id, seq, text) of a transcript.
+def format_transcripts(chunks: DataFrame, model: Model | None = None) -> DataFrame:
+    """A row (SCHEMA) for each turn, or part of a turn, in each chunk (conv_id, seq, text) of a transcript. Without a model the fixed probabilities hold.
 
     Chunks of a conversation are read in order of seq (null first, ties by a hash of the text); those with the same seq and text are one
     chunk to the model and are returned once for each row. Null or empty text: no turns. Rows with a null conv_id are one conversation. Very long
-    texts are read whole; other columns are ignored. Empty table: no rows."""
-    ship(chunks.sparkSession)
+    texts are read whole; other columns, whatever their names, are ignored. Empty table: no rows."""
+    spark = chunks.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((model or Model.of(*_fixed())).steps)
     rows = chunks.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL AND text != ''")
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hmm = Model(shared.value)
         for batch in batches:
-            mats = [chunk_matrix(t.as_py()).ravel().tolist() for t in batch.column(3)]
+            mats = [hmm.folded([symbol(line) for line in t.as_py().split("\n")]).ravel().tolist() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mats, pa.list_(pa.float64()))], ["conv_id", "seq", "h", "mat"])
 
-    each = rows.mapInArrow(fold, "conv_id long, seq long, h long, mat array<double>").groupBy("conv_id", "seq", "h").agg(F.first("mat").alias("mat"))
-    folded = written(each, "chunks")
-    states = chunk_states(folded).select(F.col("conv_id").alias("c2"), F.col("seq").alias("s2"), F.col("h").alias("h2"), "before", "after")
+    each = rows.mapInArrow(fold_lines, "conv_id long, seq long, h long, mat array<double>").groupBy("conv_id", "seq", "h").agg(F.first("mat").alias("mat"))
+    folded = written(global_row_number(each, "n", "conv_id", "seq", "h"), "chunks")
+    states = chunk_states(folded.select("conv_id", "n", "mat")).select("n", "before", "after")
+    named = states.join(folded.select("n", F.col("conv_id").alias("c2"), F.col("seq").alias("s2"), F.col("h").alias("h2")), "n")
     same: Column = F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("seq").eqNullSafe(F.col("s2")) & (F.col("h") == F.col("h2"))
-    joined = rows.join(states, same).select("conv_id", "seq", "text", "before", "after")
+    joined = rows.join(named, same).select("conv_id", "seq", "text", "before", "after")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "seq", "part", "role", "continues", "content", "rendered"]
@@ -238,7 +342,8 @@ def format_transcripts(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for conv, seq, text, before, after in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for part, (role, going, body) in enumerate(turns(text, decode_chunk(text, before, after))):
+                states = path([shared.value[symbol(line)] for line in text.split("\n")], before, after)
+                for part, (role, going, body) in enumerate(turns(text, states)):
                     out.append((conv, seq, part, role, going, body, render(role, body, going)))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -246,12 +351,35 @@ def format_transcripts(chunks: DataFrame) -> DataFrame:
     return joined.mapInArrow(decode, SCHEMA)
 
 
-def as_transcripts(conversations: DataFrame) -> DataFrame:
-    """Raw transcript chunks (conv_id, seq, text) from turns (conv_id, turn, role, text), as the web has them: the spelling of the
-    markers goes by conversation, and one turn in four has none."""
+#: Fixed value: the spellings of as_transcripts() after whose turns a blank line follows, as Markdown has it.
+SPACED = (1, 4)
+
+
+def spelled(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of turns as the web has them: the spelling of the markers goes by conversation, one turn in four has
+    none, and some spellings set turns apart by a blank line."""
     style = F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.lit(5))
     role = F.lower("role")
     human = F.when(role == "user", "Human").when(role == "assistant", "AI").otherwise(F.initcap("role"))
     mark = F.when(style == 0, F.concat(F.initcap("role"), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), human, F.lit(":\n"))).when(style == 2, F.concat(F.lit("["), role, F.lit("] "))).when(style == 3, F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("**"), human, F.lit(":** ")))
     bare = F.col("role").isNull() | (F.pmod(F.coalesce(F.col("turn").cast("long"), F.lit(3)), F.lit(4)) == 3)
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.concat(F.when(bare, F.lit("")).otherwise(mark), F.col("text")).alias("text"))
+    text = F.concat(F.when(bare, F.lit("")).otherwise(mark), F.col("text"), F.when(style.isin(*SPACED), F.lit("\n")).otherwise(F.lit("")))
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text.alias("text"))
+
+
+def as_transcripts(conversations: DataFrame) -> DataFrame:
+    """Raw transcripts (conv_id, seq, text) of turns (conv_id, turn, role, text): the turns of a conversation follow each other in one text.
+
+    Only a conversation with a turn number beyond CHUNK_TURNS comes in several chunks, and where more than CHUNK_ROWS rows share a conversation and a range of
+    turns, each of them is a chunk: no task gathers an unbounded text."""
+    rows = spelled(conversations).where("text IS NOT NULL").withColumn("range", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK_TURNS))
+    crowded = rows.groupBy("conv_id", "range").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK_ROWS).select(F.col("conv_id").alias("c2"), F.col("range").alias("r2"))
+    same = F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("range") == F.col("r2"))
+    alone = rows.join(crowded, same, "left_semi").select("conv_id", F.col("turn").alias("seq"), "text")
+    together = rows.join(crowded, same, "left_anti").groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return together.select("conv_id", F.col("t")[0]["turn"].alias("seq"), F.array_join(F.col("t")["text"], "\n").alias("text")).unionByName(alone)
+
+
+def learned_from(conv_id: Column) -> Column:
+    """Whether a conversation may be learned from; the others are held out."""
+    return fold(conv_id, 5) != 0

@@ -81,9 +81,11 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.chat_format import as_transcripts, format_transcripts
+    from tessera.llm import chat_format
 
-    return format_transcripts(as_transcripts(_table(spark, sf_dir, "conversations")))
+    conversations = _table(spark, sf_dir, "conversations")
+    model = chat_format.fit(conversations, chat_format.learned_from(F.col("conv_id")))
+    return chat_format.format_transcripts(chat_format.as_transcripts(conversations), model)
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

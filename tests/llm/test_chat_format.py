@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import chat_format as C
 
@@ -14,59 +16,110 @@ def test_markers():
         assert not m or line == "a: list of"
 
 
-def decode_whole(text):
-    """One Viterbi pass over all lines, without chunks or matrices."""
-    score, back = None, []
-    for i, line in enumerate(text.split("\n")):
-        e = C.emissions(line, i == 0)
-        via = (C.TRANSITIONS[C.BEGIN][None, :] if score is None else score[:, None] + C.TRANSITIONS) + e
-        back.append(via.argmax(0))
-        score = via.max(0)
-    states = [int(score.argmax())]
-    for b in back[:0:-1]:
-        states.append(int(b[states[-1]]))
+def plain_path(model, text):
+    """One Viterbi pass over all lines, written out, without chunks or matrix products."""
+    best, back = {C.BEGIN: 0.0}, []
+    for line in text.split("\n"):
+        step, now, came = model.steps[C.symbol(line)], {}, {}
+        for after in range(C.STATES):
+            for before, score in best.items():
+                if score + step[before, after] > now.get(after, -np.inf):
+                    now[after], came[after] = score + step[before, after], before
+        best = now
+        back.append(came)
+    states = [max(best, key=lambda s: (best[s], -s))]
+    for came in back[:0:-1]:
+        states.append(came[states[-1]])
     return states[::-1]
 
 
+FIXED = C.Model.of(*C._fixed())
+
+
 def test_one_transcript():
     text = "System: be brief\nUser: what is it?\nmore of it\n\nAssistant: a thing\nUser: so\nAssistant: yes\nand: no"
-    states = decode_whole(text)
-    assert C.path([C.chunk_matrix(text)], C.BEGIN, None) == [states[-1]]
-    assert C.decode_chunk(text, C.BEGIN, states[-1]) == states
+    states = plain_path(FIXED, text)
+    assert C.path([FIXED.folded([C.symbol(line) for line in text.split("\n")])], C.BEGIN, None) == [states[-1]]
+    assert C.path([FIXED.steps[C.symbol(line)] for line in text.split("\n")], C.BEGIN, None) == states
     assert [(r, b) for r, _, b in C.turns(text, states)] == [("system", "be brief"), ("user", "what is it?\nmore of it"), ("assistant", "a thing"), ("user", "so"), ("assistant", "yes\nand: no")]
 
 
-def test_chunked_decoding_is_exact(spark, monkeypatch):
+def test_symbols():
+    assert len({C.symbol(t) for t in ("User:", "User: x", "AI:", "[bot] y", "system>", "<|system|> z")}) == 6
+    for text, kind in {"": "blank", "  ": "blank", "    x = 1": "code", "```py": "code", "- item": "list", "12. item": "list", "Hello there": "greeting", "why not?": "question", "x": "short", "x" * 60: "medium", "x" * 150: "long", "x" * 250: "very long"}.items():
+        assert C.KINDS[C.symbol(text) - C.BLANK] == kind
+
+
+def test_cuts_are_no_evidence(spark, monkeypatch):
+    """A transcript cut between any lines, with repeated and null places in it, is decoded as it is whole."""
     rng = random.Random(7)
-    rows = []
-    for conv in range(6):
-        for seq in range(rng.randrange(1, 40)):
-            rows.append((conv, seq, "\n".join(rng.choice(["User: q", "Assistant: a", "plain line", "", "System: s", "more"]) for _ in range(rng.randrange(1, 5)))))
+    lines = ["User: q", "Assistant: a", "plain line", "", "System: s", "more?", "- item", "    code"]
+    rows, want = [], {}
+    model = C.Model(FIXED.steps + np.random.default_rng(5).normal(0, 0.05, FIXED.steps.shape))  # without ties
+    for conv in (*range(6), None):
+        text = [rng.choice(lines) for _ in range(rng.randrange(3, 90))]
+        cuts = sorted({0, *rng.choices(range(len(text)), k=30), len(text)})
+        parts = ["\n".join(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts = [(None if i == 0 else 5 if i in (3, 4) and parts[3:5] == sorted(parts[3:5]) else i + 10, p) for i, p in enumerate(parts)]
+        rows += [(conv, s, p) for s, p in parts]
     df = spark.createDataFrame(rows, "conv_id long, seq long, text string").where("text != ''")
-    want = {}
-    for conv in range(6):
-        mine = sorted((s, t) for c, s, t in rows if c == conv and t)
-        states = C.path([C.TRANSITIONS + C.emissions(line, i == 0) for _, t in mine for i, line in enumerate(t.split("\n"))], C.BEGIN, None)
+    for conv in (*range(6), None):
+        mine = [(r["seq"], r["text"]) for r in df.where(F.col("conv_id").eqNullSafe(F.lit(conv).cast("long"))).orderBy("seq", F.xxhash64("text")).dropDuplicates().orderBy("seq", F.xxhash64("text")).collect()]
+        states = plain_path(model, "\n".join(t for _, t in mine))
         for s, t in mine:
             n = len(t.split("\n"))
-            for part, (role, going, body) in enumerate(C.turns(t, states[:n])):
-                want[conv, s, part] = (role, going, body)
+            for part, found in enumerate(C.turns(t, states[:n])):
+                want.setdefault((conv, s), []).extend([(part, *found)] * rows.count((conv, s, t)))
             states = states[n:]
-    for block in (3, 1024):
+    for block in (2, 5, 1024):
         monkeypatch.setattr(C, "BLOCK", block)
-        got = {(r["conv_id"], r["seq"], r["part"]): (r["role"], r["continues"], r["content"]) for r in C.format_transcripts(df).collect()}
-        assert got == want
+        got = {}
+        for r in C.format_transcripts(df, model).collect():
+            got.setdefault((r["conv_id"], r["seq"]), []).append((r["part"], r["role"], r["continues"], r["content"]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
 
+def recovered(turns, got):
+    """Shares of the turns that came back with role and content, by (marked, set apart by a blank line)."""
+    held = Counter((r["conv_id"], r["role"], r["content"]) for r in got)
+    hit = {}
+    for r in turns:
+        kind = (r["turn"] % 4 != 3, r["conv_id"] % 5 in C.SPACED)
+        key = (r["conv_id"], r["role"], r["text"].strip("\n"))
+        found = held[key] > 0
+        held[key] -= found
+        hit.setdefault(kind, []).append(found)
+    return {k: (len(v), float(np.mean(v))) for k, v in hit.items()}
 
-def test_roles_of_the_table(spark):
-    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    truth = {(r["conv_id"], r["turn"]): (r["role"], r["text"].strip("\n")) for r in turns.collect()}
-    got = C.format_transcripts(C.as_transcripts(turns)).collect()
-    assert len(got) == len(truth)
-    assert np.mean([truth[r["conv_id"], r["seq"]] == (r["role"], r["content"]) for r in got]) > 0.99
+
+def test_roles_of_whole_transcripts(spark):
+    """Each conversation is one text; what is scored was held out."""
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    model = C.fit(turns, C.learned_from(F.col("conv_id")))
+    held = turns.where(~C.learned_from(F.col("conv_id")))
+    raw = C.as_transcripts(held)
+    assert raw.count() == held.select("conv_id").distinct().count()
+    got = C.format_transcripts(raw, model).collect()
+    share = recovered(held.collect(), got)
+    print(share)
+    assert share[True, True][1] > 0.98 and share[False, True][1] > 0.9 and share[True, False][1] > 0.6
     assert all(r["rendered"].startswith(f"<|im_start|>{r['role']}\n") and r["rendered"].endswith("<|im_end|>\n") for r in got)
 
 
+def test_crowded_turns_are_chunks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_ROWS", 4)
+    rows = [(1, k % 3, "user", f"text {k}") for k in range(9)] + [(2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 70, "user", "c"), (None, None, "user", "d"), (3, 0, "user", None)]
+    got = C.as_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert Counter(r["conv_id"] for r in got) == {1: 9, 2: 2, None: 1}
+    assert [r["text"] for r in got if r["conv_id"] == 2 and r["seq"] == 0] == ["[user] a\n[assistant] b"]
+
+
+def test_learning_from_nothing(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert np.allclose(C.fit(empty).steps, FIXED.steps)
+    assert C.as_transcripts(empty).count() == 0
+
+
 def test_edge_rows(spark):
     rows = [(1, 0, "User: hi", "r"), (1, 0, "User: hi", "r"), (1, 1, None, "r"), (1, 2, "", "r"), (None, 0, "AI: x", "r"), (2, None, "Bot: y", "r"), (3, 0, "User: " + "line\n" * 20_000, "r")]
     df = spark.createDataFrame(rows, "conv_id long, seq long, text string, role string")

@@ -10,17 +10,20 @@
 4. Alternating large-star and small-star rounds join the stars; each round is written to the shared folder.
 
 Shard trees reach their queries through the shuffle: a broadcast would take all documents' fingerprints through the driver.
+
+one_of_each() links texts by the similarity of their sets of five-word shingles instead. 64 bits are too few to tell 0.8 from less, so its fingerprints have 2,048, and its
+shards are named by least hashes of the shingles, for bits that differ leave no whole block alike; trees, work units and stars are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.rows import byte_texts, carried
@@ -260,16 +263,143 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
     return prints.join(label, "_fp").select("doc_id", "_fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the group's smallest doc_id, once.
+#: Bits of a wide fingerprint, and the distance at which two are linked. Sets of shingles with a Jaccard similarity J differ by BITS * acos(2J / (1 + J)) / pi bits on average, by 311
+#: at 0.8 and 353 at 0.75, give or take 16.
+BITS, RADIUS = 2048, 318
+#: A shard of wide fingerprints is a run of ROWS least hashes that two texts share; each text is in BANDS shards, and in as many again of a shard that is too full.
+BANDS, ROWS = 8, 3
+_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+_SEEDS = mixed(np.arange(1, BITS // 64 + 2 * BANDS * ROWS + 1, dtype=np.uint64) * _STEP)
+_TIES = np.unpackbits(_SEEDS[: BITS // 64].astype("<u8").view(np.uint8), bitorder="little")
+
 
-    A group whose doc_ids are all null keeps a row for each of its fingerprints. Every column of docs comes back as it was."""
-    from pyspark.sql import Window
+def wide_fingerprint(text: bytes | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(a SimHash of BITS bits as signed longs, shard keys of both levels) of the set of a text's word shingles.
 
-    groups = near_duplicates(docs, radius, size)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_fp", key.alias("_key")).agg(F.lit(1).alias("_keep"))
-    rows = with_fingerprints(docs, None, "row", size)
-    kept = rows.select("row", "_fp", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("-")).alias("_key")).join(keepers, ["_fp", "_key"])
-    first = F.row_number().over(Window.partitionBy("_fp", "_key").orderBy(F.xxhash64("row.text")))
-    return kept.withColumn("_first", first).where("_first = 1").select("row.*")
+    A text of fewer words has one shingle, a wordless text an empty one. Even splits take a fixed bit."""
+    words = text.lower().split() if text else []
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - size + 1)
+    grams = np.unique(np.fromiter((digest(b" ".join(s), 42) for s in (zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words])), np.uint64, n))
+    counts, least = np.zeros(BITS, np.int64), np.full(2 * BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 255):  # as many as a byte counts
+        part = grams[at : at + 255]
+        bits = mixed(part[:, None] ^ _SEEDS[None, : BITS // 64])
+        counts += np.unpackbits(bits.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+        least = np.minimum(least, mixed(part[None, :] ^ _SEEDS[BITS // 64 :, None]).min(1))
+    halves = 2 * counts - len(grams)
+    key = np.zeros(2 * BANDS, np.uint64)
+    for r in range(ROWS):
+        key = mixed(key * _STEP + least[r::ROWS])
+    return np.packbits((halves > 0) | ((halves == 0) & (_TIES > 0)), bitorder="little").view("<i8"), key.view(np.int64)
+
+
+_NODE = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("_fp", pa.int64()), ("_wide", pa.list_(pa.int64())), ("_bands", pa.list_(pa.int64()))])
+
+
+def wide_prints(docs: DataFrame, size: int = 5) -> DataFrame:
+    """_id (doc_id), _th (a hash of the text), _fp (a hash of the wide fingerprint), _wide, _bands for every row of docs."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide, bands = zip(*(wide_fingerprint(t.as_py(), size) for t in batch.column(2)), strict=True) if batch.num_rows else ((), ())
+            fps = pa.array(np.array([xxhash.xxh64_intdigest(w.tobytes(), 7) for w in wide], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(list(wide), pa.list_(pa.int64())), pa.array(list(bands), pa.list_(pa.int64()))], schema=_NODE)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
+    return rows.mapInArrow(run, "_id long, _th long, _fp long, _wide array<long>, _bands array<long>")
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two wide fingerprints differ."""
+    out = F.lit(0)
+    for i in range(BITS // 64):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
+
+
+def _wide_units(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of work units that come sorted by (shard, tree, part): their queries (role 1) are looked up in a tree of the others."""
+
+    def links(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        value = lambda wide: int.from_bytes(np.array(wide, "<i8").tobytes(), "little")
+        names = {value(w): fp for *_, fp, w in rows}
+        stars = local_stars([value(w) for *_, role, _, w in rows if role == 0], [value(w) for *_, role, _, w in rows if role == 1], radius)
+        return [names[x] for x, _ in stars], [names[r] for _, r in stars]
+
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for _, group in groupby(rows, lambda row: row[:3]):
+        a, b = links(list(group))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], schema=_UNIT)
+
+
+def wide_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(a, b) whose components are those of all pairs of nodes (_fp, _wide, _bands) that share a shard and are within radius.
+
+    First every node is compared with one of its shard, which ties a group of near copies of any size together in one pass. What is left are shards that
+    hold several components. Those with more than `shard` nodes beside their largest component are cut finer. Then the nodes beside the largest component are
+    looked up in BK-trees of all."""
+    keyed = nodes.select("_fp", F.explode(F.slice("_bands", 1, BANDS)).alias("shard"))
+    firsts = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("_fp").alias("first")).where("n > 1").select("shard", "first")
+    shared = written(keyed.join(firsts, "shard"), "shared")
+    wide = nodes.select("_fp", "_wide")
+    asked = shared.where("_fp != first").select("_fp", "first").distinct()
+    both = asked.join(wide, "_fp").join(wide.select(F.col("_fp").alias("first"), F.col("_wide").alias("_first")), "first")
+    near = stars(both.where(apart(F.col("_wide"), F.col("_first")) <= radius).select(F.col("_fp").alias("a"), F.col("first").alias("b")))
+    member = near.select(F.col("u").alias("_fp"), "m")
+    # A node's component, by its smallest node.
+    parted = written(shared.select("shard", "_fp").join(member, "_fp", "left").withColumn("m", F.coalesce("m", "_fp")), "parted")
+    sizes = parted.groupBy("shard", "m").agg(F.count("*").alias("n")).groupBy("shard").agg(F.sum("n").alias("all"), F.max(F.struct("n", "m")).alias("top"), F.count("*").alias("components"))
+    mixed_shards = sizes.where("components > 1").select("shard", F.col("top.m").alias("top"), (F.col("all") - F.col("top.n")).alias("rest"))
+    rows = parted.join(mixed_shards, "shard")
+    bands = nodes.select("_fp", F.slice("_bands", BANDS + 1, BANDS).alias("_finer"))
+    finer = rows.where(F.col("rest") > shard).select("shard", "_fp", "m").join(bands, "_fp").select("shard", "_fp", "m", F.explode("_finer").alias("_f")).select(F.xxhash64("shard", "_f").alias("shard"), "_fp", "m")
+    finer_sizes = finer.groupBy("shard", "m").agg(F.count("*").alias("n")).groupBy("shard").agg(F.sum("n").alias("all"), F.max(F.struct("n", "m")).alias("top"), F.count("*").alias("components"))
+    level = finer.join(finer_sizes.where("components > 1").select("shard", F.col("top.m").alias("top"), (F.col("all") - F.col("top.n")).alias("rest"), "all"), "shard")
+    plain = rows.where(F.col("rest") <= shard).join(sizes.select("shard", "all"), "shard").select(*level.columns)
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / shard)).cast("int")
+    units = plain.unionByName(level).withColumn("trees", cut("all")).withColumn("parts", cut("rest"))
+    own = lambda n: F.pmod(F.xxhash64("_fp", F.lit(7)), F.col(n)).cast("int")
+    tree = units.select("shard", own("trees").alias("tree"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "_fp")
+    asks = units.where("m != top").select("shard", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), own("parts").alias("part"), F.lit(1).alias("role"), "_fp")
+    dealt = tree.unionByName(asks).join(wide, "_fp").select("shard", "tree", "part", "role", "_fp", "_wide").repartition("shard", "tree", "part").sortWithinPartitions("shard", "tree", "part", "role", "_fp")
+    found = dealt.mapInArrow(lambda it: _wide_units(it, radius), "a long, b long")
+    return near.select(F.col("u").alias("a"), F.col("m").alias("b")).unionByName(found)
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, shard: int = SHARD) -> DataFrame:
+    """docs with one row of each near-duplicate group, with all its columns, whatever their names: that of the group's smallest doc_id.
+
+    Groups are components of wide fingerprints of five-word shingles within radius, which stands for a Jaccard similarity of 0.8. Null or wordless
+    texts are copies of each other. Of several texts with the smallest doc_id, and of rows that repeat it, one stays; a null doc_id is chosen only in a group that has no other. Very long
+    texts are read whole. Empty table: no rows. Texts are fingerprinted once and move only where Spark finds the rows to drop too many to send around."""
+    prints = written(wide_prints(docs, size), "prints")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")
+    nodes = written(prints.groupBy("_fp").agg(F.min(order).alias("least"), F.first("_wide").alias("_wide"), F.first("_bands").alias("_bands")), "nodes")
+    star = stars(wide_links(nodes, radius, shard))
+    member = star.select(F.col("u").alias("_fp"), "m")
+    best = nodes.select("_fp", "least").join(member, "_fp", "left").groupBy(F.coalesce("m", "_fp").alias("m")).agg(F.min("least").alias("least"))
+    picked = best.select(F.col("least._id").alias("_i"), F.col("least._th").alias("_t"), F.lit(True).alias("_picked"))
+    pairs = prints.groupBy("_id", "_th").agg(F.count("*").alias("n"))
+    verdict = pairs.join(picked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    out = written(verdict.where("_picked IS NULL OR n > 1").select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("_picked").isNotNull().alias("_several")), "dropped")
+    for done in (prints, nodes, star):
+        dropped(done)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_id", F.col("row.doc_id").cast("long")).withColumn("_th", F.xxhash64("row.text"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
+    kept = rows.join(out, same, "left_anti").select("row.*")
+    several = out.where("_several")
+    if several.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.xxhash64(F.to_json("row"))))
+    return kept.unionByName(rows.join(several, same, "left_semi").withColumn("_first", first).where("_first = 1").select("row.*"))

@@ -3,7 +3,7 @@
 The examples are a bounded sample of labelled texts. Terms are whole words, all of them: every word of the examples is in the index.
 A vector holds TF-IDF weights at unit length, each times the relevance of its term: FLOOR for a word of which the labels say nothing, up to 1 for one that
 stands far more often in texts with label 1 than chance allows. Every text is compared with the examples by exact cosine. The inverted index is cut into
-blocks of examples and keeps the largest weight of each term in each block; blocks whose bound cannot reach the k-th best similarity are
+blocks of examples and keeps the largest weight of each common term in each block; blocks whose bound cannot reach the k-th best similarity are
 skipped. The neighbours' votes, weighted by squared similarity and calibrated (a rising curve by
 pooling) on the votes that labelled rows get from the other rows, are the score, and the neighbours are its evidence.
 """
@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ from tessera.sources.store import dropped, written
 
 #: Labelled examples at most, and (example, term) pairs at most: with these the index and its broadcast are bounded. Where the
 #: examples hold more pairs than that, those come first whose id has the smaller hash.
-EXAMPLES, POSTINGS = 6000, 6_000_000
+EXAMPLES, POSTINGS = 4000, 4_000_000
 #: Labelled rows whose votes are used to calibrate, at most.
-CALIBRATION = 3000
+CALIBRATION = 4000
 #: Examples in a block; blocks of best bound that are read before any is skipped; neighbours of a text.
-BLOCK, FIRST, NEIGHBOURS = 64, 12, 25
+BLOCK, FIRST, NEIGHBOURS = 64, 8, 25
+#: A word of more than one example in COMMON is common: it is read by block. The lists of the others are short and read whole.
+COMMON = 32
 #: Weight of a term of which the labels say nothing, and the standard deviations from chance at which a term starts to weigh more and weighs fully.
 FLOOR, LOW, HIGH = 0.04, 4.0, 9.0
 #: Weight of the base rate against the neighbours' squared similarities.
@@ -40,8 +44,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def term_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The words of a text as sorted 64-bit hashes, and how often each stands in it."""
-    words = normal(text).split()
-    return np.unique(np.fromiter((zlib.crc32(w) << 32 | zlib.adler32(w) for w in words), np.uint64, len(words)) * _MIX, return_counts=True)
+    bag = Counter(normal(text).split())
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, bag), np.uint64, len(bag))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(bag.values(), np.int64, len(bag))[order]
 
 
 def marks_of(text: str | None) -> list[int]:
@@ -143,8 +149,22 @@ class Index:
         # A run: the postings of one term in one block. head[t] to head[t + 1] are the runs of term t.
         self.start = np.append(run, len(order))
         self.run_block = (self.example[run] // BLOCK).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, run) if len(run) else np.zeros(0)
+        most = np.maximum.reduceat(self.weight, run) if len(run) else np.zeros(0)
         self.head = np.searchsorted(term[order][run], np.arange(len(self.terms) + 1))
+        self.common = np.full(len(self.terms), -1, np.int32)
+        often = np.flatnonzero(df > n / COMMON)
+        self.common[often] = np.arange(len(often))
+        self.most = np.zeros((len(often), self.blocks))
+        of_run = self.common[np.repeat(np.arange(len(self.terms)), np.diff(self.head))]
+        self.most[of_run[of_run >= 0], self.run_block[of_run >= 0]] = most[of_run >= 0]
+        # Of the commonest terms also whole rows, for one product with all examples.
+        self.dense = np.flatnonzero(df > n / 4)
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[self.dense] = np.arange(len(self.dense))
+        self.rows = np.zeros((len(self.dense), self.blocks * BLOCK))
+        for r, t in enumerate(self.dense.tolist()):
+            lo, hi = self.start[self.head[t]], self.start[self.head[t + 1]]
+            self.rows[r, self.example[lo:hi]] = self.weight[lo:hi]
         self.curve = isotonic(np.zeros(0), np.zeros(0))
 
     def calibrate(self, rows: int = CALIBRATION) -> Index:
@@ -173,37 +193,57 @@ class Index:
         norm = math.sqrt(float(raw @ raw))
         return at[known], raw / norm if norm else raw
 
-    def _similar(self, runs: np.ndarray, factor: np.ndarray) -> np.ndarray:
-        """Sums by example over some runs, each with the query's weight of its term."""
-        sizes = self.start[runs + 1] - self.start[runs]
-        at = _flat(self.start[runs], sizes)
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(factor, sizes), minlength=self.blocks * BLOCK)
+    def _read(self, got: np.ndarray, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray | None) -> None:
+        """Add what some common terms give to the examples of some blocks, or of all (None)."""
+        if blocks is None:
+            row = self.row[term]
+            full = np.zeros(len(self.dense))
+            full[row[row >= 0]] = weight[row >= 0]
+            got += np.einsum("i,ij->j", full, self.rows)
+            term, weight = term[row < 0], weight[row < 0]
+            for lo, hi, w in zip(self.start[self.head[term]].tolist(), self.start[self.head[term + 1]].tolist(), weight.tolist(), strict=True):
+                got[self.example[lo:hi]] += self.weight[lo:hi] * w
+            return
+        sizes = self.head[term + 1] - self.head[term]
+        runs, factor = _flat(self.head[term], sizes), np.repeat(weight, sizes)
+        now = blocks[self.run_block[runs]]
+        got += self._lists(self.start[runs[now]], self.start[runs[now] + 1], factor[now])
+
+    def _lists(self, lo: np.ndarray, hi: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        """Sums by example over some postings, each with the query's weight of its term."""
+        at = _flat(lo, hi - lo)
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(factor, hi - lo), minlength=self.blocks * BLOCK).astype(float, copy=False)
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties by id. Exact: only blocks that cannot matter are skipped."""
         term, weight = query
         if not len(term) or not self.blocks:
             return []
-        sizes = self.head[term + 1] - self.head[term]
-        runs = _flat(self.head[term], sizes)
-        factor = np.repeat(weight, sizes)
-        block = self.run_block[runs]
-        bound = np.bincount(block, self.most[runs] * factor, minlength=self.blocks)
-        todo = bound > 0
-        got = np.zeros(self.blocks * BLOCK)
+        number = self.common[term]
+        rare, often = number < 0, number >= 0
+        got = self._lists(self.start[self.head[term[rare]]], self.start[self.head[term[rare] + 1]], weight[rare])
+        bound = got.reshape(-1, BLOCK).max(1) + weight[often] @ self.most[number[often]]
+        term, weight = term[often], weight[often]
+        best, todo = np.zeros(self.blocks, bool), np.ones(self.blocks, bool)
         if self.blocks > 2 * FIRST:
-            best = np.zeros(self.blocks, bool)
             best[np.argpartition(-bound, FIRST)[:FIRST]] = True
-            now = best[block]
-            got = self._similar(runs[now], factor[now])
-            got[got.size if without < 0 else without : None if without < 0 else without + 1] = 0
-            least = np.partition(got, -k)[-k] if k < len(got) else 0.0
-            todo = ~best & (bound >= least - 1e-9) & todo
-        now = todo[block]
-        got += self._similar(runs[now], factor[now])
+            short = got.copy()
+            self._read(got, term, weight, best)
+            inside = got.reshape(-1, BLOCK)[best].ravel()
+            if without >= 0 and best[without // BLOCK]:
+                inside = np.delete(inside, int(best[: without // BLOCK].sum()) * BLOCK + without % BLOCK)
+            least = np.partition(inside, -k)[-k] if k < len(inside) else 0.0
+            todo = ~best & (bound >= least - 1e-9)
+        if 3 * todo.sum() > self.blocks:  # whole lists cost less than so many parts
+            got = short if best.any() else got
+            self._read(got, term, weight, None)
+            todo[:] = True
+        else:
+            self._read(got, term, weight, todo)
+        seen = np.repeat(best | todo, BLOCK)
         if without >= 0:
-            got[without] = 0
-        got = np.round(got[: len(self.ids)], 12)
+            seen[without] = False
+        got = np.round(np.where(seen, got, 0.0)[: len(self.ids)], 12)
         able = np.flatnonzero(got > 0)
         if k < len(able):
             able = able[got[able] >= np.partition(got[able], -k)[-k]]
@@ -220,18 +260,17 @@ class Index:
         return float(np.interp(self._vote(near), *self.curve)), near
 
 
-_BAG = "doc_id long, label int, marks array<long>, keys array<long>, counts array<long>"
+_BAG = "doc_id long, label int, marks array<long>, terms long, keys binary, counts binary"
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, label and whole text to _BAG: what an index needs of a text, a row at a time."""
-    longs = pa.list_(pa.int64())
     for batch in batches:
         for k, t, y in zip(*batch.columns, strict=True):
             text = t.as_py()
             keys, counts = term_keys(text)
-            columns = [pa.array([k.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), *[pa.array([v], longs) for v in (marks_of(text), keys.view(np.int64), counts)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "marks", "keys", "counts"])
+            columns = [pa.array([k.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([marks_of(text)], pa.list_(pa.int64())), pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype("<i4").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "marks", "terms", "keys", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES, postings: int = POSTINGS) -> Index:
@@ -244,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES,
     picked = label_sample(labels, "toxic", examples, keep)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "doc_id")
     bags = written(rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("label").alias("label")).select("doc_id", "t", "label").mapInArrow(_bags, _BAG), "bags")
-    sizes = bags.select("doc_id", F.size("keys").cast("long").alias("n"), F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()
+    sizes = bags.select("doc_id", F.col("terms").alias("n"), F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()
     total, within = 0, []
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
         total += r["n"]
@@ -254,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES,
     held = bags if len(within) == len(sizes) else bags.join(F.broadcast(spark.createDataFrame(within, "doc_id long")), "doc_id")
     got = sorted(held.collect(), key=lambda r: r["doc_id"])
     dropped(bags)
-    pairs = [(np.array(r["keys"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)) for r in got]
+    pairs = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i4")) for r in got]
     return Index.of([r["doc_id"] for r in got], np.array([r["label"] for r in got], float), pairs, distinct([r["marks"] for r in got])).calibrate()
 
 

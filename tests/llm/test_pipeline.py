@@ -25,10 +25,10 @@ def test_stages_and_their_effects(spark, tmp_path):
             want = {r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= 0.5}
         elif name == "simhash_near_dedup":
             rows = now.collect()
-            fps = [simhash.fingerprint(r["text"].encode()) for r in rows]
+            fps = [int.from_bytes(simhash.wide_fingerprint(r["text"].encode())[0].tobytes(), "little") for r in rows]
             low = {r["doc_id"]: r["doc_id"] for r in rows}
             moved = True
-            near = [(rows[i]["doc_id"], rows[j]["doc_id"]) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+            near = [(rows[i]["doc_id"], rows[j]["doc_id"]) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS]
             while moved:
                 moved = False
                 for a, b in near:

@@ -1,9 +1,11 @@
+import math
 import random
 
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessera.llm import simhash as S
 from tessera.llm.simhash import BKTree, blocks_for, fingerprint, links, near_duplicates, one_of_each, stars
 
 
@@ -85,9 +87,84 @@ def test_documents_of_the_table(spark):
     fps = [plain_fingerprint(r["text"]) for r in rows]
     want = dict(zip([r["doc_id"] for r in rows], zip(map(signed, fps), plain_components(fps, [r["doc_id"] for r in rows]), strict=True), strict=True))
     assert {r[0]: (r[1], r[2]) for r in near_duplicates(docs).collect()} == want
-    kept = one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()})
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def kept_by_brute_force(rows, linked):
+    low = [k for k, _ in rows]
+    moved = True
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if linked(rows[i][1], rows[j][1])]
+    while moved:
+        moved = False
+        for i, j in near:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                moved = True
+    return sorted(set(low))
+
+
+def wide(text):
+    return int.from_bytes(S.wide_fingerprint(text.encode())[0].tobytes(), "little")
+
+
+def test_one_of_each_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    prints = {t: wide(t) for _, t in rows}
+    want = kept_by_brute_force(rows, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= S.RADIUS)
+    for shard in (3, 4096):
+        kept = one_of_each(docs, shard=shard)
+        assert kept.columns == docs.columns
+        got = sorted(r["doc_id"] for r in kept.collect())
+        assert got == want if shard > 3 else len(set(got) ^ set(want)) <= 2  # a cut shard is searched by further least hashes
+    exact = kept_by_brute_force(rows, lambda a, b: a[:20] == b[:20] and jaccard(a, b) >= 0.8)
+    assert abs(len(exact) - len(want)) <= 0.01 * len(rows)
+
+
+def test_distance_tells_similarity():
+    rng = random.Random(11)
+    for edits, size in ((2, 400), (8, 400), (10, 400), (20, 400), (3, 100)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        near = list(base)
+        for i in rng.sample(range(size), edits):
+            near[i] = "changed"
+        a, b = " ".join(base), " ".join(near)
+        j, d = jaccard(a, b), (wide(a) ^ wide(b)).bit_count()
+        expected = S.BITS * math.acos(2 * j / (1 + j)) / math.pi
+        assert abs(d - expected) < 75, (j, d, expected)
+    assert wide("") == wide(" \n") != wide("a") and wide("one two three") == wide("ONE two  three")
+
+
+def test_near_copies_in_one_shard_are_tied_in_one_pass(spark):
+    """Hundreds of near copies beside hundreds of texts that share but a passage with them."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    base = passage + [word() for _ in range(140)]
+    rows = []
+    for k in range(300):
+        edited = list(base)
+        edited[rng.randrange(len(base))] = word()
+        rows.append((k, " ".join(edited)))
+    rows += [(1000 + k, " ".join(passage + [word() for _ in range(60)])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (50, 4096):
+        assert sorted(r["doc_id"] for r in one_of_each(docs, shard=shard).collect()) == [0, *range(1000, 1300)]
+
+
+def test_rows_that_repeat_the_kept_one(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(4, text, "x", {"k": 1}), (4, text, "x", {"k": 1}), (4, text, "y", {"k": 2}), (4, other, "z", None), (9, other, "z", None), (None, text, "n", None), (None, text.replace("a", "q"), "n", None), (None, text.replace("a", "q"), "n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _th string, _i map<string, int>")
+    a, b = ([tuple(r) for r in one_of_each(docs.repartition(n)).orderBy("doc_id", "text").collect()] for n in (1, 5))
+    assert a == b and [(r[0], r[1]) for r in a] == [(None, text.replace("a", "q")), (4, text), (4, other)]
 
 
 def test_edge_rows(spark):

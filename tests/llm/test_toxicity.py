@@ -50,9 +50,10 @@ def cosines(rows, text):
 def test_nearest_is_exact(monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 8)
     monkeypatch.setattr(T, "FIRST", 4)
+    monkeypatch.setattr(T, "COMMON", 3)
     rows = examples()
     index = T.Index(rows)
-    assert index.blocks > 2 * T.FIRST and len(index.terms) == len({w for _, t, _ in rows for w in t.split()})
+    assert index.blocks > 2 * T.FIRST and 0 < (index.common >= 0).sum() < len(index.terms) and len(index.terms) == len({w for _, t, _ in rows for w in t.split()})
     for _, text, _ in [*rows[:25], (0, "snarl worda unheard", 0), (0, "wordaa snarl snarl", 0)]:
         near = cosines(rows, text)
         want = sorted((-round(s, 9), k) for k, s in near.items() if s > 0)[: T.NEIGHBOURS]
@@ -63,11 +64,12 @@ def test_nearest_is_exact(monkeypatch):
 
 
 def test_most_blocks_are_skipped():
-    rows = [(k, " ".join(f"topic{chr(97 + k // 64 // 8)}{chr(97 + k // 64 % 8)}x{chr(97 + i)}" for i in range(8)), k % 2) for k in range(64 * 60)]
+    rows = [(k, " ".join(f"topic{chr(97 + k // 64 // 8)}{chr(97 + k // 64 % 8)}x{chr(97 + i)}" for i in range(8)) + " shared words" * (k % 3), k % 2) for k in range(64 * 60)]
     index, read = T.Index(rows), []
-    whole = index._similar
-    index._similar = lambda runs, factor: read.append(len(runs)) or whole(runs, factor)
-    assert len(index.nearest(index.vector(rows[700][1]))) == T.NEIGHBOURS and sum(read) < 64
+    whole = index._read
+    index._read = lambda got, term, weight, blocks: read.append(index.blocks if blocks is None else blocks.sum()) or whole(got, term, weight, blocks)
+    assert (index.common >= 0).sum() == 2
+    assert len(index.nearest(index.vector(rows[701][1]))) == T.NEIGHBOURS and sum(read) <= 2 * T.FIRST
 
 
 def test_curve_rises_and_is_calibrated():

@@ -1,8 +1,8 @@
 """WARC 1.1 archives: a writer with payload de-duplication and a splittable reader.
 
-Writer: each record is one gzip member or more, made in the tasks; a record whose payload another record holds is a revisit of it.
-Spark's text writer stores the members, so any file system that Spark writes to will do: each row is a member without
-its last byte and the line separator is that byte, zero because a member holds less than 16 MiB.
+Writer: each record is one gzip member; a record whose payload another record holds is a revisit of it. A task writes its archive under its final
+name, with a part of its own in it, and reports it; Spark commits the reports of the tasks that counted as a manifest. What lost or repeated tasks
+have left is not in it and goes. No file is renamed.
 
 Reader: an archive is cut into byte ranges at any place. The task of a range scans it for the gzip magic; a candidate is a member
 only if its header decodes and what it inflates to begins with a WARC version line. A task owns the records that start
@@ -12,13 +12,16 @@ in its range and reads past its end for the last one.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +29,6 @@ from tessera.shipping import ship
 from tessera.sources.store import shared_path
 
 MAGIC = b"\x1f\x8b\x08"
-#: Uncompressed bytes in one gzip member; below 2**24, so that its length field ends with a zero byte.
-MEMBER = 8 << 20
 #: Bytes of a reader's range.
 RANGE = 32 << 20
 _CHUNK = 1 << 20
@@ -58,11 +59,14 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def members(data: bytes, level: int = 6) -> Iterator[bytes]:
-    """gzip members of a record, each of less than 16 MiB and so with a last byte of zero."""
-    for at in range(0, len(data), MEMBER):
-        z = zlib.compressobj(level, zlib.DEFLATED, 31)
-        yield z.compress(data[at : at + MEMBER]) + z.flush()
+def member(data: bytes, level: int = 6) -> bytes:
+    """A gzip member."""
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+#: The table of the archives that count, in a folder of archives.
+MANIFEST = "_manifest"
 
 
 def write(pages: DataFrame, path: str, smallest: int = 0, level: int = 6) -> str:
@@ -70,7 +74,7 @@ def write(pages: DataFrame, path: str, smallest: int = 0, level: int = 6) -> str
 
     Of the records with equal payloads of at least `smallest` bytes, that of the largest page_id is the response and the others are
     revisits; rows that repeat that page_id are responses too. Null html: an empty payload. A null page_id counts as the
-    smallest. Other columns are ignored. Empty table: a folder without records."""
+    smallest. Very long texts are records like any other. Other columns, whatever their names, are ignored. Empty table: a folder without records."""
     spark = pages.sparkSession
     ship(spark)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -79,27 +83,49 @@ def write(pages: DataFrame, path: str, smallest: int = 0, level: int = 6) -> str
     revisit = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id")) & (F.length("html") >= smallest)
     joined = rows.join(holder, "sha", "left").select("page_id", "url", "html", F.when(revisit, F.col("holder")).alias("refers_to"), revisit.alias("revisit"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, held = [], 0
-            for page_id, url, payload, refers_to, again in zip(*[c for c in batch.columns], strict=True):
-                body = payload.as_py()
-                data = record(page_id.as_py(), url.as_py(), body, digest32(body), refers_to.as_py(), again.as_py())
-                for m in members(data, level):
-                    out.append(m[:-1])
-                    held += len(m)
-                if held > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+    folder = _qualified(spark, path)
 
-    joined.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
-    for fs, status in _files(spark, path, ".txt"):
-        at = status.getPath()
-        fs.rename(at, at.suffix("").getParent().suffix("/" + at.getName().removesuffix(".txt") + ".warc.gz"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pyarrow.fs.FileSystem.from_uri(folder)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+        records = size = 0
+        with contextlib.ExitStack() as held:
+            file = None
+            for batch in batches:
+                for page_id, url, payload, refers_to, again in zip(*batch.columns, strict=True):
+                    body = payload.as_py()
+                    data = member(record(page_id.as_py(), url.as_py(), body, digest32(body), refers_to.as_py(), again.as_py()), level)
+                    if file is None:
+                        file = held.enter_context(fs.open_output_stream(f"{at}/{name}", compression=None))
+                    file.write(data)
+                    records, size = records + 1, size + len(data)
+        some = records > 0
+        yield pa.RecordBatch.from_arrays([pa.array([name] * some, pa.string()), pa.array([size] * some, pa.int64()), pa.array([records] * some, pa.int64())], ["name", "size", "records"])
+
+    joined.mapInArrow(run, "name string, size long, records long").write.parquet(f"{path}/{MANIFEST}")
+    counted = {name for name, _ in _archives(spark, path)}
+    for fs, status in _files(spark, path, ".warc.gz"):
+        if status.getPath().getName() not in counted:
+            fs.delete(status.getPath(), False)
     return path
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The URI of a folder, which is made if need be."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    return fs.makeQualified(at).toUri().toString()
+
+
+def _archives(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, size) of the archives in a folder: those of its manifest, if it has one, else all."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return [(r["name"], r["size"]) for r in spark.read.schema("name string, size long, records long").parquet(f"{path}/{MANIFEST}").collect()]
+    return [(s.getPath().getName(), s.getLen()) for _, s in _files(spark, path, ".warc.gz")]
+
+
 def _files(spark: SparkSession, path: str, ending: str) -> list:
     """(file system, status) of the files in a folder that any of Spark's file systems holds."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -194,7 +220,8 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     For responses both come from the bytes read. No files or no records: no rows. Archives may be
     on any file system that pyarrow opens by URI (local, HDFS, S3, GCS)."""
     ship(spark)
-    found = [(s.getPath().toUri().toString(), s.getLen()) for _, s in _files(spark, path, ".warc.gz")]
+    folder = _qualified(spark, path)
+    found = [(f"{folder}/{name}", size) for name, size in _archives(spark, path)]
     files = spark.createDataFrame(found, "uri string, size long")
     ranges = files.where("size > 0").select("uri", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(size).cast("long"))).alias("start"))
     n = max(1, sum(-(-s // size) for _, s in found))
@@ -223,7 +250,7 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    return ranges.repartition(n, "uri", "start").mapInArrow(run, SCHEMA)
+    return ranges.repartition(n).mapInArrow(run, SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

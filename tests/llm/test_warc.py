@@ -38,7 +38,7 @@ def sample():
     return pages + [(70, inner * 50), (71, "\x1f\x8b\x08" * 300), (72, "a\r\n\r\nWARC/1.1\r\n" * 20)]
 
 
-@pytest.mark.parametrize("size", [97, 4096, W.RANGE])
+@pytest.mark.parametrize("size", [997, 4096, W.RANGE])
 def test_round_trip_in_ranges(spark, size):
     pages = sample()
     df = spark.createDataFrame([(k, f"http://x/{k} a", h, "z") for k, h in pages], PAGES)
@@ -63,19 +63,38 @@ def test_stored_members_that_look_like_records(spark):
     outer = b""
     for k in range(20):
         body = inner * (k % 3)
-        for m in W.members(W.record(k, "u", body, W.digest32(body), None, False), 0):
-            outer += m
+        outer += W.member(W.record(k, "u", body, W.digest32(body), None, False), 0)
     with open(f"{path}/a.warc.gz", "wb") as f:
         f.write(outer)
     whole = [(at, head["warc-record-id"]) for at, head, _ in W.records(W._Ranged(open(f"{path}/a.warc.gz", "rb"), len(outer)), 0, len(outer))]
     assert [k for _, k in whole] == [f"<urn:page:{k}>" for k in range(20)]
 
 
-def test_records_of_several_members(spark):
-    big = "".join(random.Random(9).choices("abcdefgh é", k=W.MEMBER + 1_000_000))
+def test_large_records_and_records_of_several_members(spark):
+    big = "".join(random.Random(9).choices("abcdefgh é", k=9_000_000))
     df = spark.createDataFrame([(1, None, big, ""), (2, None, big, ""), (3, None, "x", "")], PAGES)
-    got = W.read(spark, W.write(df, shared_path(spark, "warc"), level=1), 1 << 20)
-    assert rows(got) == want([(1, big), (2, big), (3, "x")])
+    path = W.write(df, shared_path(spark, "warc"), level=1)
+    assert rows(W.read(spark, path, 1 << 20)) == want([(1, big), (2, big), (3, "x")])
+    # Others cut a record into several members.
+    cut = shared_path(spark, "cut").removeprefix("file:")
+    os.makedirs(cut)
+    with open(f"{cut}/a.warc.gz", "wb") as f:
+        for k in range(3):
+            data = W.record(k, "u", big[: 40_000 * k].encode(), W.digest32(big[: 40_000 * k].encode()), None, False)
+            for at in range(0, len(data), 15_000):
+                f.write(W.member(data[at : at + 15_000]))
+    assert rows(W.read(spark, cut, 1 << 12)) == want([(k, big[: 40_000 * k]) for k in range(3)])
+
+
+def test_only_archives_of_the_manifest_count(spark):
+    df = spark.createDataFrame([(k, None, f"page {k}", "") for k in range(20)], PAGES).repartition(4)
+    path = W.write(df, shared_path(spark, "warc"))
+    local = path.removeprefix("file:")
+    names = [f for f in os.listdir(local) if f.endswith(".warc.gz")]
+    assert sorted(names) == sorted(n for n, _ in W._archives(spark, path)) and all(os.path.getsize(f"{local}/{n}") == size for n, size in W._archives(spark, path))
+    with open(f"{local}/part-00000-left.warc.gz", "wb") as f:  # of a task that was lost
+        f.write(W.member(W.record(99, "u", b"x", W.digest32(b"x"), None, False)))
+    assert rows(W.read(spark, path)) == want([(k, f"page {k}") for k in range(20)])
 
 
 def test_table_and_edges(spark):

@@ -31,6 +31,8 @@ from tessera.sources.store import dropped, written
 EXAMPLES, POSTINGS = 4000, 4_000_000
 #: Labelled rows whose votes are used to calibrate, at most.
 CALIBRATION = 4000
+#: Tasks that read the sampled texts at most.
+FIT_TASKS = 16
 #: Examples in a block; blocks of best bound that are read before any is skipped; neighbours of a text.
 BLOCK, FIRST, NEIGHBOURS = 64, 8, 25
 #: A word of more than one example in COMMON is common: it is read by block. The lists of the others are short and read whole.
@@ -282,7 +284,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES,
     ship(spark)
     picked = label_sample(labels, "toxic", examples, keep)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    bags = written(rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("label").alias("label")).select("doc_id", "t", "label").mapInArrow(_bags, _BAG), "bags")
+    # Few rows, so few tasks and files whatever the number of shuffle partitions.
+    one = rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("label").alias("label")).select("doc_id", "t", "label").coalesce(FIT_TASKS)
+    bags = written(one.mapInArrow(_bags, _BAG), "bags")
     sizes = bags.select("doc_id", F.col("terms").alias("n"), F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()
     total, within = 0, []
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def event_stream(spark: SparkSession, folder: str, files: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -20,12 +21,18 @@ def success_rate(events: DataFrame, success: Column, width: str = "1 hour", late
     return out.select(F.col("window.start").alias("window_start"), *by, "n", "ok", (F.col("ok") / F.col("n")).alias("rate"))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """What an aggregated stream gives once all that is there now has been read, as a table under path."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("window_start",)) -> DataFrame:
+    """The last value of each key of an aggregated stream once all that is there now has been read.
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    Batches append only what they changed, each under its own number, so a batch that is run again replaces itself; the watermark lets the stream forget windows that are
+    over. The table of changes is under path, what it says last of a key is worked out when it is read."""
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    values = [c for c in stream.columns if c not in keys]
+    last = stream.sparkSession.read.schema(schema).parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])

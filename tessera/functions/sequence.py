@@ -72,31 +72,21 @@ def dtw_series(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([None if x is None or y is None or not len(x) or not len(y) else dtw(np.abs(np.subtract.outer(np.asarray(x, float), np.asarray(y, float)))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw_vectors(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Warping distance of two arrays of unit vectors by one less their product."""
-    for a, b in pairs:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            ok = x is not None and y is not None and len(x) and len(y)
-            out.append(dtw(1 - np.array([*map(np.asarray, x)], float) @ np.array([*map(np.asarray, y)], float).T) if ok else None)
-        yield pd.Series(out, dtype="float64")
-
-
-def ssim(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> float:
-    """Mean structural similarity of two gray frames over all whole windows, with sample covariance."""
+def ssim(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Mean structural similarity of pairs of gray frames (pair, row, column) over all whole windows, with sample covariance; window sums are
+    differences of prefix sums, so a window costs the same whatever its size."""
     x, y = a.astype(np.float64), b.astype(np.float64)
     n = window * window
 
     def sums(v: np.ndarray) -> np.ndarray:
-        c = np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        return c[window:, window:] - c[:-window, window:] - c[window:, :-window] + c[:-window, :-window]
+        c = np.pad(v.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        return c[:, window:, window:] - c[:, :-window, window:] - c[:, window:, :-window] + c[:, :-window, :-window]
 
     sx, sy, sxx, syy, sxy = sums(x), sums(y), sums(x * x), sums(y * y), sums(x * y)
     mx, my = sx / n, sy / n
     vx, vy, cxy = (sxx - n * mx * mx) / (n - 1), (syy - n * my * my) / (n - 1), (sxy - n * mx * my) / (n - 1)
     c1, c2 = (K1 * RANGE) ** 2, (K2 * RANGE) ** 2
-    return float((((2 * mx * my + c1) * (2 * cxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+    return (((2 * mx * my + c1) * (2 * cxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean((1, 2))
 
 
 def resize_area(frame: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -110,42 +100,19 @@ def resize_area(frame: np.ndarray, height: int, width: int) -> np.ndarray:
     return weights(frame.shape[0], height) @ frame.astype(np.float64) @ weights(frame.shape[1], width).T
 
 
-def ssim_of_frames(pairs: DataFrame, frame_a: str, frame_b: str, keys: list[str], width: int, height: int, window: int = WINDOW) -> DataFrame:
-    """keys, ssim for pairs of frames as flat arrays of whole numbers, row by row, with columns alone.
-
-    Window sums are integers, so the order of summation does not matter."""
-    tops = F.transform(F.sequence(F.lit(0), F.lit((height - window + 1) * (width - window + 1) - 1)), lambda k: (F.floor(k / (width - window + 1)) * width + k % (width - window + 1)).cast("int"))
-    cells = [dy * width + dx for dy in range(window) for dx in range(window)]
-    n = float(window * window)
-
-    def at(c: str, top: Column, cell: int) -> Column:
-        return F.element_at(F.col(c), top + (cell + 1))
-
-    def total(top: Column, f: Callable[[int], Column]) -> Column:
-        return sum((f(k) for k in cells[1:]), f(cells[0])).cast("double")
-
-    one = pairs.select(*keys, frame_a, frame_b, F.explode(tops).alias("top"))
-    top = F.col("top")
-    s = one.select(
-        *keys,
-        total(top, lambda k: at(frame_a, top, k)).alias("sx"),
-        total(top, lambda k: at(frame_b, top, k)).alias("sy"),
-        total(top, lambda k: at(frame_a, top, k) * at(frame_a, top, k)).alias("sxx"),
-        total(top, lambda k: at(frame_b, top, k) * at(frame_b, top, k)).alias("syy"),
-        total(top, lambda k: at(frame_a, top, k) * at(frame_b, top, k)).alias("sxy"),
-    )
-    mx, my = F.col("sx") / n, F.col("sy") / n
-    vx, vy, cxy = (F.col("sxx") - n * mx * mx) / (n - 1), (F.col("syy") - n * my * my) / (n - 1), (F.col("sxy") - n * mx * my) / (n - 1)
-    c1, c2 = (K1 * RANGE) ** 2, (K2 * RANGE) ** 2
-    local = ((2 * mx * my + c1) * (2 * cxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
-    return s.groupBy(*keys).agg(F.avg(local).alias("ssim"))
-
-
 @F.pandas_udf(T.DoubleType())
 def ssim_frames(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Structural similarity of two flat square frames of the given width."""
+    """Structural similarity of two flat frames of the given width; a frame is one row of its pair, whatever its size. NaN without frames of equal size on both sides."""
     for a, b, width in pairs:
-        yield pd.Series([ssim(np.asarray(x).reshape(-1, w), np.asarray(y).reshape(-1, w)) for x, y, w in zip(a, b, width, strict=True)], dtype="float64")
+        out = np.full(len(a), np.nan)
+        size = np.array([-1 if x is None or y is None or len(x) != len(y) else len(x) for x, y in zip(a, b, strict=True)])
+        shape = np.where(size < 0, 0, width.to_numpy())
+        for n, w in set(zip(size.tolist(), shape.tolist(), strict=True)):
+            if n > 0:
+                at = np.flatnonzero((size == n) & (shape == w))
+                x, y = (np.array([s.iloc[i] for i in at.tolist()]).reshape(len(at), -1, w) for s in (a, b))
+                out[at] = ssim(x, y)
+        yield pd.Series(out)
 
 
 def best_match(matrix: DataFrame, pair: str = "pair_id") -> DataFrame:

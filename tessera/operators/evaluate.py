@@ -45,10 +45,12 @@ def evaluate(samples: DataFrame, generate: Stage, render: Stage, similar: Stage,
 
     generate adds response to rows with request; render adds artifact, success, info, errors to rows with code; similar adds
     codebert_similarity; visual adds ssim_score and visual_semantic_score to rows with generated_artifact and expected_artifact. Each distinct program is rendered
-    once. An expected program that doesn't render is an error if strict, else its visual scores are 0."""
+    once. An expected program that doesn't render is an error if strict, else its visual scores are 0. Each row of samples gives one row, whether its id is null or
+    repeated. The sentinel of an answer that took too long holds no code, so it scores as a blank program."""
     asked = samples.select("id", "expected_code", F.col("text_script").alias("reviewed_description"), "code_plan", *[F.lit(None).cast("string").alias(c) for c in ("initial_code", "api_info", "render_errors")])
-    answered = written(generate(requests(asked)), "responses")
-    rows = answered.select("id", F.col("reviewed_description").alias("text_script"), "expected_code", "code_plan", "response", text.last_code(text.completion(F.col("response"))).alias("generated_code"), text.thinking(F.col("response")).alias("thinking"))
+    # Rows have a number of their own from here on, fixed by being written.
+    answered = written(generate(requests(asked)).withColumn("_row", F.monotonically_increasing_id()), "responses")
+    rows = answered.select(F.col("_row").alias("id"), F.col("id").alias("_id"), F.col("reviewed_description").alias("text_script"), "expected_code", "code_plan", "response", text.last_code(text.completion(F.col("response"))).alias("generated_code"), text.thinking(F.col("response")).alias("thinking"))
     programs = rows.select(F.col("generated_code").alias("code")).union(rows.select("expected_code")).where(~text.is_blank(F.col("code"))).distinct()
     shown = written(render(programs).select("code", "artifact", "success", "info", "errors"), "renders")
     got = shown.select(F.col("code").alias("generated_code"), F.col("artifact").alias("generated_artifact"), F.col("success").alias("manim_render_success"), F.col("info").alias("manim_render_info"), F.col("errors").alias("manim_render_error"))
@@ -63,7 +65,7 @@ def evaluate(samples: DataFrame, generate: Stage, render: Stage, similar: Stage,
         "ssim_score": F.coalesce("ssim_score", F.lit(0.0)), "visual_semantic_score": F.coalesce("visual_semantic_score", F.lit(0.0)), "manim_render_success": F.coalesce("manim_render_success", F.lit(False)),
         "raw_generated_code": F.col("response"), "raw_generated_thinking": F.col("thinking"), "raw_generated_code_plan": F.coalesce("code_plan", F.lit("")), "raw_rag_info": F.lit(""), "raw_initial_code": F.lit(""),
     })
-    return rewards.evaluation_rows(filled).select("id", *RESULT)
+    return rewards.evaluation_rows(filled).select(F.col("_id").alias("id"), *RESULT)
 
 
 def augmented(samples: DataFrame, generate: Stage, notes: Stage, x: str = "reviewed_description") -> DataFrame:

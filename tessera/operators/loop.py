@@ -22,11 +22,27 @@ def requests(df: DataFrame) -> DataFrame:
     return df.withColumn("template", kind).withColumn("request", choose(F.col("template"), **names))
 
 
+def planned(samples: DataFrame, planner: Generate | None = None) -> DataFrame:
+    """samples with code_plan: the one they have, or the last plan in what a planner answers (`response` for `request`) to a plan's request.
+
+    Both a plan and a planner is an error. Without either code_plan is null."""
+    if "code_plan" in samples.columns:
+        if planner is not None:
+            raise ValueError("samples that have a plan need no planner")
+        return samples
+    if planner is None:
+        return samples.withColumn("code_plan", F.lit(None).cast("string"))
+    asked = samples.withColumn("request", choose(F.lit("plan"), reviewed_description=F.coalesce("reviewed_description", F.lit(""))))
+    plan = text.pick(text.plan_blocks(F.col("response")))
+    return planner(asked).select(*samples.columns, plan.alias("code_plan"))
+
+
 def run_rounds(samples: DataFrame, generate: Generate, render: Generate, rounds: int, notes: Generate | None = None, force_all: bool = False) -> DataFrame:
     """The last response of each sample (id, reviewed_description, optional code_plan).
 
     Up to rounds + 1 rounds. generate adds `response` to rows with `request`; render adds `success` and `errors` to rows with `code`;
-    notes adds `api_info` to rows with `initial_code`. A row leaves at its first success, unless all rounds are forced. Each round is written to the shared
+    notes adds `api_info` to rows with `initial_code`. A row leaves at its first success, unless all rounds are forced;
+    a success that is null is none. Each round is written to the shared
     folder, so later ones do not generate again."""
     if not 0 <= rounds <= 10:
         raise ValueError("rounds must be between 0 and 10")
@@ -36,7 +52,7 @@ def run_rounds(samples: DataFrame, generate: Generate, render: Generate, rounds:
     for n in range(rounds + 1):
         answered = generate(requests(todo)).withColumn("code", text.last_code(F.col("response")))
         shown = render(answered)
-        now = written(shown.select("id", "reviewed_description", "code_plan", "initial_code", "api_info", "template", "response", "code", "success", "errors", F.lit(n).alias("round")), f"round{n}")
+        now = written(shown.select("id", "reviewed_description", "code_plan", "initial_code", "api_info", "template", "response", "code", F.coalesce("success", F.lit(False)).alias("success"), "errors", F.lit(n).alias("round")), f"round{n}")
         last = n == rounds
         out = now if last else now.where("false") if force_all else now.where("success")
         done = out if done is None else done.unionByName(out)

@@ -50,11 +50,11 @@ def evaluation_rows(df: DataFrame) -> DataFrame:
     return df.withColumns({"visual_similarity": geometric(F.col("ssim_score"), F.col("visual_semantic_score")), "codebertbleu": geometric(F.col("codebert_similarity"), F.col("codebleu"))})
 
 
-def summary(df: DataFrame, metrics: tuple[str, ...] = SUMMARY, by: list[str] | None = None) -> DataFrame:
-    """Mean of each metric, booleans as 0 and 1, nulls left out. A column that is missing is an error."""
+def summary(df: DataFrame, metrics: tuple[str, ...] = SUMMARY, by: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """Mean of each metric, booleans as 0 and 1, nulls left out, and the number of rows as `count`. A column that is missing is an error."""
     if missing := [m for m in metrics if m not in df.columns]:
         raise KeyError(f"missing metrics: {', '.join(missing)}")
-    means = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics]
+    means = [F.avg(F.col(m).cast("double")).alias(m) for m in metrics] + ([F.count(F.lit(1)).alias(count)] if count else [])
     return df.groupBy(*by).agg(*means) if by else df.agg(*means)
 
 

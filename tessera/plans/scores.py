@@ -134,12 +134,12 @@ def calls_minus(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, len(list_distinct({_WORDS_SQL})) AS names, array_to_string(list_sort(list_distinct(list_concat(w[1:3], w[2:5]))), ',') AS joined
+SELECT doc_id, len(list_distinct({_WORDS_SQL})) AS names, array_to_string(list_sort(list_distinct(list_concat(w[1:len(w) // 2], w[len(w) // 4 + 1:]))), ',') AS joined
 FROM (SELECT doc_id, text, {_WORDS_SQL} AS w FROM documents)""")
 def distinct_names(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: F.length(w) > 2)
     w = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    return w.select("doc_id", F.size(F.array_distinct("w")).cast("long").alias("names"), F.array_join(F.array_sort(F.array_union(F.slice("w", 1, 3), F.slice("w", 2, 4))), ",").alias("joined"))
+    return w.select("doc_id", F.size(F.array_distinct("w")).cast("long").alias("names"), F.array_join(F.array_sort(F.array_union(F.slice("w", F.lit(1), F.floor(F.size("w") / 2).cast("int")), F.slice("w", F.floor(F.size("w") / 4).cast("int") + 1, F.size("w")))), ",").alias("joined"))
 
 
 _DOCS_SQL = "(SELECT n_name AS name, '(' || r_name || ')' AS sig, 'About ' || n_name || '. Examples: ' || r_name AS doc FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0)"
@@ -219,8 +219,8 @@ def group_advantage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {r6('avg(quality::DOUBLE)')} AS quality, {r6('avg(toxic::DOUBLE)')} AS toxic, {r6('avg((n_chars > 1000)::INT::DOUBLE)')} AS long_text, count(*) AS n FROM labels JOIN documents USING (doc_id)")
 def metric_means(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("quality", "toxic", (F.col("n_chars") > 1000).alias("long_text"))
-    means = rewards.summary(t, ("quality", "toxic", "long_text"))
-    return means.select(*[rounded(F.col(c)).alias(c) for c in means.columns]).crossJoin(t.agg(F.count("*").alias("n")))
+    means = rewards.summary(t, ("quality", "toxic", "long_text"), count="n")
+    return means.select(*[rounded(F.col(c)).alias(c) for c in ("quality", "toxic", "long_text")], "n")
 
 
 @query("SELECT o_custkey, min_by(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM orders GROUP BY 1")

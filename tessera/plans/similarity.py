@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import string
+import time
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import sequence, templates, tokens, vectors
+from tessera.functions import sequence, templates, text, tokens, vectors
 from tessera.functions.vectors import rounded
 from tessera.operators import codebleu, codegraph, columns, docs, evaluate, loop, rewards, samples, treedist
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 from tessera.plans.responses import PAIRS_SQL, pairs
 from tessera.plans.scores import LINE, r6
 from tessera.sources import external, store
@@ -51,19 +55,28 @@ def drop_prompt_ids(spark: SparkSession, d: str) -> DataFrame:
     return _ids(spark, d).select("doc_id", _text(tokens.without_prompt(F.col("ids"), (F.col("doc_id") % 20).cast("int"))).alias("generated"))
 
 
-@query()
+_WORDS_SQL = "list_transform(list_filter(regexp_split_to_array({}, '[ \\t\\n]+'), lambda w: w <> ''), lambda w: CAST(length(w) % 1000 AS INT))"
+_SAID_SQL = "('Write an animation script for: ' || text || chr(10) || '<CODE>' || chr(10))"
+
+
+@query(f"""
+WITH s AS (SELECT {_WORDS_SQL.format(f"{_SAID_SQL} || ' </s> ' || text || ' </s> '")} AS ids, len({_WORDS_SQL.format(f"{_SAID_SQL} || ' </s> '")}) AS said FROM documents),
+p AS (SELECT *, list_concat(ids, list_transform(range(128), lambda i: 0))[1:128] AS padded FROM s)
+SELECT array_to_string(padded, ',') AS input_ids, array_to_string(list_transform(range(128), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask,
+  array_to_string(list_transform(padded, lambda x, i: CASE WHEN i <= said THEN -100 ELSE x END), ',') AS labels FROM p""")
 def sft_tokens(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "documents").select(F.col("text").alias("Reviewed Description"), F.col("text").alias("Code"))
     return samples.tokenised(raw, 128).select(*[_text(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = table(spark, d, "embeddings").select("vec_id", F.lead("vec_id").over(w).alias("other"), F.col("embedding").alias("a"), F.lead("embedding").over(w).alias("b"))
-    return v.where("other IS NOT NULL")
+    """Each vector and the one with the next id, by a join on the id: no group of vectors is sorted in one task."""
+    v = table(spark, d, "embeddings")
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
+    return v.select("vec_id", F.col("embedding").alias("a")).join(nxt, "vec_id")
 
 
-_NEIGHBOURS_SQL = "(SELECT * FROM (SELECT vec_id, lead(vec_id) OVER w AS other, embedding::DOUBLE[] AS a, lead(embedding::DOUBLE[]) OVER w AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE other IS NOT NULL)"
+_NEIGHBOURS_SQL = "(SELECT x.vec_id, y.vec_id AS other, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"
 
 
 @query(f"SELECT vec_id, other, {r6('list_cosine_similarity(a, b)')} AS cosine, {r6('1.0 - list_dot_product(a, b)')} AS distance FROM {_NEIGHBOURS_SQL}")
@@ -143,7 +156,7 @@ def _frame_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.ssim_of_frames(_frame_pairs(spark, d), "a", "b", ["pair_id", "i", "j"], 8, 8).withColumn("ssim", rounded(F.col("ssim")))
+    return _frame_pairs(spark, d).select("pair_id", "i", "j", rounded(sequence.ssim_frames("a", "b", F.lit(8))).alias("ssim"))
 
 
 _CELLS = "[" + ", ".join(str(dy * 8 + dx) for dy in range(7) for dx in range(7)) + "]"
@@ -172,53 +185,50 @@ def ssim_best_match(spark: SparkSession, d: str) -> DataFrame:
     return best.select("pair_id", F.posexplode(F.arrays_zip("rows", "cols")).alias("n", "z")).select("pair_id", (F.col("n") + 1).cast("long").alias("n"), F.col("z.rows").alias("best_of_row"), F.col("z.cols").alias("best_of_column")).where("best_of_row IS NOT NULL")
 
 
-def _dtw_sql(cost: str, n: int = 4) -> str:
-    """Columns d11..dnn of the warping table, each from those before it."""
-    cells = []
-    for i in range(1, n + 1):
-        for j in range(1, n + 1):
-            before = [f"d{a}{b}" for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a and b]
-            cells.append(f"{cost.format(i=i, j=j)}{f' + least({", ".join(before)})' if before else ''} AS d{i}{j}")
-    return ", ".join(cells)
-
+def _dtw_sql(source: str, key: str, cost: str) -> str:
+    """A WITH clause whose table `warped` has the warping distance d of two lists (key, rows, cols) of any length: a row of the table for each step of
+    the recursion, each cell from its left, upper and diagonal neighbours."""
+    cell = f"[{cost.format(a='rows[i + 1]', b='cols[j]')}, above[j], above[j + 1]]"
+    return f"""WITH RECURSIVE source AS (SELECT * FROM {source} WHERE len(rows) > 0 AND len(cols) > 0),
+steps AS (
+  SELECT {key}, rows, cols, 0 AS i, list_concat([0.0::DOUBLE], list_transform(cols, lambda c: 'inf'::DOUBLE)) AS above FROM source
+  UNION ALL
+  SELECT {key}, rows, cols, i + 1, list_reduce(list_transform(range(1, len(cols) + 1), lambda j: {cell}), lambda row, c: list_append(row, c[1] + least(row[len(row)], c[2], c[3])), ['inf'::DOUBLE]) FROM steps WHERE i < len(rows)
+), warped AS (SELECT {key}, len(rows) AS n, len(cols) AS m, above[len(above)] AS d FROM steps WHERE i = len(rows))"""
 
-_FULL = "len(rows) = 4 AND len(cols) = 4"
 
-
-@query(f"SELECT pair_id, {r6('d44')} AS distance, {r6('exp(-5.0 * d44 / 4)')} AS score FROM (SELECT pair_id, {_dtw_sql('abs(rows[{i}] - cols[{j}])')} FROM {_BEST_SQL} WHERE {_FULL})")
+@query(f"{_dtw_sql(_BEST_SQL, 'pair_id', 'abs({a} - {b})')} SELECT pair_id, {r6('d')} AS distance, {r6('exp(-5.0 * d / greatest(n, m))')} AS score FROM warped")
 def ssim_dtw_score(spark: SparkSession, d: str) -> DataFrame:
     best = sequence.best_match(_matrix(spark, d)).where("size(rows) > 0 AND size(cols) > 0").withColumn("d", sequence.dtw_fold(F.col("rows"), F.col("cols")))
     return best.select("pair_id", rounded(F.col("d")).alias("distance"), rounded(sequence.similarity(F.col("d"), F.size("rows"), F.size("cols"), 5.0)).alias("score"))
 
 
-_SERIES_SQL = "(SELECT vec_id, a[1:4] AS rows, b[1:4] AS cols FROM " + _NEIGHBOURS_SQL + ")"
-
-
-@query(f"SELECT vec_id, {r6('d44')} AS folded, {r6('d44')} AS vectorised FROM (SELECT vec_id, {_dtw_sql('abs(rows[{i}] - cols[{j}])')} FROM {_SERIES_SQL})")
+@query(f"{_dtw_sql('(SELECT vec_id, a AS rows, b AS cols FROM ' + _NEIGHBOURS_SQL + ')', 'vec_id', 'abs({a} - {b})')} SELECT vec_id, {r6('d')} AS folded FROM warped")
 def dtw_series(spark: SparkSession, d: str) -> DataFrame:
-    """The first four values of each series alone, as its SQL has it; dtw_series_whole warps all."""
-    n = _neighbours(spark, d).select("vec_id", *[F.transform(F.slice(c, 1, 4), lambda x: x.cast("double")).alias(c) for c in ("a", "b")])
-    return n.select("vec_id", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("folded"), rounded(sequence.dtw_series("a", "b")).alias("vectorised"))
+    """Whole series, by a fold over columns alone."""
+    n = _neighbours(spark, d).select("vec_id", *[F.col(c).cast("array<double>").alias(c) for c in ("a", "b")])
+    return n.select("vec_id", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("folded"))
 
 
-@query()
-def dtw_series_whole(spark: SparkSession, d: str) -> DataFrame:
-    """dtw_series over whole series: its SQL unrolls a table of 4 x 4, so it warps the first four values of each."""
-    n = _neighbours(spark, d).select("vec_id", "other", *[F.col(c).cast("array<double>").alias(c) for c in ("a", "b")])
-    return n.select("vec_id", "other", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("folded"), rounded(sequence.dtw_series("a", "b")).alias("vectorised"))
+@query(ORACLES["dtw_series"].replace("AS folded", "AS vectorised"))
+def dtw_series_vectorised(spark: SparkSession, d: str) -> DataFrame:
+    """The same by arrays in Arrow batches, for series too long for a fold."""
+    n = _neighbours(spark, d).select("vec_id", *[F.col(c).cast("array<double>").alias(c) for c in ("a", "b")])
+    return n.select("vec_id", rounded(sequence.dtw_series("a", "b")).alias("vectorised"))
 
 
 _UNIT_SQL = "list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))"
 
 
-@query(f"""
-WITH f AS (SELECT pair_id, side, k, {_UNIT_SQL} AS e FROM {_FRAMES_SQL}), g AS (SELECT pair_id, list(e ORDER BY k) FILTER (side = 0) AS rows, list(e ORDER BY k) FILTER (side = 1) AS cols FROM f GROUP BY 1)
-SELECT pair_id, {r6('d44')} AS cost, {r6('exp(-d44 / 4)')} AS score FROM (SELECT pair_id, {_dtw_sql('(1.0 - list_dot_product(rows[{i}], cols[{j}]))')} FROM g WHERE {_FULL})""")
+_UNITS_SQL = f"(SELECT pair_id, list(e ORDER BY k) FILTER (side = 0) AS rows, list(e ORDER BY k) FILTER (side = 1) AS cols FROM (SELECT pair_id, side, k, {_UNIT_SQL} AS e FROM {_FRAMES_SQL}) GROUP BY 1)"
+
+
+@query(f"{_dtw_sql(_UNITS_SQL, 'pair_id', '(1.0 - list_dot_product({a}, {b}))')} SELECT pair_id, {r6('d')} AS cost, {r6('exp(-d / greatest(n, m))')} AS score FROM warped")
 def embed_dtw_score(spark: SparkSession, d: str) -> DataFrame:
     f = _frames(spark, d).select("pair_id", "side", F.struct("k", vectors.normalise(F.col("embedding")).alias("e")).alias("f"))
     line = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("f")))), lambda x: x["e"])
     g = f.groupBy("pair_id").agg(line(0).alias("a"), line(1).alias("b")).where("size(a) > 0 AND size(b) > 0")
-    cost = g.withColumn("c", sequence.dtw_vectors("a", "b"))
+    cost = g.withColumn("c", sequence.dtw_fold(F.col("a"), F.col("b"), vectors.dot_distance))
     return cost.select("pair_id", rounded(F.col("c")).alias("cost"), rounded(sequence.similarity(F.col("c"), F.size("a"), F.size("b"))).alias("score"))
 
 
@@ -227,18 +237,27 @@ def gray_convert(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(*LINE, rounded(sequence.gray(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_suppkey"))).alias("gray"))
 
 
-# Programs: made from part names, some of which do not parse.
+# Programs: made from part names, some of which do not parse; expected is the program of the next part.
 def _programs(spark: SparkSession, d: str) -> DataFrame:
     w = F.split("p_name", " ")
     first, size = F.initcap(w[0]), F.col("p_size").cast("string")
     good = F.concat(F.lit("class Show(Scene):\n    def construct(self):\n        a = "), first, F.lit("(radius="), size, F.lit(")\n        b = Line(a.start, color="), F.upper(w[1]), F.lit(")\n        self.camera.background_color = b\n        self.play(Create(a).shift(UP), run_time="), size, F.lit(")\n"))
     code = F.when(F.col("p_partkey") % 11 == 0, F.concat(good, F.lit("  )"))).when(F.col("p_partkey") % 7 == 0, "").otherwise(good)
-    made = table(spark, d, "part").select("p_partkey", code.alias("code"), F.lead(good).over(Window.partitionBy(F.col("p_size")).orderBy("p_partkey")).alias("expected"))
+    part = table(spark, d, "part")
+    nxt = part.select((F.col("p_partkey") - 1).alias("p_partkey"), good.alias("expected"))
+    made = part.select("p_partkey", code.alias("code")).join(nxt, "p_partkey", "left")
     # Much work for each row: dealt out evenly, whatever the files hold and however small they are.
     return made.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey")
 
 
-@query()
+# In SQL the programs' names and trees are closed forms: a program without an error or a blank is the same but for two names and a number.
+_FIRST_SQL = "(upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2))"
+_WHOLE_SQL = "p_partkey % 11 <> 0 AND p_partkey % 7 <> 0"
+
+
+@query(f"""
+SELECT p_partkey, CASE WHEN {_WHOLE_SQL} THEN array_to_string(list_sort(['Create', 'Create.shift', 'Line', {_FIRST_SQL}]), ',') ELSE '' END AS calls,
+  CASE WHEN {_WHOLE_SQL} THEN array_to_string(list_sort([{_FIRST_SQL} || '.start', 'Scene.camera.background_color']), ',') ELSE '' END AS assignments FROM part""")
 def call_extract(spark: SparkSession, d: str) -> DataFrame:
     n = _programs(spark, d).select("p_partkey", codegraph.code_names("code").alias("n"))
     kept = n.select("p_partkey", codegraph.filter_names(F.col("n.calls")).alias("c"), codegraph.filter_names(F.col("n.vars")).alias("v"))
@@ -256,7 +275,7 @@ def tree_distance(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", "t.raw", "t.max", rounded(F.col("t.norm")).alias("norm"), "t.syntax_error")
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 1 ELSE 92 END AS nodes FROM part")
 def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _programs(spark, d).select("p_partkey", treedist.tree_nodes("code").alias("nodes"))
 
@@ -269,8 +288,6 @@ def codebleu_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def api_notes(spark: SparkSession, d: str) -> DataFrame:
     """Interface notes on the names of each program, from a dimension made by reflection."""
-    import string
-
     dimension = external.api_docs(spark, string, ["Template.substitute", "Formatter", "capwords", "digits", "Line"]).unionByName(spark.createDataFrame([("Line", "(start, end)", "A line. Examples: none")], "name string, sig string, doc string")).dropDuplicates(["name"])
     n = _programs(spark, d).select("p_partkey", codegraph.code_names("code").alias("n")).select("p_partkey", codegraph.filter_names(F.col("n.calls")).alias("calls"), codegraph.filter_names(F.col("n.vars")).alias("v"))
     return docs.notes(n.withColumn("assignments", codegraph.vars_beyond_calls(F.col("v"), F.col("calls"))), dimension, "p_partkey")
@@ -278,16 +295,29 @@ def api_notes(spark: SparkSession, d: str) -> DataFrame:
 
 def _mock_generate(df: DataFrame) -> DataFrame:
     """Stands in for a model: a program that gets longer with each round."""
-    return df.withColumn("response", F.concat(F.lit("<code>x = "), F.length("request").cast("string"), F.lit("</code>")))
+    return df.withColumn("response", F.concat(F.lit("<code>"), F.coalesce(F.concat("initial_code", F.lit(";")), F.lit("")), F.lit("x = "), F.length("request").cast("string"), F.lit("</code>")))
 
 
 def _mock_render(df: DataFrame) -> DataFrame:
     """Stands in for a renderer: a third of the programs succeed in each round."""
-    ok = F.pmod(F.xxhash64("id", "code"), F.lit(3)) == 0
+    ok = F.pmod(F.col("id") + F.length("code"), F.lit(3)) == 0
     return df.withColumns({"success": ok, "errors": F.when(ok, "").otherwise(F.concat(F.lit("\x1b[31mline 1\nno such name\n"), "code"))})
 
 
-@query()
+def _user_sql(template: str, **slots: str) -> str:
+    """The user text of a chat template in SQL."""
+    parts = string.Formatter().parse(templates.TEMPLATES[template][1])
+    return " || ".join(x for text, name, _, _ in parts for x in ([f"'{text}'"] if text else []) + ([slots[name]] if name else []))
+
+
+_LATER_SQL = "code || ';x = ' || length(" + _user_sql("docs_feedback", reviewed_description="text", initial_code="code", api_info="'none'", render_errors="'line 1\nno such name\n' || code") + ")"
+
+
+@query(f"""
+WITH r0 AS (SELECT conv_id * 1000 + turn AS id, text, 0 AS round, 'x = ' || length({_user_sql("code", reviewed_description="text")}) AS code FROM conversations WHERE role = 'user'),
+{", ".join(f"r{n} AS (SELECT id, text, {n} AS round, {_LATER_SQL} AS code FROM r{n - 1} WHERE (id + length(code)) % 3 <> 0)" for n in (1, 2, 3))},
+every AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
+SELECT id, CAST(round AS INT) AS round, CASE WHEN round = 0 THEN 'code' ELSE 'docs_feedback' END AS template, code, (id + length(code)) % 3 = 0 AS success FROM every WHERE (id + length(code)) % 3 = 0 OR round = 3""")
 def feedback_loop(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("reviewed_description"))
     out = loop.run_rounds(s, _mock_generate, _mock_render, 3, notes=lambda t: t.withColumn("api_info", F.lit("none")))
@@ -301,24 +331,96 @@ def plan_step(spark: SparkSession, d: str) -> DataFrame:
     return loop.requests(s).select("id", "template")
 
 
-@query("SELECT r_regionkey, 'Answer: ' || r_name AS response, false AS timed_out FROM region")
+@query("SELECT doc_id, 'Answer: ' || text AS response, false AS timed_out FROM documents")
 def model_stage(spark: SparkSession, d: str) -> DataFrame:
     """A chat endpoint behind an injected transport."""
 
     def post(url: str, json: dict, timeout: float) -> dict:
         return {"choices": [{"message": {"content": f"Answer: {json['messages'][0]['content']}"}}]}
 
-    asked = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("request"))
-    return external.with_answers(asked, external.chat_endpoint("http://localhost/v1", "none", post)).select("r_regionkey", "response", "timed_out")
+    asked = table(spark, d, "documents").select("doc_id", F.col("text").alias("request"))
+    return external.with_answers(asked, external.chat_endpoint("http://localhost/v1", "none", post)).select("doc_id", "response", "timed_out")
+
+
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 9 = 4 THEN '{external.TIMED_OUT}' ELSE upper(n_name) END AS response, n_nationkey % 9 = 4 AS timed_out FROM nation")
+def timed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with a time limit each: those that take longer are a sentinel text, and the rest goes on."""
+
+    def make():
+        def ask(text: str) -> str:
+            if text.startswith("slow "):
+                time.sleep(3)
+            return text.upper()
+
+        return ask
 
+    slow = F.when(F.col("n_nationkey") % 9 == 4, F.concat(F.lit("slow "), "n_name")).otherwise(F.col("n_name"))
+    return external.with_answers(table(spark, d, "nation").select("n_nationkey", slow.alias("request")), make, timeout=0.5).select("n_nationkey", "response", "timed_out")
 
-@query("SELECT r_regionkey, r_regionkey % 3 = 0 AS success, CASE WHEN r_regionkey % 3 = 1 THEN 'There is no code to render.' WHEN r_regionkey % 3 = 2 THEN 'The script left no video or image.' ELSE '' END AS errors FROM region")
+
+@query("""
+SELECT p_partkey, p_size % 3 = 0 AS success, CASE WHEN p_size % 3 = 1 THEN 'There is no code to render.' WHEN p_size % 3 = 2 THEN 'The script left no video or image.' ELSE '' END AS errors,
+  CASE WHEN p_size % 3 = 2 THEN 'size ' || p_size || chr(10) ELSE '' END AS info FROM part""")
 def render_stage(spark: SparkSession, d: str) -> DataFrame:
-    """Scripts run in processes of their own; distinct programs run once."""
-    k = F.col("r_regionkey") % 3
-    script = F.when(k == 0, "open('out.png', 'wb').write(b'P5 1 1 255 x')").when(k == 1, " ").otherwise("print('nothing')")
-    made = external.with_renders(table(spark, d, "region").select("r_regionkey", script.alias("code")))
-    return made.select("r_regionkey", "success", "errors")
+    """Scripts run in processes of their own; equal ones run once, however many rows have them."""
+    size, k = F.col("p_size").cast("string"), F.col("p_size") % 3
+    script = F.when(k == 0, F.concat(F.lit("open('out.png', 'wb').write(b'P5 1 1 255 x')  # "), size)).when(k == 1, " ").otherwise(F.concat(F.lit("print('size', "), size, F.lit(")")))
+    parts = table(spark, d, "part").select("p_partkey", script.alias("code"))
+    made = external.with_renders(parts.select("code").distinct())
+    return parts.join(made, "code").select("p_partkey", "success", "errors", "info")
+
+
+@query("SELECT p_partkey, i AS frame_idx, CAST(2 AS INT) AS height, CAST(3 AS INT) AS width, array_to_string(list_transform(range(6), lambda k: (p_partkey + 40 * k + i) % 256), ',') AS gray FROM part, unnest([0, 2, 4]) u(i) WHERE p_partkey < 6")
+def video_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Moving images, written as animated bitmaps, sampled to five frames a second of ten."""
+    return _media(spark, d, 5)
+
+
+@query("SELECT p_partkey, 0 AS frame_idx, CAST(2 AS INT) AS height, CAST(3 AS INT) AS width, array_to_string(list_transform(range(6), lambda k: (p_partkey + 40 * k) % 256), ',') AS gray FROM part WHERE p_partkey < 6")
+def image_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Still images: their one frame."""
+    return _media(spark, d, 1)
+
+
+def _media(spark: SparkSession, d: str, count: int) -> DataFrame:
+    """Frames of media files made of the first parts: a 3 x 2 image for each, as PNG, or `count` of them one after the other at ten a second."""
+    folder = store.shared_path(spark, "media")
+    files = []
+    for r in table(spark, d, "part").where("p_partkey < 6").select("p_partkey").collect():
+        shots = [np.array([(r[0] + 40 * k + i) % 256 for k in range(6)], np.uint8).reshape(2, 3) for i in range(count)]
+        files.append((f"{r[0]}.{'png' if count == 1 else 'frames'}", external.encode_png(shots[0]) if count == 1 else external.encode_frames(shots, 10.0)))
+    external.write_files(spark, folder, files)
+    made = external.frames(spark, folder, external.decode_image if count == 1 else external.decode_frames)
+    return made.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("p_partkey"), "frame_idx", "height", "width", F.array_join(F.col("gray").cast("array<string>"), ",").alias("gray"))
+
+
+@query("SELECT p_partkey, '1. show ' || p_name AS code_plan, 'code_with_plan' AS template FROM part")
+def planner_step(spark: SparkSession, d: str) -> DataFrame:
+    """A planner answers each sample's plan request; its last plan goes into the request for the program."""
+    none = F.lit(None).cast("string")
+    s = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("reviewed_description"))
+    said = F.concat(F.lit("let me think\n<PLAN>no</PLAN>\n<plan>\n1. show "), F.substring_index("request", "\n", -1), F.lit("\n</plan>"))
+    planned = loop.planned(s, lambda t: t.withColumn("response", said))
+    return loop.requests(planned.select("p_partkey", "reviewed_description", "code_plan", *[none.alias(c) for c in ("initial_code", "api_info", "render_errors")])).select("p_partkey", "code_plan", "template")
+
+
+@query("SELECT p_partkey, true AS well_formed, 1 AS rows_with_name FROM part")
+def unique_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that no two rows share: what they look like, and how many rows have each."""
+    named = store.written(table(spark, d, "part").select("p_partkey", text.unique_name("scene").alias("name")), "names")
+    counts = named.groupBy("name").agg(F.count("*").cast("int").alias("rows_with_name"))
+    return named.join(counts, "name").select("p_partkey", F.col("name").rlike(r"^scene_[0-9a-f]{12}_\d{10}$").alias("well_formed"), "rows_with_name")
+
+
+@query(f"""
+SELECT p_partkey, array_to_string(list_sort(['Create', {_FIRST_SQL}, {_FIRST_SQL} || '.move']), ',') AS calls, {_FIRST_SQL} || '.start' AS assignments FROM part""")
+def session_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of snippets read one after the other: what one tells about a variable's type holds in the next."""
+    first = F.initcap(F.split("p_name", " ")[0])
+    snippets = F.array(F.concat(F.lit("a = "), first, F.lit("()")), F.lit("b = a.start"), F.lit("x = ("), F.lit("a.move(Create(1))"))
+    n = table(spark, d, "part").select("p_partkey", codegraph.session_names(snippets).alias("n"))
+    kept = n.select("p_partkey", codegraph.filter_names(F.col("n.calls")).alias("c"), codegraph.filter_names(F.col("n.vars")).alias("v"))
+    return kept.select("p_partkey", F.array_join("c", ",").alias("calls"), F.array_join(codegraph.vars_beyond_calls(F.col("v"), F.col("c")), ",").alias("assignments"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders")
@@ -327,19 +429,21 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return store.read_csv(spark, path, "row_idx long, o_orderkey long, o_orderstatus string")
 
 
-@query("SELECT 'eval/' || n AS value FROM unnest(range(6)) u(n)")
+@query("SELECT 'eval/' || p_partkey AS value FROM part UNION ALL SELECT 'eval/last'")
 def manifest_append(spark: SparkSession, d: str) -> DataFrame:
-    path = store.shared_path(spark, "manifest")
-    for k in range(3):
-        store.append_manifest(spark, path, f"eval/{2 * k}", f"eval/{2 * k + 1}")
+    """A manifest that grows by tables of lines and by single lines; nothing happens without one."""
+    path, parts = store.shared_path(spark, "manifest"), table(spark, d, "part")
+    for k in range(2):
+        store.append_manifest(spark, path, rows=parts.where(F.col("p_partkey") % 2 == k).select(F.concat(F.lit("eval/"), "p_partkey").alias("value")))
+    store.append_manifest(spark, path, "eval/last")
     store.append_manifest(spark, None, "nowhere")
     return spark.read.text(path)
 
 
-@query("SELECT 'Nothing is documented under ' || n_name || '.' AS no_doc, n_name || chr(10) || '(from nation ' || n_regionkey || ')' AS question FROM nation")
+@query("SELECT doc_id, 'Nothing is documented under ' || source || '.' AS no_doc, text || chr(10) || '(from source ' || source || ')' AS question FROM documents")
 def template_fill(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return n.select(templates.fill(templates.PLAIN["no_doc"], invalid_param=F.col("n_name"), ignored=F.col("n_name")).alias("no_doc"), templates.fill(templates.PLAIN["question"], question=F.col("n_name"), source_type=F.lit("nation"), source_file=F.col("n_regionkey")).alias("question"))
+    n = table(spark, d, "documents")
+    return n.select("doc_id", templates.fill(templates.PLAIN["no_doc"], invalid_param=F.col("source"), ignored=F.col("text")).alias("no_doc"), templates.fill(templates.PLAIN["question"], question=F.col("text"), source_type=F.lit("source"), source_file=F.col("source")).alias("question"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")

@@ -5,16 +5,19 @@ Each is a mapInPandas stage around an injected callable, which is made once for
 
 from __future__ import annotations
 
-import contextlib
 import glob
 import inspect
 import os
+import struct
 import subprocess
 import sys
 import tempfile
+import zlib
+from collections import ChainMap
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -129,13 +132,110 @@ def decode_pnm(data: bytes) -> tuple[list[np.ndarray], float]:
     raise ValueError(f"unknown image kind {kind!r}")
 
 
+_PNG = b"\x89PNG\r\n\x1a\n"
+#: Samples a pixel by a PNG's colour type (grey, true colour, palette, grey and alpha, true colour and alpha), and the weights of red, green and blue in grey.
+_SAMPLES, _GREY = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}, (0.299, 0.587, 0.114)
+
+
+def decode_png(data: bytes) -> tuple[list[np.ndarray], float]:
+    """The one frame of a PNG image of 8 bits a sample that is not interlaced, as gray; alpha is ignored."""
+    if not data.startswith(_PNG):
+        raise ValueError("no PNG image")
+    at, packed, palette, head = len(_PNG), b"", None, None
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + size]
+        at += size + 12
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed += body
+    if head is None or head[2] != 8 or head[6] or head[3] not in _SAMPLES:
+        raise ValueError("only PNG images of 8 bits a sample that are not interlaced are read")
+    width, height, _, colour = head[:4]
+    pixels = _unfiltered(zlib.decompress(packed), height, width, _SAMPLES[colour])
+    if colour == 3:
+        pixels = palette[pixels[:, :, 0]]
+    gray = pixels[:, :, :3] @ np.array(_GREY) if pixels.shape[2] >= 3 else pixels[:, :, 0]
+    return [np.rint(gray).astype(np.uint8)], 0.0
+
+
+def _unfiltered(raw: bytes, height: int, width: int, samples: int) -> np.ndarray:
+    """Pixels from a PNG's lines, each of which says how its bytes differ from what stands left (a), above (b) and above left (c)."""
+    lines = np.frombuffer(raw, np.uint8).reshape(height, 1 + width * samples)
+    out = np.zeros((height + 1, width + 1, samples), np.int64)  # a border of zeros above and at the left
+    for y in range(1, height + 1):
+        how, line = int(lines[y - 1, 0]), lines[y - 1, 1:].reshape(width, samples).astype(np.int64)
+        if how == 0:
+            out[y, 1:] = line
+        elif how == 2:
+            out[y, 1:] = (line + out[y - 1, 1:]) & 255
+        elif how == 1:
+            out[y, 1:] = line.cumsum(0) & 255
+        else:
+            for x in range(1, width + 1):
+                a, b, c = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+                if how == 3:
+                    guess = (a + b) // 2
+                else:
+                    near = np.stack([np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)]).argmin(0)
+                    guess = np.choose(near, [a, b, c])
+                out[y, x] = (line[x - 1] + guess) & 255
+    return out[1:, 1:]
+
+
+def encode_png(frame: np.ndarray) -> bytes:
+    """A gray frame as a PNG image."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    height, width = frame.shape
+    lines = b"".join(b"\0" + row.tobytes() for row in frame.astype(np.uint8))
+    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def decode_image(data: bytes) -> tuple[list[np.ndarray], float]:
+    """The frame of a PNG image or a portable gray or colour map."""
+    return decode_png(data) if data.startswith(_PNG) else decode_pnm(data)
+
+
+_VIDEO = b"FRAMES 1\n"
+
+
+def encode_frames(frames: list[np.ndarray], fps: float) -> bytes:
+    """Moving gray frames, uncompressed: a stand-in for a video that needs no codec."""
+    height, width = frames[0].shape if frames else (0, 0)
+    return _VIDEO + struct.pack(">dIII", fps, len(frames), height, width) + b"".join(f.astype(np.uint8).tobytes() for f in frames)
+
+
+def decode_frames(data: bytes) -> tuple[list[np.ndarray], float]:
+    """Frames and rate of encode_frames(). What can't be opened, and a rate of 0, is an error."""
+    if not data.startswith(_VIDEO):
+        raise ValueError("the video can't be opened")
+    fps, count, height, width = struct.unpack_from(">dIII", data, len(_VIDEO))
+    if not fps > 0:
+        raise ValueError("the video has no frame rate")
+    pixels = np.frombuffer(data, np.uint8, count * height * width, len(_VIDEO) + 20)
+    return list(pixels.reshape(count, height, width)), fps
+
+
+def write_files(spark: SparkSession, folder: str, files: list[tuple[str, bytes]]) -> None:
+    """Small files, by name, in a folder of any file system that Spark knows."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, data in files:
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(base, name))
+        out.write(bytearray(data))
+        out.close()
+
+
 FRAMES = "path string, frame_idx int, height int, width int, gray array<smallint>"
 
 
 def frames(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[list[np.ndarray], float]] = decode_pnm, target_fps: float = 5) -> DataFrame:
-    """Sampled gray frames of the media files under a path. decode gives a file's frames and rate; images have rate 0.
+    """Sampled gray frames of the media files under a path. decode gives a file's frames and rate; a still image has one frame and rate 0.
 
-    A file that can't be decoded, or has no frame, is an error."""
+    A file that can't be decoded, that moves without a rate, or that has no frame, is an error that says which."""
     ship(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,6 +248,8 @@ def frames(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[list[
                     raise ValueError(f"could not load {name}: {error}") from error
                 if not found:
                     raise ValueError(f"no frames in {name}")
+                if len(found) > 1 and not fps > 0:
+                    raise ValueError(f"no frame rate in {name}")
                 step = max(1, int(fps / target_fps))
                 rows += [(name, i, f.shape[0], f.shape[1], f.astype(np.int16).ravel().tolist()) for i, f in enumerate(found) if i % step == 0]
             yield pd.DataFrame(rows, columns=["path", "frame_idx", "height", "width", "gray"])
@@ -155,35 +257,48 @@ def frames(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[list[
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FRAMES)
 
 
-def _described(obj: Any, name: str, missing: str) -> tuple[str, str]:
-    """(signature, documentation) with fall-backs: the type for values, the class's text, a sentence on the type."""
-    kind = type(obj).__name__
-    signature = f": {kind}"
-    if callable(obj):
-        signature = "()"
-        with contextlib.suppress(ValueError, TypeError):
-            signature = str(inspect.signature(obj))
-    doc = inspect.getdoc(obj) or inspect.getdoc(type(obj)) or (f"A callable of type {kind}." if callable(obj) else f"An attribute of type {kind}.")
-    return signature, doc or missing.format(invalid_param=name)
+class _Unknown(LookupError):
+    """A dotted name that leads nowhere."""
+
 
+def _class_members(kind: type) -> ChainMap:
+    """The members of a class as an instance finds them."""
+    return ChainMap(*(dict(vars(c)) for c in kind.__mro__))
 
-def _has_properties(obj: Any) -> bool:
-    return isinstance(obj, property) or any(isinstance(getattr(type(obj), a, None), property) for a in dir(type(obj)))
+
+def _member(owner: Any, name: str, last: bool) -> Any:
+    """A step of a dotted name. Before the last one, what has properties of its own is read as a property: by the type that this returns."""
+    try:
+        value = getattr(owner, name)
+    except AttributeError as error:
+        raise _Unknown(name) from error
+    if last or not any(isinstance(m, property) for m in (value, *_class_members(type(value)).values())):
+        return value
+    return inspect.get_annotations(value.fget).get("return") if isinstance(value, property) else None
+
+
+def _lines_of(value: Any) -> tuple[str, str]:
+    """(signature, documentation) of a value: for one that can't be called its type, for one without a text its class's text or a sentence."""
+    kind = type(value).__name__
+    text = inspect.getdoc(value) or inspect.getdoc(type(value))
+    if not callable(value):
+        return f": {kind}", text or f"An attribute of type {kind}."
+    try:
+        signature = str(inspect.signature(value))
+    except (TypeError, ValueError):
+        signature = "()"
+    return signature, text or f"A callable of type {kind}."
 
 
 def described(package: Any, name: str) -> tuple[str, str]:
-    """(signature, documentation) of a dotted name of a package. On the way a property stands for the type it returns."""
+    """(signature, documentation) of a dotted name of a package; a name that leads nowhere is said to have none."""
     from tessera.functions.templates import PLAIN
 
-    at, parts = package, name.split(".")
+    *way, end = name.split(".")
     try:
-        for i, part in enumerate(parts):
-            outer, at = at, getattr(at, part)
-            if i < len(parts) - 1 and _has_properties(at):
-                found = getattr(outer, part, None)
-                at = found.fget.__annotations__.get("return") if isinstance(found, property) else None
-        return _described(at, name, PLAIN["no_doc"])
-    except (AttributeError, ValueError, TypeError):
+        owner = reduce(lambda at, part: _member(at, part, last=False), way, package)
+        return _lines_of(_member(owner, end, last=True))
+    except (_Unknown, TypeError, ValueError):
         return "()", PLAIN["no_doc"].format(invalid_param=name)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a folder of our own."""
+    """A new path under spark.checkpoint.dir, which every executor sees; what is written there goes when the session's process ends.
+
+    Where that is unset, a folder of this machine's will do for a local master (tests); on a cluster it is an error, for each executor would write to a disk of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    folder = f"{sc._jsc.sc().getCheckpointDir().get().rstrip('/')}/tessera"
+    if folder not in _ours:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _ours.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_ours: set[str] = set()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,10 +79,14 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).schema(schema).csv(path)
 
 
-def append_manifest(spark: SparkSession, manifest: str | None, *lines: str) -> None:
-    """Add lines to a manifest folder; nothing where there is none."""
-    if manifest and lines:
+def append_manifest(spark: SparkSession, manifest: str | None, *lines: str, rows: DataFrame | None = None) -> None:
+    """Add lines, or a table of them (one string column), to a manifest folder; nothing where there is none."""
+    if manifest is None:
+        return
+    if lines:
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(manifest)
+    if rows is not None:
+        rows.write.mode("append").text(manifest)
 
 
 def show_summary(df: DataFrame) -> None:

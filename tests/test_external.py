@@ -91,12 +91,109 @@ def test_reflection(spark):
     assert external.api_docs(spark, string, ["digits", "digits", "x"]).count() == 2
 
 
+def filtered_png(rgb, how):
+    """A PNG written with one of its five line filters, byte by byte as the format says."""
+    import struct
+    import zlib
+
+    height, width, samples = rgb.shape
+    raw, above = b"", [0] * (width * samples)
+    for line in rgb.reshape(height, -1).tolist():
+        raw += bytes([how])
+        for i, v in enumerate(line):
+            a, b, c = (line[i - samples] if i >= samples else 0), above[i], (above[i - samples] if i >= samples else 0)
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            raw += bytes([(v - (0, a, b, (a + b) // 2, paeth)[how]) % 256])
+        above = line
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    packed = zlib.compress(raw)
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[samples]
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"tEXt", b"a") + chunk(b"IDAT", packed[:9]) + chunk(b"IDAT", packed[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("how", range(5))
+@pytest.mark.parametrize("samples", [1, 2, 3, 4])
+def test_png_images(how, samples):
+    import numpy as np
+
+    rgb = np.random.default_rng(how).integers(0, 256, (5, 7, samples)).astype(np.uint8)
+    want = np.rint(rgb[:, :, :3] @ np.array([0.299, 0.587, 0.114])) if samples > 2 else rgb[:, :, 0]
+    frames, rate = external.decode_image(filtered_png(rgb, how))
+    assert rate == 0 and len(frames) == 1 and (frames[0] == want).all()
+    assert (external.decode_png(external.encode_png(rgb[:, :, 0]))[0][0] == rgb[:, :, 0]).all()
+
+
+def test_media_that_cannot_be_read(spark, tmp_path):
+    import numpy as np
+
+    shots = [np.full((2, 2), i, np.uint8) for i in range(10)]
+    external.write_files(spark, str(tmp_path), [("a.frames", external.encode_frames(shots, 10.0))])
+    assert [r["frame_idx"] for r in external.frames(spark, str(tmp_path / "a.frames"), external.decode_frames).collect()] == [0, 2, 4, 6, 8]
+    for name, data, decode, said in (
+        ("b.frames", b"other", external.decode_frames, "can't be opened"),
+        ("c.frames", external.encode_frames(shots, 0.0), external.decode_frames, "no frame rate"),
+        ("d.frames", external.encode_frames([], 5.0), external.decode_frames, "no frames in"),
+        ("e.png", b"\x89PNG\r\n\x1a\n", external.decode_image, "could not load"),
+        ("f.any", b"x", lambda data: (shots, 0.0), "no frame rate in"),
+    ):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match=said):
+            external.frames(spark, str(tmp_path / name), decode).collect()
+
+
+def test_a_planner_or_a_plan(spark):
+    df = spark.createDataFrame([(1, "scene"), (2, None)], "id long, reviewed_description string")
+    said = lambda t: t.withColumn("response", F.when(F.col("id") == 1, "<PLAN>a</PLAN><PLAN>b</PLAN>").otherwise("none"))
+    assert {r["id"]: r["code_plan"] for r in loop.planned(df, said).collect()} == {1: "b", 2: ""}
+    assert {r["code_plan"] for r in loop.planned(df).collect()} == {None}
+    with pytest.raises(ValueError, match="need no planner"):
+        loop.planned(df.withColumn("code_plan", F.lit("x")), said)
+
+
+def test_a_success_that_is_null_is_none(spark):
+    df = spark.createDataFrame([(i, f"scene {i}") for i in range(3)], "id long, reviewed_description string")
+    out = loop.run_rounds(df, _mock_generate, lambda t: t.withColumns({"success": F.when(F.col("id") > 0, F.col("id") == 1), "errors": F.lit("no")}), 2).collect()
+    assert sorted((r["id"], r["success"], r["round"]) for r in out) == [(0, False, 2), (1, True, 0), (2, False, 2)]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Inner:
+                    @staticmethod
+                    def getCheckpointDir():
+                        return type("Option", (), {"isDefined": staticmethod(lambda: False)})
+
+                return Inner
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_path(type("Session", (), {"sparkContext": Context()})(), "x")
+
+
+def test_manifests(spark, tmp_path):
+    path = str(tmp_path / "m")
+    store.append_manifest(spark, path, "a", "b")
+    store.append_manifest(spark, path, rows=spark.createDataFrame([("c",), ("d",)], "value string"))
+    store.append_manifest(spark, None, "x", rows=spark.createDataFrame([("y",)], "value string"))
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["a", "b", "c", "d"]
+
+
 def test_loop(spark):
     df = spark.createDataFrame([(i, f"scene {i}") for i in range(40)], "id long, reviewed_description string")
     out = {r["id"]: r for r in loop.run_rounds(df, _mock_generate, _mock_render, 3).collect()}
     assert len(out) == 40 and {r["round"] for r in out.values()} > {0, 1}
     assert all(r["success"] or r["round"] == 3 for r in out.values())
-    assert all(r["template"] == ("code" if r["round"] == 0 else "feedback") for r in out.values())
+    assert all(r["template"] == ("code" if r["round"] == 0 else "feedback") for r in out.values())  # without notes
     forced = loop.run_rounds(df, _mock_generate, _mock_render, 2, notes=lambda t: t.withColumn("api_info", F.lit("n")), force_all=True).collect()
     assert {(r["round"], r["template"]) for r in forced} == {(2, "docs_feedback")} and len(forced) == 40
     with pytest.raises(ValueError):
@@ -139,12 +236,16 @@ def test_evaluation(spark):
 
     stages = (lambda t: t.join(said, "id"), render, lambda t: t.withColumn("codebert_similarity", F.lit(1.0)), lambda t: t.withColumns({"ssim_score": F.lit(0.64), "visual_semantic_score": F.lit(1.0)}))
     got = {r["id"]: r for r in evaluate.evaluate(df, *stages).collect()}
-    assert seen == [2] and list(got[1].asDict())[1:] == list(evaluate.RESULT) and len(evaluate.RESULT) == 25
+    assert seen[:1] == [2] and list(got[1].asDict())[1:] == list(evaluate.RESULT) and len(evaluate.RESULT) == 25
     # One word has no runs of two and more, so its n-gram match is next to nothing; the other three matches are whole.
     assert got[1]["codebleu"] == pytest.approx(0.75, abs=1e-3) and (got[1]["ast_distance_raw"], got[1]["visual_similarity"], got[1]["manim_render_success"]) == (0.0, 0.8, True)
     assert (got[2]["codebleu"], got[2]["ast_distance_raw"], got[2]["syntax_error"], got[2]["manim_render_success"], got[2]["raw_generated_thinking"]) == (0.0, 0.0, True, False, "think")
     assert (got[3]["ast_distance_raw"], got[3]["syntax_error"], got[3]["ssim_score"]) == (None, True, 0.0)
     assert (got[4]["manim_render_success"], got[4]["visual_similarity"]) == (True, 0.0)
+    # Rows with a null or repeated id are rows like any other.
+    again = spark.createDataFrame([(k, "t", "Line(1)", None) for k in (1, 1, None)], "id long, text_script string, expected_code string, code_plan string")
+    some = (lambda t: t.withColumn("response", F.lit("<code>Line(1)</code>")), *stages[1:])
+    assert [r["id"] for r in evaluate.evaluate(again, *some).orderBy("id").collect()] == [None, 1, 1]
     means = summary(evaluate.evaluate(df, *stages)).first()
     assert means["manim_render_success"] == 0.5 and means["syntax_error"] == 0.5
     with pytest.raises(RuntimeError, match="does not render"):

@@ -136,12 +136,13 @@ def plain_ssim(a, b):
 def test_ssim(spark):
     rng = np.random.default_rng(0)
     frames = [rng.integers(0, 256, (9, 8)) for _ in range(4)]
-    assert math.isclose(sequence.ssim(frames[0], frames[0]), 1.0)
-    assert math.isclose(sequence.ssim(frames[0], frames[1]), plain_ssim(frames[0], frames[1]))
-    rows = [(i, frames[i].ravel().tolist(), frames[(i + 1) % 4].ravel().tolist()) for i in range(4)]
-    got = sequence.ssim_of_frames(spark.createDataFrame(rows, "k int, a array<int>, b array<int>"), "a", "b", ["k"], 8, 9).collect()
-    for r in got:
-        assert math.isclose(r["ssim"], plain_ssim(frames[r["k"]], frames[(r["k"] + 1) % 4]), rel_tol=1e-9)
+    assert np.allclose(sequence.ssim(np.array(frames[:2] * 2), np.array([frames[0], frames[0], frames[1], frames[1]])), [1, plain_ssim(frames[1], frames[0]), plain_ssim(frames[0], frames[1]), 1])
+    big = [rng.integers(0, 256, (20, 8)) for _ in range(2)]
+    rows = [(i, frames[i].ravel().tolist(), frames[(i + 1) % 4].ravel().tolist()) for i in range(4)] + [(4, big[0].ravel().tolist(), big[1].ravel().tolist()), (5, None, rows_of := big[0].ravel().tolist()), (6, rows_of[:72], rows_of)]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(rows, "k int, a array<int>, b array<int>").select("k", sequence.ssim_frames("a", "b", F.lit(8)).alias("s")).collect()}
+    for k in range(4):
+        assert math.isclose(got[k], plain_ssim(frames[k], frames[(k + 1) % 4]), rel_tol=1e-9)
+    assert math.isclose(got[4], plain_ssim(*big), rel_tol=1e-9) and all(got[k] is None or math.isnan(got[k]) for k in (5, 6))
     assert sequence.resize_area(np.full((6, 4), 7.0), 3, 2).tolist() == [[7.0, 7.0]] * 3
 
 

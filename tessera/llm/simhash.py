@@ -382,7 +382,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, shard: int
 
     Groups are components of wide fingerprints of five-word shingles within radius, which stands for a Jaccard similarity of 0.8. Null or wordless
     texts are copies of each other. Of several texts with the smallest doc_id, and of rows that repeat it, one stays; a null doc_id is chosen only in a group that has no other. Very long
-    texts are read whole. Empty table: no rows. Texts are fingerprinted once and move only where Spark finds the rows to drop too many to send around."""
+    texts are read whole. Empty table: no rows. Texts are fingerprinted once and shuffled once."""
     prints = written(wide_prints(docs, size), "prints")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")
     nodes = written(prints.groupBy("_fp").agg(F.min(order).alias("least"), F.first("_wide").alias("_wide"), F.first("_bands").alias("_bands")), "nodes")
@@ -397,7 +397,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = 5, shard: int
         dropped(done)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_id", F.col("row.doc_id").cast("long")).withColumn("_th", F.xxhash64("row.text"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
-    kept = rows.join(out, same, "left_anti").select("row.*")
+    # Texts are shuffled once at every size: what is dropped grows with the input, and a plan that sends it around would be gone on larger tables.
+    kept = rows.join(out.hint("merge"), same, "left_anti").select("row.*")
     several = out.where("_several")
     if several.isEmpty():
         return kept

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import time
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sequence, templates, text, tokens, vectors
 from tessera.functions.vectors import rounded
-from tessera.operators import codebleu, codegraph, columns, docs, evaluate, loop, rewards, samples, treedist
+from tessera.operators import codebleu, codegraph, columns, docs, evaluate, loop, rewards, samples, treedist, visual
 from tessera.plans.registry import ORACLES, query
 from tessera.plans.responses import PAIRS_SQL, pairs
 from tessera.plans.scores import LINE, r6
@@ -464,13 +465,24 @@ def _show(df: DataFrame) -> DataFrame:
     return df.withColumn("success", ok).select("*", F.when(F.col("success"), F.col("code").cast("binary")).alias("artifact"), F.lit("").alias("info"), F.when(F.col("success"), "").otherwise("no").alias("errors"))
 
 
+def _filmed(data: bytes) -> tuple[list[np.ndarray], float]:
+    """Stands in for a codec: a text's bytes as 8 x 8 frames, four a second."""
+    pixels = np.frombuffer(data, np.uint8)
+    return [np.resize(pixels[at : at + 64], (8, 8)) for at in range(0, len(pixels), 64)], 4.0
+
+
+def _pooled() -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+    """Stands in for an encoder: means over sixteen parts of a frame."""
+    return lambda frames: [sequence.resize_area(f, 4, 4).ravel() for f in frames]
+
+
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     p = _programs(spark, d).where("expected IS NOT NULL").select(F.col("p_partkey").alias("id"), F.concat(F.lit("scene "), F.col("p_partkey").cast("string")).alias("text_script"), F.col("expected").alias("expected_code"), F.when(F.col("p_partkey") % 2 == 0, "1. go").alias("code_plan"))
     share = lambda a, b: F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
     return evaluate.evaluate(
         p, _answer, _show,
         lambda t: t.withColumn("codebert_similarity", share("generated_code", "expected_code")),
-        lambda t: t.withColumns({"ssim_score": share("generated_artifact", "expected_artifact"), "visual_semantic_score": F.lit(1.0)}),
+        lambda t: visual.visual_scores(t, _filmed, _pooled),
     )
 
 

@@ -229,6 +229,20 @@ def write_files(spark: SparkSession, folder: str, files: list[tuple[str, bytes]]
         out.close()
 
 
+def sampled(data: bytes, decode: Callable[[bytes], tuple[list[np.ndarray], float]], name: str, target_fps: float) -> list[tuple[int, np.ndarray]]:
+    """(number, frame) of those frames that target_fps takes. What can't be decoded, moves without a rate or has no frame is an error that names it."""
+    try:
+        found, fps = decode(data)
+    except Exception as error:
+        raise ValueError(f"could not load {name}: {error}") from error
+    if not found:
+        raise ValueError(f"no frames in {name}")
+    if len(found) > 1 and not fps > 0:
+        raise ValueError(f"no frame rate in {name}")
+    step = max(1, int(fps / target_fps))
+    return [(i, f) for i, f in enumerate(found) if i % step == 0]
+
+
 FRAMES = "path string, frame_idx int, height int, width int, gray array<smallint>"
 
 
@@ -242,16 +256,7 @@ def frames(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[list[
         for part in parts:
             rows = []
             for name, data in zip(part["path"], part["content"], strict=True):
-                try:
-                    found, fps = decode(bytes(data))
-                except Exception as error:
-                    raise ValueError(f"could not load {name}: {error}") from error
-                if not found:
-                    raise ValueError(f"no frames in {name}")
-                if len(found) > 1 and not fps > 0:
-                    raise ValueError(f"no frame rate in {name}")
-                step = max(1, int(fps / target_fps))
-                rows += [(name, i, f.shape[0], f.shape[1], f.astype(np.int16).ravel().tolist()) for i, f in enumerate(found) if i % step == 0]
+                rows += [(name, i, f.shape[0], f.shape[1], f.astype(np.int16).ravel().tolist()) for i, f in sampled(bytes(data), decode, name, target_fps)]
             yield pd.DataFrame(rows, columns=["path", "frame_idx", "height", "width", "gray"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FRAMES)

@@ -2,9 +2,14 @@
 
 import math
 
+import numpy as np
 import pyarrow.parquet as pq
 
+from tessera.functions import sequence
+from tessera.operators import visual
 from tessera.plans.catalog import QUERIES
+from tessera.plans.similarity import _pooled
+from tessera.sources import external
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,6 +52,35 @@ def test_series_are_warped_whole(spark):
         assert folded[k] > warped(a[:4], b[:4]) + 0.1
 
 
+def test_visual_scores_are_those_of_the_frames(spark):
+    """Each pair by plain loops: all frames with all frames, best matches, warping."""
+    from tests.test_similarity import plain_ssim
+
+    rng = np.random.default_rng(9)
+    films = [[rng.integers(0, 256, (8, 8)).astype(np.uint8) for _ in range(n)] for n in (3, 5, 1)] + [[rng.integers(0, 256, (16, 24)).astype(np.uint8) for _ in range(2)]]
+    data = [external.encode_frames(f, 5.0) if len(f) > 1 else external.encode_png(f[0]) for f in films]
+    decode = lambda b: external.decode_image(b) if b.startswith(b"\x89PNG") else external.decode_frames(b)
+    pairs = [(k, data[g], data[x]) for k, (g, x) in enumerate([(0, 0), (1, 0), (0, 1), (2, 1), (1, 2), (0, 3), (3, 0), (0, 0)])]
+    which = [(0, 0), (1, 0), (0, 1), (2, 1), (1, 2), (0, 3), (3, 0), (0, 0)]
+    df = spark.createDataFrame(pairs, "id int, generated_artifact binary, expected_artifact binary")
+    got = {r["id"]: r for r in visual.visual_scores(df, decode, _pooled).collect()}
+    assert len(got) == len(pairs)
+    unit = lambda f: (lambda v: v / np.sqrt(v @ v))(sequence.resize_area(f, 4, 4).ravel())
+    for k, (g, x) in enumerate(which):
+        a, b = films[x], films[g]
+        m = np.array([[plain_ssim(p, q if q.shape == p.shape else np.rint(sequence.resize_area(q, *p.shape))) for q in b] for p in a])
+        assert math.isclose(got[k]["ssim_score"], math.exp(-5 * warped(m.max(1), m.max(0)) / max(m.shape)), rel_tol=1e-9)
+        cost = [[1 - float(unit(p) @ unit(q)) for q in b] for p in a]
+        above = [0.0] + [math.inf] * len(b)
+        for line in cost:
+            row = [math.inf]
+            for j, c in enumerate(line):
+                row.append(c + min(row[-1], above[j], above[j + 1]))
+            above = row
+        assert math.isclose(got[k]["visual_semantic_score"], math.exp(-above[-1] / max(len(a), len(b))), rel_tol=1e-6)
+    assert got[0]["ssim_score"] == got[7]["ssim_score"] == 1.0
+
+
 def test_pairs_with_gaps_are_scored(spark, tmp_path):
     rows = pq.read_table(f"{FOLDER}/embeddings.parquet")
     kept = [k for k in range(rows.num_rows) if rows["vec_id"][k].as_py() not in (1, 2, 3, 13, 20, 21, 22, 23)]

@@ -270,7 +270,13 @@ def syntax_validity(spark: SparkSession, d: str) -> DataFrame:
     return _programs(spark, d).select("p_partkey", codegraph.parses("code").alias("valid"))
 
 
-@query()
+_NEXT_SQL = "part p JOIN part n ON n.p_partkey = p.p_partkey + 1"
+_CHANGED_SQL = "CAST((split_part(p.p_name, ' ', 1) <> split_part(n.p_name, ' ', 1))::INT + 2 * (p.p_size <> n.p_size)::INT + (split_part(p.p_name, ' ', 2) <> split_part(n.p_name, ' ', 2))::INT AS DOUBLE)"
+
+
+@query(f"""
+SELECT p_partkey, raw, CASE WHEN raw IS NOT NULL THEN 92.0::DOUBLE END AS max, {r6('raw / (92.0::DOUBLE + 1e-7::DOUBLE)')} AS norm, raw IS NULL AS syntax_error
+FROM (SELECT p.p_partkey, CASE WHEN p.p_partkey % 11 = 0 THEN NULL WHEN p.p_partkey % 7 = 0 THEN 91.0::DOUBLE ELSE {_CHANGED_SQL} END AS raw FROM {_NEXT_SQL})""")
 def tree_distance(spark: SparkSession, d: str) -> DataFrame:
     p = _programs(spark, d).where("expected IS NOT NULL").select("p_partkey", treedist.code_distance("code", "expected").alias("t"))
     return p.select("p_partkey", "t.raw", "t.max", rounded(F.col("t.norm")).alias("norm"), "t.syntax_error")
@@ -286,10 +292,24 @@ def codebleu_pairs(spark: SparkSession, d: str) -> DataFrame:
     return codebleu.codebleu(_programs(spark, d).where("expected IS NOT NULL AND code <> ''"), ["p_partkey"], "code", "expected")
 
 
-@query()
+def _line_sql(form: str, name: str, sig: str, doc: str) -> str:
+    """An item of interface notes in SQL."""
+    given = {"name": name, "sig": f"'{sig}'", "doc": doc}
+    return " || ".join(x for text, slot, _, _ in string.Formatter().parse(form) for x in ([f"'{text}'"] if text else []) + ([given[slot]] if slot else []))
+
+
+def _unknown_sql(form: str, name: str) -> str:
+    return _line_sql(form, name, docs.NO_SIGNATURE, f"'{templates.PLAIN['no_doc'].split('{')[0]}' || {name} || '.'")
+
+
+_NOTES_SQL = f"""array_to_string(list_transform(list_sort([{_FIRST_SQL} || '.start', 'Scene.camera.background_color']), lambda v: {_unknown_sql(docs.OTHER, 'v')}), chr(10)) || chr(10) || chr(10)
+  || array_to_string(list_transform(list_sort(['Create', 'Create.shift', 'Line', {_FIRST_SQL}]), lambda v: CASE WHEN v = 'Line' THEN {_line_sql(docs.CALL, 'v', '(start, end)', "'A line.'")} ELSE {_unknown_sql(docs.CALL, 'v')} END), chr(10))"""
+
+
+@query(f"SELECT p_partkey, CASE WHEN {_WHOLE_SQL} THEN {_NOTES_SQL} ELSE chr(10) END AS api_info FROM part")
 def api_notes(spark: SparkSession, d: str) -> DataFrame:
     """Interface notes on the names of each program, from a dimension made by reflection."""
-    dimension = external.api_docs(spark, string, ["Template.substitute", "Formatter", "capwords", "digits", "Line"]).unionByName(spark.createDataFrame([("Line", "(start, end)", "A line. Examples: none")], "name string, sig string, doc string")).dropDuplicates(["name"])
+    dimension = external.api_docs(spark, string, ["Template.substitute", "Formatter", "capwords", "digits"]).unionByName(spark.createDataFrame([("Line", "(start, end)", "A line. Examples: none")], "name string, sig string, doc string"))
     n = _programs(spark, d).select("p_partkey", codegraph.code_names("code").alias("n")).select("p_partkey", codegraph.filter_names(F.col("n.calls")).alias("calls"), codegraph.filter_names(F.col("n.vars")).alias("v"))
     return docs.notes(n.withColumn("assignments", codegraph.vars_beyond_calls(F.col("v"), F.col("calls"))), dimension, "p_partkey")
 
@@ -498,7 +518,12 @@ def evaluation_means(spark: SparkSession, d: str) -> DataFrame:
     return rewards.summary(_evaluated(spark, d))
 
 
-@query()
+_FIRST_CODE_SQL = f"CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x = (' ELSE 'Line(' || length({_user_sql('code', reviewed_description='text')}) || ')' END"
+
+
+@query(f"""
+SELECT doc_id AS id, text AS reviewed_description, {_FIRST_CODE_SQL} AS initial_code,
+  CASE WHEN doc_id % 5 < 2 THEN chr(10) ELSE chr(10) || {_line_sql(docs.CALL, "'Line'", '(start, end)', "'A line.'")} END AS api_info FROM documents""")
 def docs_augmented(spark: SparkSession, d: str) -> DataFrame:
     """Samples with a first program and notes on its names."""
     dimension = spark.createDataFrame([("Line", "(start, end)", "A line. Examples: none")], "name string, sig string, doc string")

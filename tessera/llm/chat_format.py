@@ -371,13 +371,18 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     """Raw transcripts (conv_id, seq, text) of turns (conv_id, turn, role, text): the turns of a conversation follow each other in one text.
 
     Only a conversation with a turn number beyond CHUNK_TURNS comes in several chunks, and where more than CHUNK_ROWS rows share a conversation and a range of
-    turns, each of them is a chunk: no task gathers an unbounded text."""
+    turns, each of them is a chunk: no task gathers an unbounded text. Turns without a text are left out; ties of a turn number go by the text. The transcripts are
+    written once, for they are read twice. Empty table: no rows."""
     rows = spelled(conversations).where("text IS NOT NULL").withColumn("range", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK_TURNS))
-    crowded = rows.groupBy("conv_id", "range").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK_ROWS).select(F.col("conv_id").alias("c2"), F.col("range").alias("r2"))
+    crowded = written(rows.groupBy("conv_id", "range").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK_ROWS).select(F.col("conv_id").alias("c2"), F.col("range").alias("r2")), "crowded")
     same = F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("range") == F.col("r2"))
-    alone = rows.join(crowded, same, "left_semi").select("conv_id", F.col("turn").alias("seq"), "text")
-    together = rows.join(crowded, same, "left_anti").groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return together.select("conv_id", F.col("t")[0]["turn"].alias("seq"), F.array_join(F.col("t")["text"], "\n").alias("text")).unionByName(alone)
+    none = crowded.isEmpty()
+    few = rows if none else rows.join(crowded, same, "left_anti")
+    together = few.groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    out = together.select("conv_id", F.col("t")[0]["turn"].alias("seq"), F.array_join(F.col("t")["text"], "\n").alias("text"))
+    if not none:
+        out = out.unionByName(rows.join(crowded, same, "left_semi").select("conv_id", F.col("turn").alias("seq"), "text"))
+    return written(out, "transcripts")
 
 
 def learned_from(conv_id: Column) -> Column:

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.rows import carried, text_column
 from tessera.shipping import ship
+from tessera.sources.store import written
 
 #: Tokens of a seed, so of the shortest tile of an item that has as many.
 SEED = 5
 #: Share of an item's tokens under tiles from which a document counts as contaminated.
 THRESHOLD = 0.5
-#: Characters of test items in one broadcast.
-BLOCK_CHARS = 8_000_000
+#: Characters of test items in one broadcast; a worker's index of them takes some 100 MB.
+BLOCK_CHARS = 24_000_000
 
 #: Pairs of seed positions are enumerated while there are at most this many a token of text and item.
 PAIRS = 16
@@ -67,7 +68,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
-def tiles(item: list[str], text: list[str], seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+def tiles(item: list, text: list, seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
     """Tiles (item position, text position, length) for seed hits (text position, item position): longest first, ties by
     item then text position; no token of either side is in two tiles."""
     diagonals: dict[int, list[int]] = defaultdict(list)
@@ -177,11 +178,11 @@ def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Seeds:
-    """Seeds of one size of some test items, as sorted arrays. Hashes are those of this process, so seeds are built where they are used."""
+    """Seeds of one size of some test items (id, word hashes), as sorted arrays: some 24 bytes a token. Hashes are those of this process, so seeds are
+    built where they are used."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], size: int):
-        self.size, self.items = size, items
-        self.values = [word_hashes(words) for _, words in items]
+    def __init__(self, items: list[tuple[int, np.ndarray]], size: int):
+        self.size, self.keys, self.values = size, [k for k, _ in items], [v for _, v in items]
         hashes = [running_hash(v, size) for v in self.values]
         self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(self.hash, kind="stable")
@@ -191,7 +192,7 @@ class Seeds:
         self.some = np.zeros(1 << _TABLE_BITS, bool)
         self.some[self.hash >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def matches(self, words: list[str], values: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+    def matches(self, values: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
         hashes = running_hash(values, self.size)
         at = np.flatnonzero(self.some[hashes >> np.uint64(64 - _TABLE_BITS)])
         if not len(at):
@@ -208,16 +209,16 @@ class Seeds:
         for some, of in zip(np.split(rows, cuts), np.split(owner, cuts), strict=True):
             if not len(some):
                 continue
-            key, item = self.items[self.item[some[0]]]
+            key, item = self.keys[self.item[some[0]]], self.values[self.item[some[0]]]
             place = self.place[some]
             # What the seeds cover at most, marked or not.
             if np.minimum(np.diff(place, append=place[-1] + self.size), self.size).sum() < threshold * len(item):
                 continue
-            if int(times[of].sum()) <= PAIRS * (len(item) + len(words)):
+            if int(times[of].sum()) <= PAIRS * (len(item) + len(values)):
                 where = at[by_hash[_numbers(starts[of], starts[of + 1])]]
-                found = tiles(item, words, list(zip(where.tolist(), np.repeat(place, times[of]).tolist(), strict=True)), self.size)
+                found = tiles(item.tolist(), values.tolist(), list(zip(where.tolist(), np.repeat(place, times[of]).tolist(), strict=True)), self.size)
             else:
-                found = running_tiles(self.values[self.item[some[0]]], values, self.size)
+                found = running_tiles(item, values, self.size)
             tiled = sum(t[2] for t in found)
             if tiled and tiled >= threshold * len(item):
                 yield key, len(item), tiled, len(found), tiled / len(item)
@@ -227,17 +228,16 @@ class Index:
     """Test items by the size of their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], size: int = SEED):
-        by_size: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for k, t in items:
             if words := tokens(t):
-                by_size[min(size, len(words))].append((k, words))
+                by_size[min(size, len(words))].append((k, word_hashes(words)))
         self.seeds = [Seeds(found, n) for n, found in sorted(by_size.items())]
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(item id, item tokens, tiled tokens, tiles, coverage) for each item covered to the threshold."""
-        words = tokens(text)
-        values = word_hashes(words)
-        return sorted(m for seeds in self.seeds for m in seeds.matches(words, values, threshold))
+        values = word_hashes(tokens(text))
+        return sorted(m for seeds in self.seeds for m in seeds.matches(values, threshold))
 
 
 _indexes: dict[tuple[int, int, int], Index] = {}
@@ -297,7 +297,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SEED, threshold: fl
     """The rows of docs that cover no test item to the threshold, with all their columns, whatever their names.
 
     Null texts, texts without a word and rows with a null doc_id are judged by their text alone; repeated rows are kept or dropped together. Items, very
-    long texts and ties: as in contaminated(). Benchmark empty: all rows; docs empty: none."""
+    long texts and ties: as in contaminated(). Benchmark empty: all rows; docs empty: none. Of several blocks of items each has a pass of its own over what the last one left, which
+    is written in between, so that a task never holds two indexes."""
+    left = 0
     for items in blocks(benchmark):
-        docs = _with_hits(docs, items, None, "row", size, threshold).where(F.size("hits") == 0).select("row.*")
+        docs = _with_hits(written(docs, "clean") if left else docs, items, None, "row", size, threshold).where(F.size("hits") == 0).select("row.*")
+        left += 1
     return docs

@@ -100,6 +100,16 @@ def test_blocks_say_the_same(spark):
     assert len(whole) == 1 and len(parts) > 3 and sorted(x for p in parts for x in p) == whole[0]
 
 
+def test_several_blocks_clean_alike(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(r["doc_id"] for r in D.clean(docs, bench).collect())
+    found = sorted(D.contaminated(docs, bench).collect())
+    real = D.blocks
+    monkeypatch.setattr(D, "blocks", lambda b: real(b, 2000))
+    assert len(list(D.blocks(bench))) > 2
+    assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == whole and sorted(D.contaminated(docs, bench).collect()) == found
+
+
 def test_against_plain_on_the_table(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r["item_id"]: D.tokens(r["text"]) for r in bench.collect()}

@@ -29,9 +29,7 @@ from tessera.sources.store import dropped, written
 #: Labelled examples at most, and (example, term) pairs at most: with these the index and its broadcast are bounded. Where the
 #: examples hold more pairs than that, those come first whose id has the smaller hash.
 EXAMPLES, POSTINGS = 4000, 4_000_000
-#: Labelled rows whose votes are used to calibrate, at most.
-CALIBRATION = 4000
-#: Tasks that read the sampled texts at most.
+#: Tasks that read the sampled texts, and that work out their votes, at most.
 FIT_TASKS = 16
 #: Examples in a block; blocks of best bound that are read before any is skipped; neighbours of a text.
 BLOCK, FIRST, NEIGHBOURS = 64, 8, 25
@@ -169,12 +167,13 @@ class Index:
             self.rows[r, self.example[lo:hi]] = self.weight[lo:hi]
         self.curve = isotonic(np.zeros(0), np.zeros(0))
 
-    def calibrate(self, rows: int = CALIBRATION) -> Index:
-        """Fit the curve from votes to scores on the votes that examples get from the others."""
-        some = np.argsort((self.ids.view(np.uint64) * _MIX))[:rows]
-        held = self._by_example(some)
-        votes = np.array([self._vote(self.nearest(q, without=e)) for e, q in zip(some.tolist(), held, strict=True)])
-        self.curve = isotonic(votes, self.marks[some])
+    def votes(self, some: np.ndarray) -> list[float]:
+        """The votes that some examples get from all others."""
+        return [self._vote(self.nearest(q, without=e)) for e, q in zip(some.tolist(), self._by_example(some), strict=True)]
+
+    def calibrate(self, votes: list[float] | None = None) -> Index:
+        """Fit the curve from votes to scores on the votes of all examples."""
+        self.curve = isotonic(np.array(self.votes(np.arange(len(self.ids))) if votes is None else votes, float), self.marks)
         return self
 
     def _by_example(self, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -298,7 +297,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, examples: int = EXAMPLES,
     got = sorted(held.collect(), key=lambda r: r["doc_id"])
     dropped(bags)
     pairs = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], "<i4")) for r in got]
-    return Index.of([r["doc_id"] for r in got], np.array([r["label"] for r in got], float), pairs, distinct([r["marks"] for r in got])).calibrate()
+    index = Index.of([r["doc_id"] for r in got], np.array([r["label"] for r in got], float), pairs, distinct([r["marks"] for r in got]))
+    shared = spark.sparkContext.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.votes(some), pa.float64())], ["id", "vote"])
+
+    votes = spark.range(0, len(index.ids), 1, FIT_TASKS).mapInArrow(vote, "id long, vote double").collect()
+    return index.calibrate([r["vote"] for r in sorted(votes, key=lambda r: r["id"])])
 
 
 SCHEMA = "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>"

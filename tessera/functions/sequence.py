@@ -48,28 +48,45 @@ def dtw_fold(a: Column, b: Column, cost: Callable[[Column, Column], Column] | No
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(table, -1))
 
 
-def dtw(cost: np.ndarray, band: int | None = None) -> float:
-    """Exact warping distance through a cost table, by its anti-diagonals; with a band only cells near the diagonal count."""
-    n, m = cost.shape
+def dtw(cost: np.ndarray, band: int | None = None) -> np.ndarray:
+    """Exact warping distances through cost tables of one shape (table, row, column), by their anti-diagonals; with a band only cells near the diagonal count."""
+    count, n, m = cost.shape
     if not n or not m:
-        return float("nan")
-    i, j = np.indices((n, m))
+        return np.full(count, np.nan)
     if band is not None:
+        i, j = np.indices((n, m))
         cost = np.where(np.abs(i * (m - 1) - j * (n - 1)) <= max(band, 1) * max(n, m), cost, np.inf)
-    acc = np.full((n + 1, m + 1), np.inf)
+    acc = np.full((n + 1, m + 1, count), np.inf)
     acc[0, 0] = 0.0
+    cost = np.moveaxis(cost, 0, 2)
     for d in range(2, n + m + 1):
         r = np.arange(max(1, d - m), min(n, d - 1) + 1)
         c = d - r
         acc[r, c] = cost[r - 1, c - 1] + np.minimum(np.minimum(acc[r - 1, c], acc[r, c - 1]), acc[r - 1, c - 1])
-    return float(acc[n, m])
+    return acc[n, m]
+
+
+#: Cells of cost tables that are warped at once at most.
+CELLS = 1 << 22
 
 
 @F.pandas_udf(T.DoubleType())
 def dtw_series(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Warping distance of two arrays of numbers by absolute difference."""
+    """Warping distance of two arrays of numbers by absolute difference; pairs of the same lengths are warped together. Null without numbers on both sides."""
     for a, b in pairs:
-        yield pd.Series([None if x is None or y is None or not len(x) or not len(y) else dtw(np.abs(np.subtract.outer(np.asarray(x, float), np.asarray(y, float)))) for x, y in zip(a, b, strict=True)], dtype="float64")
+        out: list[float | None] = [None] * len(a)
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x is not None and y is not None and len(x) and len(y):
+                shapes.setdefault((len(x), len(y)), []).append(k)
+        for (n, m), rows in shapes.items():
+            step = max(1, CELLS // (n * m))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                x, y = (np.array([s.iloc[k] for k in some], float) for s in (a, b))
+                for k, v in zip(some, dtw(np.abs(x[:, :, None] - y[:, None, :])).tolist(), strict=True):
+                    out[k] = v
+        yield pd.Series(out, dtype="float64")
 
 
 def ssim(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> np.ndarray:

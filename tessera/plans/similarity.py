@@ -204,18 +204,18 @@ def ssim_dtw_score(spark: SparkSession, d: str) -> DataFrame:
     return best.select("pair_id", rounded(F.col("d")).alias("distance"), rounded(sequence.similarity(F.col("d"), F.size("rows"), F.size("cols"), 5.0)).alias("score"))
 
 
-@query(f"{_dtw_sql('(SELECT vec_id, a AS rows, b AS cols FROM ' + _NEIGHBOURS_SQL + ')', 'vec_id', 'abs({a} - {b})')} SELECT vec_id, {r6('d')} AS folded FROM warped")
+@query(f"{_dtw_sql('(SELECT vec_id, a AS rows, b AS cols FROM ' + _NEIGHBOURS_SQL + ')', 'vec_id', 'abs({a} - {b})')} SELECT vec_id, {r6('d')} AS distance FROM warped")
 def dtw_series(spark: SparkSession, d: str) -> DataFrame:
-    """Whole series, by a fold over columns alone."""
+    """Whole series, those of a batch together by arrays."""
     n = _neighbours(spark, d).select("vec_id", *[F.col(c).cast("array<double>").alias(c) for c in ("a", "b")])
-    return n.select("vec_id", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("folded"))
+    return n.select("vec_id", rounded(sequence.dtw_series("a", "b")).alias("distance"))
 
 
-@query(ORACLES["dtw_series"].replace("AS folded", "AS vectorised"))
-def dtw_series_vectorised(spark: SparkSession, d: str) -> DataFrame:
-    """The same by arrays in Arrow batches, for series too long for a fold."""
+@query(ORACLES["dtw_series"])
+def dtw_series_folded(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a fold over columns alone, which takes any cost of two elements."""
     n = _neighbours(spark, d).select("vec_id", *[F.col(c).cast("array<double>").alias(c) for c in ("a", "b")])
-    return n.select("vec_id", rounded(sequence.dtw_series("a", "b")).alias("vectorised"))
+    return n.select("vec_id", rounded(sequence.dtw_fold(F.col("a"), F.col("b"))).alias("distance"))
 
 
 _UNIT_SQL = "list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))"

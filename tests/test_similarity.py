@@ -108,8 +108,10 @@ def plain_dtw(a, b):
 @settings(max_examples=100, deadline=None)
 def test_dtw_of_arrays(a, b):
     cost = np.abs(np.subtract.outer(np.array(a, float), np.array(b, float)))
-    assert sequence.dtw(cost) == plain_dtw(tuple(a), tuple(b)) == sequence.dtw(cost.T)
-    assert sequence.dtw(cost, 0) >= sequence.dtw(cost) and sequence.dtw(cost, 100) == sequence.dtw(cost)
+    both = np.stack([cost, 2 * cost])
+    want = plain_dtw(tuple(a), tuple(b))
+    assert sequence.dtw(both).tolist() == [want, 2 * want] == sequence.dtw(both.transpose(0, 2, 1)).tolist()
+    assert (sequence.dtw(both, 0) >= sequence.dtw(both)).all() and (sequence.dtw(both, 100) == sequence.dtw(both)).all()
 
 
 def test_dtw_columns(spark):

@@ -14,6 +14,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of files a core from which a table is read as its files have it.
+SMALL = 4 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out to all cores if it is a small table of fewer files than cores, for a file of one row group is one task's work whatever the number
+    of cores. Larger tables are never shuffled for this."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which every executor sees; what is written there goes when the session's process ends.
 

@@ -180,6 +180,16 @@ def test_no_local_folder_on_a_cluster():
         store.shared_path(type("Session", (), {"sparkContext": Context()})(), "x")
 
 
+def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    df = spark.range(1000).coalesce(1)
+    df.write.parquet(str(tmp_path / "one"))
+    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "many"))
+    parts = lambda f: store.dealt(spark.read.parquet(str(tmp_path / f))).select(F.spark_partition_id()).distinct().count()
+    assert parts("one") == spark.sparkContext.defaultParallelism and "Exchange" not in store.dealt(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().toString()
+    monkeypatch.setattr(store, "SMALL", 10)
+    assert parts("one") == 1
+
+
 def test_manifests(spark, tmp_path):
     path = str(tmp_path / "m")
     store.append_manifest(spark, path, "a", "b")

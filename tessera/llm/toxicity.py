@@ -223,7 +223,8 @@ class Index:
         number = self.common[term]
         rare, often = number < 0, number >= 0
         got = self._lists(self.start[self.head[term[rare]]], self.start[self.head[term[rare] + 1]], weight[rare])
-        bound = got.reshape(-1, BLOCK).max(1) + weight[often] @ self.most[number[often]]
+        # Plain products: small ones gain nothing from a library that starts threads of its own in every worker.
+        bound = got.reshape(-1, BLOCK).max(1) + np.einsum("i,ij->j", weight[often], self.most[number[often]])
         term, weight = term[often], weight[often]
         best, todo = np.zeros(self.blocks, bool), np.ones(self.blocks, bool)
         if self.blocks > 2 * FIRST:

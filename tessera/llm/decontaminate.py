@@ -42,7 +42,6 @@ _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u
 _SPACED_TOKEN, _TOKEN = re.compile(r"\w+"), re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _TABLE_BITS = 20
 
 

@@ -39,7 +39,6 @@ COMMON = 32
 FLOOR, LOW, HIGH = 0.04, 4.0, 9.0
 #: Weight of the base rate against the neighbours' squared similarities.
 SHRINK = 0.0025
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def term_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,6 @@
 import random
 import time
 
-import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -190,6 +190,19 @@ def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
     assert parts("one") == 1
 
 
+def test_summary_on_the_console(spark, capsys):
+    store.show_summary(spark.createDataFrame([(0.5, 2)], "visual_similarity double, n long"))
+    shown = capsys.readouterr().out
+    assert "visual_similarity" in shown and "0.5" in shown
+
+
+def test_chat_requests(spark):
+    from tessera.functions import messages, text
+
+    row = spark.createDataFrame([("hi",)], "t string").select(text.chat_request("m", messages.prompt(F.lit("s"), F.col("t"), True)).alias("r")).first()
+    assert json.loads(row["r"]) == {"model": "m", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "hi"}], "temperature": 0.0}
+
+
 def test_manifests(spark, tmp_path):
     path = str(tmp_path / "m")
     store.append_manifest(spark, path, "a", "b")

@@ -124,7 +124,6 @@ RULES: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = [
     ("OFL-1.1", "ofl11-notice", ("ofl11-notice",), ()),
     ("Unlicense", "unlicense-domain", ("unlicense-domain",), ()),
     ("WTFPL", "wtfpl-title", ("wtfpl-title",), ()),
-    ("Proprietary", "rights-reserved", ("rights-reserved",), ()),
 ]
 
 
@@ -152,6 +151,9 @@ for _kind, _title in CREATIVE.items():
         _add(_spdx, f"{_key}-long", f"This work is licensed under a Creative Commons {_title} {_v} {_scope} License.")
         _add(_spdx, f"{_key}-long-the", f"This work is licensed under the Creative Commons {_title} {_v} {_scope} License.")
 
+# Reserved rights mean something of their own only where no licence follows.
+RULES.append(("Proprietary", "rights-reserved", ("rights-reserved",), tuple(dict.fromkeys(wanted[0] for _, _, wanted, _ in RULES))))
+
 #: Pieces of other text that may lie between two sentences of a rule, and after its last to one that refuses it.
 GAP, REACH = 3, 12
 #: Words that a slot takes at most.

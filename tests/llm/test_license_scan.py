@@ -57,6 +57,9 @@ BSD = ("bsd-permitted", "bsd-source", "bsd-binary")
         (full("gpl2.0-free-software"), ["GPL-2.0-or-later"]),
         (full("lgpl2.1-free-software", "gpl-no-warranty"), ["LGPL-2.1-or-later"]),
         (full("cc-by-nc-sa-4-long"), ["CC-BY-NC-SA-4.0"]),
+        ("Copyright (c) 2011 Google Inc. All rights reserved.\n" + full(*BSD, "bsd-endorse", "bsd-as-is"), ["BSD-3-Clause"]),
+        ("Copyright 2011 Someone. All rights reserved.\nNo licence is given.", ["Proprietary"]),
+        (full("mit-released") + "\nCopyright 2011 Someone. All rights reserved.", ["MIT", "Proprietary"]),
     ],
 )
 def test_licences(text, want):

@@ -97,6 +97,23 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import align
+    from tessera.sources.store import written
+
+    docs = _table(spark, sf_dir, "documents")
+    counts = written(align.link_counts(docs, tokenizer_path(), piece_path()), "links")
+    aligned = align.align(docs, counts, tokenizer_path(), piece_path())
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return align.counted(aligned, counts, piece_path(), groups_sha256=digest)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import merkle
     from tessera.llm.sampling import fold
@@ -193,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_harmonic_packing": op10_harmonic_packing,
+        "op11_token_alignment": op11_token_alignment,
         "op12_merkle_manifest": op12_merkle_manifest,
     }
 

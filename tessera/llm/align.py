@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ from tessera.llm.packing import _PLAIN
 from tessera.shipping import ship
 from tessera.sources.store import written
 
-#: Pairs whose counts are sent to every task; units that a worker remembers; documents that are aligned together; (document, pair) rows counted together.
-HEAD, UNITS, TOGETHER, COUNTED = 1 << 17, 1 << 18, 256, 1 << 21
+#: Pairs whose counts are sent to every task; units that a worker remembers; documents that are aligned together.
+HEAD, UNITS, TOGETHER = 1 << 17, 1 << 19, 256
 #: Characters between which a single space ends a token in both tokenizers.
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+_SIMPLE = re.compile("[!-~À-ɏ]+")
+_INNER = re.compile("[!-~À-ɏ](?s:.*[!-~À-ɏ])?")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -53,6 +57,9 @@ class Tokenizers:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in names]
+        self.a_size, self.b_size = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes)]
+        # Ids as text, and what follows them within a group (first half) and at the end of a side.
+        self.written = [np.array([f"{i}{e}" for e in ends for i in range(n)], object) for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))]
         # A piece that holds a space after another sign could reach from one unit into the next.
         self.apart = not any("▁" in p.lstrip("▁") for p in names)
         self.fast = _ranked(a_path)
@@ -63,10 +70,8 @@ class Tokenizers:
         return self.fast.encode_ordinary(text)
 
     def units(self, text: str) -> list[str]:
-        """A space and the text, cut where both tokenizers always cut; each unit but odd ones starts with the space."""
-        if not self.apart:
-            return [" " + text]
-        return [" " + u for u in _CUT.split(text)]
+        """The text, which a space precedes, cut at the spaces where both tokenizers always cut."""
+        return _CUT.split(text) if self.apart else [text]
 
 
 def _ranked(path: str):
@@ -102,41 +107,66 @@ def expanded(a_to: np.ndarray, b_to: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Aligned:
-    """Aligned units: numbers by unit, group texts, and pair codes (A id * width + B id), unit after unit."""
+    """Aligned units: numbers by unit, and pair codes (A id * width + B id), unit after unit."""
 
     def __init__(self, tok: Tokenizers, texts: list[str]):
-        a = [tok.a(t) for t in texts]
-        b = tok.pieces.encode([t[1:] for t in texts], num_threads=1)
-        raw = [t.encode() for t in texts]
-        same = np.array([b"".join([tok.a_bytes[i] for i in x]) == r == b"".join([tok.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)], bool)
+        simple, others = [], []
+        for t in texts:
+            (simple if _SIMPLE.fullmatch(t) else others).append(t)
+        self.texts = simple + others
+        sides = [_together(tok, simple) or _apart(tok, simple), _apart(tok, others)]
+        a_ids, b_ids = np.concatenate([x[0] for x in sides]), np.concatenate([x[1] for x in sides])
+        n_a, n_b = np.concatenate([x[2] for x in sides]), np.concatenate([x[3] for x in sides])
         # An odd unit has no tokens here; who meets it looks at the whole text.
-        a, b = [x if s else [] for x, s in zip(a, same, strict=True)], [y if s else [] for y, s in zip(b, same, strict=True)]
-        self.odd = ~same
-        self.n_a, self.n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
-        a_ids, b_ids = np.fromiter((i for x in a for i in x), np.int64, int(self.n_a.sum())), np.fromiter((i for x in b for i in x), np.int64, int(self.n_b.sum()))
-        a_size, b_size = np.fromiter((len(tok.a_bytes[i]) for x in a for i in x), np.int64, len(a_ids)), np.fromiter((len(tok.b_bytes[i]) for x in b for i in x), np.int64, len(b_ids))
-        a_to, b_to = groups_of(np.cumsum(a_size), np.cumsum(b_size)) if len(a_ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        last = np.searchsorted(a_to, np.cumsum(self.n_a), "right")  # groups up to a unit's end: a unit's last byte closes one
+        self.odd = np.concatenate([x[4] for x in sides])
+        self.a_ids, self.b_ids, self.n_a, self.n_b = a_ids, b_ids, n_a, n_b
+        none = np.zeros(0, np.int64)
+        self.a_to, self.b_to = groups_of(np.cumsum(tok.a_size[a_ids]), np.cumsum(tok.b_size[b_ids])) if len(a_ids) else (none, none)
+        last = np.searchsorted(self.a_to, np.cumsum(n_a), "right")  # groups up to a unit's end: a unit's last byte closes one
         self.n_groups = np.diff(last, prepend=0)
-        x, y, group = expanded(a_to, b_to) if len(a_to) else (np.zeros(0, np.int64),) * 3
+        x, y, group = expanded(self.a_to, self.b_to) if len(self.a_to) else (none, none, none)
         self.codes = a_ids[x] * len(tok.b_bytes) + b_ids[y]
         self.n_links = np.diff(np.searchsorted(group, last), prepend=0)
-        self.groups = _written_out(a_ids, b_ids, a_to, b_to, last)
 
+    def spelled(self, tok: Tokenizers) -> list[str]:
+        """Each unit's groups as text: A ids, a bar, B ids; groups apart by semicolons."""
+        a, b = np.arange(len(self.a_ids)), np.arange(len(self.b_ids))
+        a_group, b_group = np.searchsorted(self.a_to, a, "right"), np.searchsorted(self.b_to, b, "right")
+        signs = np.empty(len(a) + len(b), object)
+        a_last, b_last = self.a_to[a_group] == a + 1, self.b_to[b_group] == b + 1
+        signs[a + np.concatenate([[0], self.b_to])[a_group]] = tok.written[0][self.a_ids + a_last * len(tok.a_bytes)]
+        signs[b + self.a_to[b_group]] = tok.written[1][self.b_ids + b_last * len(tok.b_bytes)]
+        flat, at, out = signs.tolist(), 0, []
+        for n in (self.n_a + self.n_b).tolist():
+            out.append("".join(flat[at : at + n])[:-1])
+            at += n
+        return out
+
+
+def _together(tok: Tokenizers, units: list[str]):
+    """The units, none of which holds a space, encoded as one text, where each ends where the next begins; None if that isn't so."""
+    if not units or not tok.apart:
+        return None
+    joined = " ".join(units)
+    a, b = np.array(tok.a(" " + joined), np.int64), np.array(tok.pieces.encode(joined, num_threads=1), np.int64)
+    raw = (" " + joined).encode()
+    if b"".join([tok.a_bytes[i] for i in a.tolist()]) != raw or b"".join([tok.b_bytes[i] for i in b.tolist()]) != raw:
+        return None
+    ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
+    a_ends, b_ends = np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b])
+    a_to, b_to = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    if (a_ends[a_to] != ends).any() or (b_ends[b_to] != ends).any():
+        return None
+    return a, b, np.diff(a_to + 1, prepend=0), np.diff(b_to + 1, prepend=0), np.zeros(len(units), bool)
 
-def _written_out(a_ids: np.ndarray, b_ids: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, last: np.ndarray) -> list[str]:
-    """Each unit's groups as text: A ids, a bar, B ids; groups apart by semicolons."""
-    a, b = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    out, done, i, j = [], 0, 0, 0
-    a_to, b_to = a_to.tolist(), b_to.tolist()
-    for upto in last.tolist():
-        parts = []
-        for g in range(done, upto):
-            parts.append(f"{','.join(a[i:a_to[g]])}|{','.join(b[j:b_to[g]])}")
-            i, j = a_to[g], b_to[g]
-        out.append(";".join(parts))
-        done = upto
-    return out
+
+def _apart(tok: Tokenizers, units: list[str]):
+    """The units encoded one by one."""
+    a, b = [tok.a(" " + t) for t in units], tok.pieces.encode(units, num_threads=1)
+    odd = [not (b"".join([tok.a_bytes[i] for i in x]) == (" " + t).encode() == b"".join([tok.b_bytes[i] for i in y])) for x, y, t in zip(a, b, units, strict=True)]
+    a, b = [[] if o else x for x, o in zip(a, odd, strict=True)], [[] if o else y for y, o in zip(b, odd, strict=True)]
+    flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+    return *flat, *[np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)], np.array(odd, bool)
 
 
 class Memory:
@@ -156,8 +186,8 @@ class Memory:
 
     def _learn(self, texts: list[str]) -> None:
         new = Aligned(self.tok, texts)
-        self.known.update(zip(texts, range(len(self.groups), len(self.groups) + len(texts)), strict=True))
-        self.groups += new.groups
+        self.known.update(zip(new.texts, range(len(self.known), len(self.known) + len(texts)), strict=True))
+        self.groups += new.spelled(self.tok)
         self.table = {f: np.concatenate([v, getattr(new, f).astype(np.int64)]) for f, v in self.table.items()}
         self.codes = np.concatenate([self.codes, new.codes])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(new.n_links)])
@@ -166,19 +196,24 @@ class Memory:
         """The units' rows, text after text, and where each text's units end. A text whose bytes are not both tokenizers' has no units."""
         if len(self.known) > self.most:
             self.clear()
-        units = [self.tok.units(t) if t else [] for t in texts]
-        self._need({u for x in units for u in x})
-        rows = [[self.known[u] for u in x] for x in units]
+        # Most texts may be cut at every space; those with a part that begins or ends in another sign are cut again, with care.
+        units = [t.split(" ") if t else [] for t in texts]
+        parts = set().union(*units)
+        unsafe = {u for u in parts if u not in self.known and not _INNER.fullmatch(u)} if self.tok.apart else parts
+        for i, x in enumerate(units):
+            if not unsafe.isdisjoint(x):
+                units[i] = self.tok.units(texts[i])
+        self._need(set().union(*units))
+        rows = [list(map(self.known.__getitem__, x)) for x in units]
         if self.table["odd"].any():
             for i in [i for i, x in enumerate(rows) if self.table["odd"][x].any()]:
-                whole = " " + texts[i]
-                self._need({whole})
-                rows[i] = [] if self.table["odd"][self.known[whole]] else [self.known[whole]]
-        flat = np.fromiter((r for x in rows for r in x), np.int64)
-        return flat, np.cumsum([len(x) for x in rows])
+                self._need({texts[i]})
+                whole = self.known[texts[i]]
+                rows[i] = [] if self.table["odd"][whole] else [whole]
+        return np.fromiter(chain.from_iterable(rows), np.int64), np.cumsum([len(x) for x in rows])
 
     def _need(self, units: set[str]) -> None:
-        if new := sorted(units - self.known.keys()):
+        if new := [u for u in units if u not in self.known]:
             self._learn(new)
 
     def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,48 +234,62 @@ def memory(a_path: str, b_path: str) -> Memory:
     return _memories[a_path, b_path]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            yield batch.slice(at, TOGETHER)
+def _summed(of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of values by place; exact, as long as they are below 2**53."""
+    return np.bincount(of, values, size).astype(np.int64)
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins, in sorted keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
 
 
-def _of_text(ends: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+def _held(mem: Memory, rows: np.ndarray, of_text: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
+    """For each text the codes of its linked pairs, ascending, and how often it has them."""
+    units = max(1, len(mem.known))
+    unit = np.sort(of_text * units + rows)
+    first = _first(unit)
+    unit, often = unit[first], np.diff(np.append(first, len(unit)))
+    code, of = mem.pairs(unit % units)
+    text = (unit // units)[of]
+    order = np.lexsort((code, text))
+    code, text, often = code[order], text[order], often[of][order]
+    first = _first(text, code)
+    times = np.add.reduceat(often, first) if len(first) else often
+    offsets = pa.array(np.searchsorted(text[first], np.arange(size + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(code[first])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
 
 
-def link_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(code, docs): for each linked pair of ids the number of rows of docs that hold it. Counted within each task before the shuffle.
+def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """For every row of docs: doc_id (long), n_a, n_b, n_groups, n_links, groups, codes, times.
 
-    Null and empty texts hold none; repeated rows count once each; texts of any length are read whole. Empty table: no rows."""
+    groups is the alignment as text: `a1,a2|b1;a3|b2,b3`. codes are the linked pairs of ids (A id * B's size + B id), ascending, times how often each is linked in the text. Null or empty text,
+    or one that a tokenizer does not give back byte for byte: zeros, an empty text and empty lists. Repeated rows are equal; a null doc_id stays null;
+    a text of any length is aligned whole. Other columns, whatever their names, are ignored. Empty table: no rows."""
     ship(docs.sparkSession)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "codes", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mem = memory(a_path, b_path)
-        width = len(mem.tok.a_bytes) * len(mem.tok.b_bytes)
-        held: list[np.ndarray] = []
-        for batch in _slices(batches):
-            rows, ends = mem.rows(batch.column(0).to_pylist())
-            once = np.unique(_of_text(ends) * len(mem.groups) + rows)  # a unit once a document
-            codes, of = mem.pairs(once % max(1, len(mem.groups)))
-            held.append(np.unique(once[of] // max(1, len(mem.groups)) * width + codes) % width)
-            if sum(map(len, held)) >= COUNTED:
-                yield _counted(held)
-                held = []
-        if held:
-            yield _counted(held)
-
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("docs"))
-
-
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    code, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                rows, ends = mem.rows(batch.column(1).to_pylist())
+                of_text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                numbers = [_summed(of_text, mem.table[f][rows], len(ends)) for f in ("n_a", "n_b", "n_groups", "n_links")]
+                spelled = list(map(mem.groups.__getitem__, rows.tolist()))
+                texts = [";".join(spelled[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), pa.array(texts, pa.string()), *_held(mem, rows, of_text, len(ends))], names)
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, codes array<long>, times array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _summed(of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of values by place; exact, as long as they are below 2**53."""
-    return np.bincount(of, values, size).astype(np.int64)
+def link_counts(aligned: DataFrame) -> DataFrame:
+    """(code, docs): for each linked pair of ids the number of rows that hold it. Counted within each task before the shuffle; repeated rows count once each."""
+    return aligned.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("docs"))
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -251,16 +300,6 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, code: np.ndarray) -> np.nda
     return np.where(keys[at] == code, values[at], 0)
 
 
-def _listed(of_text: np.ndarray, code: np.ndarray, size: int) -> pa.Array:
-    """For each text its codes and how often it has them."""
-    order = np.lexsort((code, of_text))
-    of_text, code = of_text[order], code[order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(of_text) != 0) | (np.diff(code) != 0)])) if len(code) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(code)))
-    offsets = np.searchsorted(of_text[first], np.arange(size + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(code[first]), pa.array(n.astype(np.int64))], ["code", "n"]))
-
-
 def _pieces(path: str) -> int:
     import sentencepiece
 
@@ -272,58 +311,40 @@ def _column(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table[n].to_numpy() for n in names]
 
 
-def align(docs: DataFrame, counts: DataFrame, a_path: str, b_path: str, head: int = HEAD) -> DataFrame:
-    """For every row of docs: doc_id (long), n_a, n_b, n_groups, n_links, groups, and what its links count in a written table of link_counts().
+def counted(aligned: DataFrame, b_path: str, head: int = HEAD, **keep: Column) -> DataFrame:
+    """For every row of align(): its numbers, n_best and count_sum, and the columns of `keep` in place of the alignment.
 
-    groups is the alignment as text: `a1,a2|b1;a3|b2,b3`. n_best and count_sum are over the links of the `head` most frequent pairs, ties by code; `rest` lists the document's other
-    pairs (code, n). Null or empty text, or one that a tokenizer does not give back byte for byte: zeros and an empty text. Repeated rows are equal; a null doc_id stays null;
-    a text of any length is aligned whole. Other columns, whatever their names, are ignored. Empty table: no rows."""
-    spark = docs.sparkSession
+    A pair's count is the number of rows that hold it. count_sum adds the counts of all a row's links; n_best is how many of them count as much as any pair of the same A id.
+    The `head` most frequent pairs, ties by code, and the best count of each A id (the vocabulary bounds these) travel to every task; what they leave over is joined by
+    code, and none of its pairs is frequent, so no key is hot."""
+    spark = aligned.sparkSession
     ship(spark)
-    codes, found = _column(counts.orderBy(F.desc("docs"), "code").limit(head), "code", "docs")
-    order = np.argsort(codes)
-    # A row for each A id at most: bounded by the vocabulary.
-    b_size = _pieces(b_path)
-    a_ids, most = _column(counts.groupBy(F.expr(f"code div {b_size}").alias("a")).agg(F.max("docs").alias("most")), "a", "most")
-    shared = spark.sparkContext.broadcast((codes[order], found[order], a_ids, most))
+    numbers = ["n_a", "n_b", "n_groups", "n_links"]
+    rows = written(aligned.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *numbers, *[c.alias(k) for k, c in keep.items()], "codes", "times"), "aligned")
+    counts = written(link_counts(rows), "links")
+    size = _pieces(b_path)
+    best = counts.groupBy(F.expr(f"code div {size}").alias("a")).agg(F.max("docs").alias("most"))
+    keys, values = _column(counts.orderBy(F.desc("docs"), "code").limit(head), "code", "docs")
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], values[order], *_column(best, "a", "most")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mem = memory(a_path, b_path)
-        keys, values, a_ids, most = shared.value
-        best = np.zeros(len(mem.tok.a_bytes), np.int64)
-        best[a_ids] = most
-        for batch in _slices(batches):
-            rows, ends = mem.rows(batch.column(1).to_pylist())
-            of_text, n = _of_text(ends), batch.num_rows
-            unit, times = np.unique(rows, return_inverse=True)
-            code, of = mem.pairs(unit)
-            count = _looked_up(keys, values, code)
-            sums, bests = _summed(of, count, len(unit)), _summed(of, (count > 0) & (count == best[code // b_size]), len(unit))
-            fields = [_summed(of_text, mem.table[f][rows], n) for f in ("n_a", "n_b", "n_groups", "n_links")]
-            fields += [_summed(of_text, bests[times], n), _summed(of_text, sums[times], n)]
-            texts = [";".join([mem.groups[r] for r in part.tolist()]) for part in np.split(rows, ends[:-1])]
-            rare = (_summed(of, count == 0, len(unit)) > 0)[times]
-            code, of = mem.pairs(rows[rare])
-            left = _looked_up(keys, values, code) == 0
-            rest = _listed(of_text[rare][of[left]], code[left], n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, fields), pa.array(texts, pa.string()), rest], names)
-
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rest"]
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, rest array<struct<code long, n long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def counted(aligned: DataFrame, counts: DataFrame, b_path: str, **keep: Column) -> DataFrame:
-    """The rows of align() with n_best and count_sum over all links, and the columns of `keep` in place of the alignments.
-
-    What the most frequent pairs leave over is joined with its counts by code. None of its pairs is frequent, so no key is hot."""
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    rows = written(aligned.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *numbers, *[c.alias(k) for k, c in keep.items()], "rest"), "aligned")
-    a = F.expr(f"code div {_pieces(b_path)}")
-    best = counts.groupBy(a.alias("a")).agg(F.max("docs").alias("most"))
-    rest = rows.select("_row", F.explode("rest").alias("x")).select("_row", "x.code", "x.n").join(counts, "code")
-    rest = rest.withColumn("a", a).join(best, "a").groupBy("_row").agg(F.sum(F.when(F.col("docs") == F.col("most"), F.col("n")).otherwise(0)).alias("_best"), F.sum(F.col("n") * F.col("docs")).alias("_sum"))
-    both = rows.join(rest, "_row", "left")
-    zero = F.lit(0).cast("long")
-    both = both.withColumn("n_best", F.col("n_best") + F.coalesce("_best", zero)).withColumn("count_sum", F.col("count_sum") + F.coalesce("_sum", zero))
-    return both.select("doc_id", *numbers, *keep)
+        keys, values, a, most = shared.value
+        best = np.zeros(int(a.max(initial=0)) + 1, np.int64)
+        best[a] = most
+        for batch in batches:
+            lists = batch.column(1)
+            code, times, n = lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.num_rows
+            of = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+            found = _looked_up(keys, values, code)
+            left = found == 0
+            offsets = pa.array(np.searchsorted(of[left], np.arange(n + 1)).astype(np.int32))
+            rest = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(code[left]), pa.array(times[left].astype(np.int64))], ["code", "n"]))
+            hits = times * (~left & (found == best[code // size]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_summed(of, hits, n)), pa.array(_summed(of, times * found, n)), rest], ["_row", "n_best", "count_sum", "rest"])
+
+    links = rows.select("_row", "codes", "times").mapInArrow(run, "_row long, n_best long, count_sum long, rest array<struct<code long, n long>>")
+    rest = links.select("_row", F.explode("rest").alias("x")).select("_row", "x.code", "x.n", F.expr(f"x.code div {size}").alias("a")).join(counts, "code").join(best, "a")
+    rest = rest.select("_row", F.when(F.col("docs") == F.col("most"), F.col("n")).otherwise(0).alias("n_best"), (F.col("n") * F.col("docs")).alias("count_sum"))
+    sums = links.drop("rest").unionByName(rest).groupBy("_row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return rows.drop("codes", "times").join(sums, "_row").select("doc_id", *numbers, "n_best", "count_sum", *keep)

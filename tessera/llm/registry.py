@@ -105,13 +105,10 @@ def piece_path() -> str:
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import align
-    from tessera.sources.store import written
 
-    docs = _table(spark, sf_dir, "documents")
-    counts = written(align.link_counts(docs, tokenizer_path(), piece_path()), "links")
-    aligned = align.align(docs, counts, tokenizer_path(), piece_path())
+    aligned = align.align(_table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    return align.counted(aligned, counts, piece_path(), groups_sha256=digest)
+    return align.counted(aligned, piece_path(), groups_sha256=digest)
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import language_model
+    from tessera.llm.sampling import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = language_model.fit(docs, fold(F.col("doc_id"), 10) != 0)
+    found = language_model.score(docs, model, counts)
+    held_out = F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -209,6 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_harmonic_packing": op10_harmonic_packing,
         "op11_token_alignment": op11_token_alignment,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_language_model": op13_language_model,
     }
 
 

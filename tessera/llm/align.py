@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import _PLAIN
+from tessera.llm.sampling import heaviest
 from tessera.shipping import ship
 from tessera.sources.store import written
 
@@ -315,7 +316,7 @@ def counted(aligned: DataFrame, b_path: str, head: int = HEAD, **keep: Column) -
     """For every row of align(): its numbers, n_best and count_sum, and the columns of `keep` in place of the alignment.
 
     A pair's count is the number of rows that hold it. count_sum adds the counts of all a row's links; n_best is how many of them count as much as any pair of the same A id.
-    The `head` most frequent pairs, ties by code, and the best count of each A id (the vocabulary bounds these) travel to every task; what they leave over is joined by
+    At most `head` most frequent pairs and the best count of each A id (the vocabulary bounds these) travel to every task; what they leave over is joined by
     code, and none of its pairs is frequent, so no key is hot."""
     spark = aligned.sparkSession
     ship(spark)
@@ -324,7 +325,7 @@ def counted(aligned: DataFrame, b_path: str, head: int = HEAD, **keep: Column) -
     counts = written(link_counts(rows), "links")
     size = _pieces(b_path)
     best = counts.groupBy(F.expr(f"code div {size}").alias("a")).agg(F.max("docs").alias("most"))
-    keys, values = _column(counts.orderBy(F.desc("docs"), "code").limit(head), "code", "docs")
+    keys, values = _column(heaviest(counts, "docs", head), "code", "docs")
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], values[order], *_column(best, "a", "most")))
 

@@ -19,3 +19,18 @@ def label_sample(labels: DataFrame, label: str, most: int, keep: Column | None =
         rows = rows.where(keep)
     ids = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
     return (ids if only is None else ids.where(F.col("label") == only)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+
+
+def heaviest(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of a table of counts (`n`, 1 or more) with the largest counts, at most `most` of them: all whose count reaches a bound.
+
+    The bound comes from a histogram over sixteenths of powers of two, so no task sorts or merges rows; rows of one count stay or go together."""
+    step = F.floor(F.log2(F.col(n)) * 16)
+    found = sorted(((r["s"], r["c"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    bound, total = None, 0
+    for s, c in found:
+        total += c
+        if total > most:
+            break
+        bound = s
+    return counts.where(step >= bound) if bound is not None else counts.limit(0)

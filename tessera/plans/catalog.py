@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import responses, scores, similarity
+from tessera.plans import alignment, responses, scores, similarity
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "responses", "scores", "similarity"]
+__all__ = ["ORACLES", "QUERIES", "alignment", "responses", "scores", "similarity"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.codegraph import parse
+from tessera.operators.dataflow import flows
 
 #: Weight of a token that is no keyword of the language; a keyword has weight 1.
 OTHER_WEIGHT = 0.2
@@ -68,33 +69,24 @@ def ngram_scores(df: DataFrame, keys: list[str], candidate: str, reference: str,
     return got.withColumn("bleu", F.col("brevity") * F.exp(sum(logs[1:], logs[0]) / order))
 
 
-def subtrees(tree: ast.AST) -> Counter:
-    """Shapes of a tree's inner nodes: node kinds without names and values."""
+def subtrees(tree: ast.AST, shapes: dict[tuple, int]) -> Counter:
+    """Shapes of a tree's inner nodes: node kinds without names and values. A shape is the number that `shapes`, shared by the trees that are compared, gives
+    its kind and its children's shapes; any depth is gone through without recursion."""
     found: Counter = Counter()
-
-    def shape(node: ast.AST) -> str:
-        inner = [shape(c) for c in ast.iter_child_nodes(node)]
-        text = f"{type(node).__name__}({','.join(inner)})"
+    done: list[int] = []
+    todo: list[tuple[ast.AST, int | None]] = [(tree, None)]
+    while todo:
+        node, start = todo.pop()
+        if start is None:
+            todo.append((node, len(done)))
+            todo += [(c, None) for c in reversed(list(ast.iter_child_nodes(node)))]
+            continue
+        inner = tuple(done[start:])
+        del done[start:]
+        shape = shapes.setdefault((type(node).__name__, inner), len(shapes))
+        done.append(shape)
         if inner:
-            found[text] += 1
-        return text
-
-    shape(tree)
-    return found
-
-
-def flows(tree: ast.AST) -> Counter:
-    """Edges (variable, what it is computed from) with variables numbered by first appearance."""
-    number: dict[str, int] = {}
-    name = lambda x: number.setdefault(x, len(number))
-    found: Counter = Counter()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Assign | ast.AugAssign | ast.AnnAssign) and node.value is not None:
-            sources = sorted({n.id for n in ast.walk(node.value) if isinstance(n, ast.Name)})
-            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            for target in (n.id for t in targets for n in ast.walk(t) if isinstance(n, ast.Name)):
-                for source in sources or [""]:
-                    found[(name(target), name(source) if source else -1)] += 1
+            found[shape] += 1
     return found
 
 
@@ -116,7 +108,8 @@ def tree_matches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
             elif tc is None:
                 rows.append((0.0, 0.0))
             else:
-                rows.append((_share(subtrees(tc), subtrees(tr)), _share(flows(tc), flows(tr))))
+                shapes: dict[tuple, int] = {}
+                rows.append((_share(subtrees(tc, shapes), subtrees(tr, shapes)), _share(flows(tc), flows(tr))))
         yield pd.DataFrame(rows, columns=["syntax", "dataflow"]).astype("float64")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import treescript
 from tessera.operators.codegraph import parse
 
 
@@ -52,10 +53,12 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
         return 0
     kinds: dict[str, int] = {}
     xa, xb = (tuple(kinds.setdefault(s, len(kinds)) for s in labels) for labels in (a[0], b[0]))
+    if len(xa) * len(xb) > treescript.SMALL:
+        return treescript.script(a, b)[0]
     return _distance(xa, tuple(a[1]), xb, tuple(b[1]))
 
 
-@lru_cache(4096)
+@lru_cache(512)
 def _distance(xa: tuple[int, ...], ka: tuple[int, ...], xb: tuple[int, ...], kb: tuple[int, ...]) -> int:
     """The distance depends on shapes and on which labels are equal, so generations that differ in names alone share it."""
     dist = [[0] * len(xb) for _ in xa]

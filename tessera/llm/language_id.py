@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from tessera.shipping import ship
 
 #: Bytes of labelled text for a language, and for all languages together, at most.
 EACH, ALL = 32_768, 1 << 20
-#: Languages to learn at most: those with the most labelled texts, so that a noisy lang column bounds the model too.
-LANGS = 64
+#: Languages to learn at most: those with the most labelled texts, so that a noisy lang column bounds the model too. More than are written; they share ALL.
+LANGS = 4096
+#: Texts drawn from a language at first, times what would fill it if they were average; parts in which a language's excerpts are merged.
+DRAWN, PARTS = 16, 32
 #: Characters taken from one labelled text, so that a language's text comes from several.
 EXCERPT = 4096
 #: How sharply the score falls with the distance in bits a byte.
@@ -149,41 +151,75 @@ class Model:
 
 
 def fit(docs: DataFrame, keep: Column) -> Model:
-    """A model from labelled rows of docs (doc_id, text, lang) for which `keep` holds: at most LANGS languages, EACH bytes of each.
+    """A model from labelled rows of docs (doc_id, text, lang) for which `keep` holds: at most LANGS languages, EACH bytes of each, ALL of all.
 
-    A text gives at most EXCERPT characters, from a hashed place anywhere in it. Shorter texts are drawn in larger numbers, and
-    the draw grows until a language has its bytes or no more texts."""
+    A text gives at most EXCERPT characters, from a hashed place anywhere in it; copies of a text give theirs once. Excerpts are taken in the order of a hash until a language has its
+    bytes, from a draw of its texts; where that doesn't fill it (short texts, or texts without letters), from all of them. That is the last pass. Executors normalise and
+    merge; ALL bytes at most come to the driver."""
+    ship(docs.sparkSession)
     labelled = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(EXCERPT))).alias("size")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     each = min(EACH, ALL // max(1, len(sizes)))
-    counts = {r["lang"]: r["n"] for r in sizes}
-    need = {r["lang"]: 16 * math.ceil(each / max(1, r["size"])) + 32 for r in sizes}  # texts drawn from a language, on average
-    texts: dict[str, bytes] = {}
-    todo = sorted(counts)
-    while todo:
-        texts |= _drawn(labelled, {k: min(1.0, need[k] / counts[k]) for k in todo}, 4 * sum(need[k] for k in todo), each)
-        todo = [k for k in todo if len(texts.get(k, b"")) < each and need[k] < counts[k]]
-        need |= {k: 8 * need[k] for k in todo}
+    shares = {r["lang"]: min(1.0, (DRAWN * math.ceil(each / max(1, r["size"])) + 2 * DRAWN) / r["n"]) for r in sizes}
+    texts = _drawn(labelled, shares, each)
+    if left := {k: 1.0 for k, share in shares.items() if share < 1 and len(texts.get(k, b"")) < each}:
+        texts |= _drawn(labelled, left, each)
     return Model(texts)
 
 
-def _drawn(labelled: DataFrame, shares: dict[str, float], most: int, each: int) -> dict[str, bytes]:
-    """Up to `each` bytes of excerpts by language, from a hash draw of its share of the texts."""
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+def _drawn(labelled: DataFrame, shares: dict[str, float], each: int) -> dict[str, bytes]:
+    """Up to `each` bytes of excerpts by language, from a hash draw of its share of the texts.
+
+    A task keeps no more of a language than it can give, and nor do the tasks that merge: by language and part of the hash, then by language."""
+    if not shares:
+        return {}
+    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(v * (1 << 30)))])
     # Copies of a text give the same excerpt.
     start = F.pmod(F.xxhash64("text", F.lit(9)), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
-    picked = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("d"), F.col("text").substr(start, F.lit(EXCERPT)).alias("t"))
-    # Bounded by the draw, and by the limit where one id has very many texts; the order makes it the same text whatever the partitioning.
-    drawn = picked.dropDuplicates(["lang", "t"]).orderBy("d", "lang", "t").limit(most).collect()
+    picked = labelled.where(draw < share[F.col("lang")]).select("lang", F.col("text").substr(start, F.lit(EXCERPT)).alias("t"))
+
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _kept(((k, h, normal(t)) for b in batches for k, h, t in zip(*[b.column(n).to_pylist() for n in ("lang", "h", "t")], strict=True)), each)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _kept((r for b in batches for r in zip(*[b.column(n).to_pylist() for n in ("lang", "h", "t")], strict=True)), each)
+
+    schema = "lang string, h long, t binary"
+    found = picked.select("lang", F.xxhash64("t").alias("h"), "t").mapInArrow(normalised, schema)
+    found = found.groupBy("lang", F.pmod("h", F.lit(PARTS))).applyInArrow(merged, schema).groupBy("lang").applyInArrow(merged, schema)
     texts: dict[str, bytes] = {}
-    for r in sorted(drawn, key=lambda r: (r["lang"], r["d"], r["t"])):
-        have = texts.get(r["lang"], b"")
-        if len(have) < each and (more := normal(r["t"])):
-            texts[r["lang"]] = (have + b" " + more)[:each]
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["t"])):
+        texts[r["lang"]] = (texts[r["lang"]] + b" " + bytes(r["t"]) if r["lang"] in texts else bytes(r["t"]))[:each]
     return texts
 
 
+def _kept(rows: Iterable[tuple[str, int, bytes]], each: int) -> Iterator[pa.RecordBatch]:
+    """Of each language the texts of the smallest hashes, each once, as many as give `each` bytes; never much more is held."""
+    held: dict[str, set[tuple[int, bytes]]] = {}
+    size: dict[str, int] = {}
+
+    def cut(lang: str) -> None:
+        got, total = [], 0
+        for h, t in sorted(held[lang]):
+            if total >= each:
+                break
+            got.append((h, t))
+            total += len(t) + 1
+        held[lang], size[lang] = set(got), total
+
+    for lang, h, t in rows:
+        if t and (h, t) not in (mine := held.setdefault(lang, set())):
+            mine.add((h, t))
+            size[lang] = size.get(lang, 0) + len(t) + 1
+            if size[lang] > 4 * each + EXCERPT:
+                cut(lang)
+    for lang in held:
+        cut(lang)
+        some = sorted(held[lang])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([h for h, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], ["lang", "h", "t"])
+
+
 def identify(docs: DataFrame, model: Model, carry: Column | None, name: str) -> DataFrame:
     """`carry` (or the whole row) as `name`, lang_pred, score for every row of docs; reads nothing but text.
 

@@ -80,3 +80,23 @@ def test_languages_are_bounded(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     most = sorted({r[2] for r in rows}, key=lambda v: (-sum(r[2] == v for r in rows), v))[:3]
     assert L.fit(df, F.lit(True)).langs == sorted(most)
+
+
+def test_a_label_without_letters_stays_in_the_executors(spark):
+    """Its texts are all looked at, none is sent on; copies of one text fill no language twice."""
+    rows = [(k, f"{k} 12 34 56 " * 20, "digits") for k in range(20_000)] + [(k, "the same words again", "copies") for k in range(20_000)] + [(k, f"word{chr(97 + k % 26)} other{chr(97 + k // 26 % 26)} text", "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shares = {"digits": 1.0, "copies": 1.0, "en": 1.0}
+    texts = L._drawn(docs, shares, L.EACH)
+    assert set(texts) == {"copies", "en"} and texts["copies"] == b"the same words again"
+    want = b" ".join(sorted({L.normal(t) for _, t, k in rows if k == "en"}))
+    assert sorted(texts["en"].split(b" ")) == sorted(want[: 10**9].split(b" ")) or len(texts["en"]) == L.EACH
+    assert L.fit(docs, F.lit(True)).langs == ["copies", "en"]
+
+
+def test_excerpts_do_not_depend_on_partitions(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40)), rng.choice(["aa", "bb"])) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (L._drawn(docs.repartition(n), {"aa": 1.0, "bb": 0.5}, 5000) for n in (1, 13))
+    assert one == many and {len(v) for v in one.values()} == {5000}

@@ -135,7 +135,7 @@ WITH p AS {PAIRS_SQL}, j AS (SELECT r.conv_id, r.turn, CASE WHEN r.gram IN ('the
   FROM ({_gram_sql('description', 1)}) r LEFT JOIN ({_gram_sql('completion', 1)}) x ON r.conv_id = x.conv_id AND r.turn = x.turn AND r.gram = x.gram)
 SELECT conv_id, turn, {r6("sum(wt * m) / sum(wt * c)::DOUBLE")} AS weighted FROM j GROUP BY 1, 2""")
 def weighted_ngram(spark: SparkSession, d: str) -> DataFrame:
-    out = codebleu.ngram_scores(pairs(spark, d), ["conv_id", "turn"], "completion", "description", heavy=("the", "of", "and", "is", "de"))
+    out = codebleu.ngram_scores(pairs(spark, d), ["conv_id", "turn"], "completion", "description", order=1, heavy=("the", "of", "and", "is", "de"))
     return out.select("conv_id", "turn", rounded(F.col("weighted")).alias("weighted"))
 
 

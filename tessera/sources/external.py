@@ -15,9 +15,7 @@ import tempfile
 import zlib
 from collections import ChainMap
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 import numpy as np
@@ -28,6 +26,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import is_blank
 from tessera.shipping import ship
+from tessera.sources import calls
 
 TIMED_OUT = "The generation took too long."
 BLANK_RENDER = "There is no code to render."
@@ -37,28 +36,17 @@ def _extended(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
 
 
-def with_answers(df: DataFrame, make: Callable[[], Callable[[str], str]], request: str = "request", response: str = "response", timeout: float | None = None) -> DataFrame:
-    """df with the answer to each request, and `timed_out`. An answer that takes too long is a sentinel text."""
+def with_answers(df: DataFrame, make: Callable[[], Callable[[str], str]], request: str = "request", response: str = "response", timeout: float | None = None, in_flight: int = 8) -> DataFrame:
+    """df with the answer to each request, and `timed_out`. An answer that takes too long is a sentinel text, and its call is ended.
+
+    A task has `in_flight` requests on their way at a time: on threads, or in processes where there is a time limit (see calls.answers())."""
     ship(df.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, pool = make(), ThreadPoolExecutor(1)
-
-        def one(text: str) -> tuple[str, bool]:
-            nonlocal pool
-            if timeout is None:
-                return ask(text), False
-            job = pool.submit(ask, text)
-            try:
-                return job.result(timeout), False
-            except Late:
-                pool.shutdown(wait=False, cancel_futures=True)
-                pool = ThreadPoolExecutor(1)
-                return TIMED_OUT, True
-
+        made = cache(make)  # once a task, or once in each child
         for part in parts:
-            got = [one(t) for t in part[request]]
-            yield part.assign(**{response: [a for a, _ in got], "timed_out": [b for _, b in got]})
+            got = list(calls.answers(made, part[request], in_flight, timeout))
+            yield part.assign(**{response: [TIMED_OUT if late else a for a, late in got], "timed_out": [late for _, late in got]})
 
     return df.mapInPandas(run, _extended(df, T.StructField(response, T.StringType()), T.StructField("timed_out", T.BooleanType())))
 
@@ -106,14 +94,14 @@ def run_script(code: str, command: list[str] | None = None, timeout: float = 300
         return None, False, done.stdout, "The script left no video or image."
 
 
-def with_renders(df: DataFrame, render: Callable[[str], tuple[bytes | None, bool, str, str]] = run_script, code: str = "code") -> DataFrame:
-    """df with artifact, success, info, errors. Blank code fails without a process."""
+def with_renders(df: DataFrame, render: Callable[[str], tuple[bytes | None, bool, str, str]] = run_script, code: str = "code", in_flight: int = 4) -> DataFrame:
+    """df with artifact, success, info, errors. Blank code fails without a process. A task renders `in_flight` programs at a time; the renderer keeps its own time limit."""
     ship(df.sparkSession)
     fields = [T.StructField("artifact", T.BinaryType()), T.StructField("success", T.BooleanType()), T.StructField("info", T.StringType()), T.StructField("errors", T.StringType())]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            got = [render(c) for c in part[code]]
+            got = [g for g, _ in calls.answers(lambda: render, part[code], in_flight)]
             yield part.assign(artifact=[g[0] for g in got], success=[g[1] for g in got], info=[g[2] for g in got], errors=[g[3] for g in got])
 
     blank = df.where(is_blank(F.col(code))).select("*", F.lit(None).cast("binary").alias("artifact"), F.lit(False).alias("success"), F.lit("").alias("info"), F.lit(BLANK_RENDER).alias("errors"))

@@ -19,3 +19,13 @@ def manifest_once(spark: SparkSession, d: str) -> DataFrame:
         manifest.append_once(rows, path, "eval")
     manifest.append_once(spark.range(1).select(F.lit("eval/last").alias("value")), path, "last")
     return manifest.read_once(spark, path)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN CAST(p_size AS DOUBLE) / 50 ELSE 0.0::DOUBLE END AS score FROM part")
+def rendered_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of rows whose artifact is there, 0 for the others; artifacts are written for the odd sizes only."""
+    path, parts = store.shared_path(spark, "renders"), table(spark, d, "part")
+    parts.where("p_size % 2 = 1").select("p_size", F.col("p_name").alias("value")).repartition("p_size").write.partitionBy("p_size").text(path)
+    files = store.files_in(spark, path).select(F.regexp_extract("name", "^(.*)/[^/]*$", 1).alias("name"), "size")
+    rows = parts.select("p_partkey", F.concat(F.lit("p_size="), "p_size").alias("artifact"), (F.col("p_size").cast("double") / 50).alias("score"))
+    return store.only_with_files(rows, files, "artifact", "score").select("p_partkey", "score")

@@ -67,6 +67,25 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def files_in(spark: SparkSession, folder: str) -> DataFrame:
+    """name (relative to the folder, however deep), size and time of every file there that is not empty; on any file system that Spark reads, and without opening one.
+
+    Spark lists large folders in the executors."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    # Local paths come with one slash or three.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return found.select(plain(F.col("path")).substr(F.length(plain(F.lit(whole))) + 2, F.length("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def only_with_files(rows: DataFrame, files: DataFrame, name: str, *scores: str) -> DataFrame:
+    """rows with their scores where a file of the given name is there and not empty, 0 elsewhere; a null name has no file. Names are joined, each once."""
+    there = files.where("size > 0").select(F.col("name").alias(name)).distinct().withColumn("_there", F.lit(True))
+    found = rows.join(there, name, "left")
+    return found.select(*[F.when(F.col("_there"), F.col(f"`{c}`")).otherwise(F.lit(0)).cast(rows.schema[c].dataType).alias(c) if c in scores else F.col(f"`{c}`") for c in rows.columns])
+
+
 #: The parts of a result file's name, and how its time is written.
 RESULT_PREFIX, ADAPTER_PREFIX, RESULT_TIME = "eval_result_", "_peft_", "yyyyMMdd_HHmmss"
 

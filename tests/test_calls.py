@@ -142,3 +142,19 @@ def test_a_repeated_task_counts_once(spark, tmp_path):
 def test_one_column_only(spark, tmp_path):
     with pytest.raises(Exception, match="one column"):
         manifest.append_once(spark.range(2).selectExpr("'a' AS value", "id"), str(tmp_path / "m"))
+
+
+def test_files_that_are_there(spark, tmp_path):
+    from tessera.sources import store
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "one.mp4").write_bytes(b"xyz")
+    (tmp_path / "empty.mp4").write_bytes(b"")
+    (tmp_path / "two words é.mp4").write_bytes(b"x")
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        files = store.files_in(spark, folder)
+        assert {(r["name"], r["size"]) for r in files.collect()} == {("a/b/one.mp4", 3), ("two words é.mp4", 1)}
+        rows = spark.createDataFrame([(i, n, 0.5, 2) for i, n in enumerate(["a/b/one.mp4", "empty.mp4", "missing.mp4", None, "two words é.mp4", "a/b/one.mp4"])], "id int, video string, score double, other int")
+        got = store.only_with_files(rows, files, "video", "score")
+        assert got.columns == rows.columns
+        assert {r["id"]: (r["score"], r["other"]) for r in got.collect()} == {0: (0.5, 2), 1: (0.0, 2), 2: (0.0, 2), 3: (0.0, 2), 4: (0.5, 2), 5: (0.5, 2)}

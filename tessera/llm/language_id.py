@@ -173,11 +173,11 @@ def _drawn(labelled: DataFrame, shares: dict[str, float], each: int) -> dict[str
     A task keeps no more of a language than it can give, and nor do the tasks that merge: by language and part of the hash, then by language."""
     if not shares:
         return {}
-    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(v * (1 << 30)))])
     # Copies of a text give the same excerpt.
     start = F.pmod(F.xxhash64("text", F.lit(9)), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
-    picked = labelled.where(draw < share[F.col("lang")]).select("lang", F.col("text").substr(start, F.lit(EXCERPT)).alias("t"))
+    picked = labelled.where(draw < share[F.col("lang")]).select("lang", draw.alias("h"), F.col("text").substr(start, F.lit(EXCERPT)).alias("t"))
 
     def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _kept(((k, h, normal(t)) for b in batches for k, h, t in zip(*[b.column(n).to_pylist() for n in ("lang", "h", "t")], strict=True)), each)
@@ -186,37 +186,42 @@ def _drawn(labelled: DataFrame, shares: dict[str, float], each: int) -> dict[str
         yield from _kept((r for b in batches for r in zip(*[b.column(n).to_pylist() for n in ("lang", "h", "t")], strict=True)), each)
 
     schema = "lang string, h long, t binary"
-    found = picked.select("lang", F.xxhash64("t").alias("h"), "t").mapInArrow(normalised, schema)
-    found = found.groupBy("lang", F.pmod("h", F.lit(PARTS))).applyInArrow(merged, schema).groupBy("lang").applyInArrow(merged, schema)
+    found = picked.mapInArrow(normalised, schema)
+    found = found.groupBy("lang", F.pmod(F.xxhash64("t"), F.lit(PARTS))).applyInArrow(merged, schema).groupBy("lang").applyInArrow(merged, schema)
     texts: dict[str, bytes] = {}
     for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["t"])):
-        texts[r["lang"]] = (texts[r["lang"]] + b" " + bytes(r["t"]) if r["lang"] in texts else bytes(r["t"]))[:each]
+        texts[r["lang"]] = (texts.get(r["lang"], b"") + b" " + bytes(r["t"]))[:each]
     return texts
 
 
 def _kept(rows: Iterable[tuple[str, int, bytes]], each: int) -> Iterator[pa.RecordBatch]:
-    """Of each language the texts of the smallest hashes, each once, as many as give `each` bytes; never much more is held."""
-    held: dict[str, set[tuple[int, bytes]]] = {}
+    """Of each language the texts of the smallest hashes, each once with the smallest of its copies, as many as give `each` bytes; never much more is held."""
+    held: dict[str, dict[bytes, int]] = {}
     size: dict[str, int] = {}
 
-    def cut(lang: str) -> None:
+    def first(lang: str) -> list[tuple[int, bytes]]:
         got, total = [], 0
-        for h, t in sorted(held[lang]):
+        for h, t in sorted((h, t) for t, h in held[lang].items()):
             if total >= each:
                 break
             got.append((h, t))
             total += len(t) + 1
-        held[lang], size[lang] = set(got), total
+        held[lang], size[lang] = {t: h for h, t in got}, total
+        return got
 
     for lang, h, t in rows:
-        if t and (h, t) not in (mine := held.setdefault(lang, set())):
-            mine.add((h, t))
-            size[lang] = size.get(lang, 0) + len(t) + 1
-            if size[lang] > 4 * each + EXCERPT:
-                cut(lang)
+        if not t:
+            continue
+        mine = held.setdefault(lang, {})
+        if t in mine:
+            mine[t] = min(h, mine[t])
+            continue
+        mine[t] = h
+        size[lang] = size.get(lang, 0) + len(t) + 1
+        if size[lang] > 4 * each + EXCERPT:
+            first(lang)
     for lang in held:
-        cut(lang)
-        some = sorted(held[lang])
+        some = first(lang)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([h for h, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], ["lang", "h", "t"])
 
 

@@ -88,9 +88,9 @@ def test_a_label_without_letters_stays_in_the_executors(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     shares = {"digits": 1.0, "copies": 1.0, "en": 1.0}
     texts = L._drawn(docs, shares, L.EACH)
-    assert set(texts) == {"copies", "en"} and texts["copies"] == b"the same words again"
+    assert set(texts) == {"copies", "en"} and texts["copies"] == b" the same words again"
     want = b" ".join(sorted({L.normal(t) for _, t, k in rows if k == "en"}))
-    assert sorted(texts["en"].split(b" ")) == sorted(want[: 10**9].split(b" ")) or len(texts["en"]) == L.EACH
+    assert set(texts["en"][: L.EACH - 20].split(b" ")[1:-1]) <= set(want.split(b" ")) and len(texts["en"]) == min(L.EACH, len(want) + 1)
     assert L.fit(docs, F.lit(True)).langs == ["copies", "en"]
 
 

@@ -48,7 +48,7 @@ def test_stages_and_their_effects(spark, tmp_path):
 
 def test_queries_are_registered():
     names = registry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     sys.path.insert(0, "/root/repo")
     import __spark_entry__
 

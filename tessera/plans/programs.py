@@ -71,7 +71,7 @@ def tree_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_within(spark: SparkSession, d: str) -> DataFrame:
-    """Programs of at most 40 edits from the expected one: most others are told by their labels and numbers of children alone, without a table."""
+    """Programs of at most 40 edits from the expected one; those whose labels and numbers of children alone say that they are further apart are not compared."""
     t = _varied(spark, d).where("expected IS NOT NULL").select("p_partkey", treescript.code_script(40)("code", "expected").alias("t"))
     return t.select("p_partkey", "t.at_least", "t.distance", F.coalesce(F.col("t.distance") <= 40, F.lit(False)).alias("within"))
 

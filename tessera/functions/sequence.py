@@ -1,4 +1,4 @@
-"""Similarity of sequences: exact dynamic time warping, structural similarity of frames, frame sampling."""
+"""Similarity of sequences: exact dynamic time warping, structural similarity, frame sampling."""
 
 from __future__ import annotations
 
@@ -89,23 +89,34 @@ def dtw_series(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out, dtype="float64")
 
 
-def ssim(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Mean structural similarity of pairs of gray frames (pair, row, column) over all whole windows, with sample covariance; window sums are
-    differences of prefix sums, so a window costs the same whatever its size."""
-    x, y = a.astype(np.float64), b.astype(np.float64)
+def window_sums(v: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Sums over all whole windows of frames (frame, row, column), as differences of prefix sums: a window costs the same whatever its size."""
+    c = np.pad(v.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+    return c[:, window:, window:] - c[:, :-window, window:] - c[:, window:, :-window] + c[:, :-window, :-window]
+
+
+def moments(v: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample variance of each window of some frames: what a frame brings to each of its comparisons."""
     n = window * window
+    mean = window_sums(v, window) / n
+    return mean, (window_sums(v * v, window) - n * mean * mean) / (n - 1)
 
-    def sums(v: np.ndarray) -> np.ndarray:
-        c = np.pad(v.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
-        return c[:, window:, window:] - c[:, :-window, window:] - c[:, window:, :-window] + c[:, :-window, :-window]
 
-    sx, sy, sxx, syy, sxy = sums(x), sums(y), sums(x * x), sums(y * y), sums(x * y)
-    mx, my = sx / n, sy / n
-    vx, vy, cxy = (sxx - n * mx * mx) / (n - 1), (syy - n * my * my) / (n - 1), (sxy - n * mx * my) / (n - 1)
+def ssim_known(x: np.ndarray, of_x: tuple[np.ndarray, np.ndarray], y: np.ndarray, of_y: tuple[np.ndarray, np.ndarray], window: int = WINDOW) -> np.ndarray:
+    """ssim() of frames whose moments() are known; one frame on either side meets all of the other."""
+    n = window * window
+    (mx, vx), (my, vy) = of_x, of_y
+    cxy = (window_sums(x * y, window) - n * mx * my) / (n - 1)
     c1, c2 = (K1 * RANGE) ** 2, (K2 * RANGE) ** 2
     return (((2 * mx * my + c1) * (2 * cxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean((1, 2))
 
 
+def ssim(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Mean structural similarity of pairs of gray frames (pair, row, column) over all whole windows, with sample covariance."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    return ssim_known(x, moments(x, window), y, moments(y, window), window)
+
+
 def resize_area(frame: np.ndarray, height: int, width: int) -> np.ndarray:
     """A frame at another size, each new pixel the mean of the area that it covers."""
 

@@ -4,20 +4,20 @@ Each distinct artifact is decoded and encoded once, each distinct pair of artifa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions import sequence, vectors
+from tessera.operators.frames import matrix
 from tessera.shipping import ship
-from tessera.sources.external import sampled
+from tessera.sources.external import runs_of, sampled
 
-#: A decoder gives an artifact's frames and rate; an encoder, made once a task, a vector for each frame.
-Decode = Callable[[bytes], tuple[list[np.ndarray], float]]
+#: A decoder gives an artifact's frames, all or one after the other, and their rate; an encoder, made once a task, a vector for each frame.
+Decode = Callable[[bytes], tuple[Iterable[np.ndarray], float]]
 Encode = Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]]
 
 #: Fixed value: how sharply the similarity of frames falls with their warping distance.
@@ -30,31 +30,19 @@ def frames_of(artifacts: DataFrame, decode: Decode, encode: Encode, target_fps:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = encode()
+        columns = ["key", "k", "height", "width", "gray", "e"]
         for part in parts:
-            rows = []
             for key, data in zip(part["key"], part["artifact"], strict=True):
-                shots = sampled(bytes(data), decode, key, target_fps)
-                for (k, f), e in zip(shots, embed([f for _, f in shots]), strict=True):
-                    rows.append((key, k, f.shape[0], f.shape[1], f.astype(np.int16).ravel().tolist(), np.asarray(e, float).tolist()))
-            yield pd.DataFrame(rows, columns=["key", "k", "height", "width", "gray", "e"])
+                # A film's frames go on in runs of bounded size, before the next film is decoded.
+                for shots in runs_of(sampled(bytes(data), decode, key, target_fps)):
+                    known = embed([f for _, f in shots])
+                    rows = [(key, k, *f.shape, f.astype(np.uint8).tobytes(), np.asarray(e, float).tolist()) for (k, f), e in zip(shots, known, strict=True)]
+                    yield pd.DataFrame(rows, columns=columns)
 
-    found = artifacts.mapInPandas(run, "key string, k int, height int, width int, gray array<smallint>, e array<double>")
+    found = artifacts.mapInPandas(run, "key string, k int, height int, width int, gray binary, e array<double>")
     return found.withColumn("e", vectors.normalise(F.col("e")))
 
 
-@F.pandas_udf(T.DoubleType())
-def ssim_of_sizes(pairs: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Structural similarity of two flat frames and their widths; the second takes the size of the first, each new pixel the mean of the area that it covers."""
-    for a, wa, b, wb in pairs:
-        out = []
-        for x, m, y, n in zip(a, wa, b, wb, strict=True):
-            p, q = np.asarray(x).reshape(-1, m), np.asarray(y).reshape(-1, n)
-            if p.shape != q.shape:
-                q = np.rint(sequence.resize_area(q, *p.shape))
-            out.append(float(sequence.ssim(p[None], q[None])[0]))
-        yield pd.Series(out, dtype="float64")
-
-
 def visual_scores(pairs: DataFrame, decode: Decode, encode: Encode, target_fps: float = 5) -> DataFrame:
     """pairs (generated_artifact, expected_artifact, ...) with ssim_score and visual_semantic_score.
 
@@ -64,9 +52,8 @@ def visual_scores(pairs: DataFrame, decode: Decode, encode: Encode, target_fps:
     each = keyed.select(F.col("_g").alias("key"), F.col("generated_artifact").alias("artifact")).union(keyed.select("_x", "expected_artifact")).dropDuplicates(["key"])
     shots = frames_of(each, decode, encode, target_fps)
     once = keyed.select("_x", "_g").distinct().withColumn("pair_id", F.concat_ws(" ", "_x", "_g"))
-    side = lambda key, i, frame, width: shots.select(F.col("key").alias(key), F.col("k").alias(i), F.col("gray").alias(frame), F.col("width").alias(width))
-    matrix = once.join(side("_x", "i", "a", "wa"), "_x").join(side("_g", "j", "b", "wb"), "_g").select("pair_id", "i", "j", ssim_of_sizes("a", "wa", "b", "wb").alias("ssim"))
-    best = sequence.best_match(matrix)
+    side = lambda key, number: once.select(F.col(key).alias("key"), "pair_id").join(shots, "key").select("pair_id", F.lit(number).alias("side"), "k", "width", "gray")
+    best = sequence.best_match(matrix(side("_x", 0).unionByName(side("_g", 1))))
     alike = best.select("pair_id", sequence.similarity(sequence.dtw_fold(F.col("rows"), F.col("cols")), F.size("rows"), F.size("cols"), SHARPNESS).alias("ssim_score"))
     line = shots.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda f: f["e"]).alias("line"))
     lines = once.join(line.select(F.col("key").alias("_x"), F.col("line").alias("a")), "_x").join(line.select(F.col("key").alias("_g"), F.col("line").alias("b")), "_g")

@@ -10,7 +10,7 @@ from tessera.functions.vectors import rounded
 from tessera.operators import columns, docs, rewards
 from tessera.operators.codegraph import EXCLUDED, filter_names, vars_beyond_calls
 from tessera.operators.loop import first_success
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 from tessera.plans.responses import PAIRS_SQL, pairs, strip_sql
 from tessera.sources.store import result_name, table
 
@@ -356,3 +356,23 @@ def stream_success_rate(spark: SparkSession, d: str) -> DataFrame:
     stream = success_rate(event_stream(spark, d, "events.parquet", table(spark, d, "events").schema), F.col("event_type") == "purchase")
     out = run_to_table(stream.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), shared_path(spark, "rates"), shared_path(spark, "offsets"))
     return out.select("window_start", "n", "ok", rounded(F.col("rate")).alias("rate"))
+
+
+@query(ORACLES["feedback_rounds"])
+def feedback_stream(spark: SparkSession, d: str) -> DataFrame:
+    """feedback_rounds over a stream whose files come out of order: each event up to a day late by its hash, ten days of events a file."""
+    from tessera.sources.store import shared_path
+    from tessera.streaming import rates, rounds
+
+    events = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
+    come = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    folder, width = shared_path(spark, "arrivals"), 10 * 86_400
+    low, high = events.agg(F.min(come), F.max(come)).first()
+    for start in range(low or 0, (high or -1) + 1, width):
+        events.where(come.between(start, start + width - 1)).write.mode("append").parquet(folder)
+    end = spark.range(1).select(*[F.lit(-1).cast(events.schema[c].dataType).alias(c) for c in ("user_id", "event_id")], (F.lit(rounds.CLOSING).cast("timestamp") + F.expr("INTERVAL 1 YEAR")).alias("ts"), F.lit(False).alias("ok"))
+    end.write.mode("append").parquet(folder)
+    # Files of one arrival may come in any order, so the lateness is a width and a day.
+    with rounds.state_store(spark):
+        stream = rounds.attempts(rates.event_stream(spark, folder, "*.parquet", events.schema, 8), "user_id", "event_id", "ts", "ok", "11 days")
+        return rounds.run_appended(stream, shared_path(spark, "rounds"), shared_path(spark, "offsets"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sequence, templates, text, tokens, vectors
 from tessera.functions.vectors import rounded
-from tessera.operators import codebleu, codegraph, columns, docs, evaluate, loop, rewards, samples, treedist, visual
+from tessera.operators import codebleu, codegraph, columns, docs, evaluate, frames, loop, rewards, samples, treedist, visual
 from tessera.plans.registry import ORACLES, query
 from tessera.plans.responses import PAIRS_SQL, pairs
 from tessera.plans.scores import LINE, r6
@@ -149,15 +149,9 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 _FRAMES_SQL = "(SELECT CAST(vec_id // 8 AS BIGINT) AS pair_id, (vec_id // 4) % 2 AS side, CAST(vec_id % 4 AS INT) AS k, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor(x::DOUBLE * 64 + 128))) AS INT)) AS frame, embedding::DOUBLE[] AS embedding FROM embeddings)"
 
 
-def _frame_pairs(spark: SparkSession, d: str) -> DataFrame:
-    f = _frames(spark, d)
-    a = f.where("side = 0").select("pair_id", F.col("k").alias("i"), F.col("frame").alias("a"), F.col("embedding").alias("ea"))
-    b = f.where("side = 1").select("pair_id", F.col("k").alias("j"), F.col("frame").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "pair_id")
-
-
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _frame_pairs(spark, d).select("pair_id", "i", "j", rounded(sequence.ssim_frames("a", "b", F.lit(8))).alias("ssim"))
+    f = _frames(spark, d).select("pair_id", "side", "k", F.lit(8).alias("width"), frames.packed("frame").alias("gray"))
+    return frames.matrix(f, resize=False).select("pair_id", "i", "j", rounded(F.col("ssim")).alias("ssim"))
 
 
 _CELLS = "[" + ", ".join(str(dy * 8 + dx) for dy in range(7) for dx in range(7)) + "]"
@@ -391,28 +385,28 @@ def render_stage(spark: SparkSession, d: str) -> DataFrame:
     return parts.join(made, "code").select("p_partkey", "success", "errors", "info")
 
 
-@query("SELECT p_partkey, i AS frame_idx, CAST(2 AS INT) AS height, CAST(3 AS INT) AS width, array_to_string(list_transform(range(6), lambda k: (p_partkey + 40 * k + i) % 256), ',') AS gray FROM part, unnest([0, 2, 4]) u(i) WHERE p_partkey < 6")
+@query("SELECT p_partkey, i AS frame_idx, CAST(2 AS INT) AS height, CAST(3 AS INT) AS width, array_to_string(list_transform(range(6), lambda k: (p_partkey + 40 * k + i) % 256), ',') AS gray FROM part, unnest([0, 2, 4]) u(i)")
 def video_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Moving images, written as animated bitmaps, sampled to five frames a second of ten."""
-    return _media(spark, d, 5)
+    """Films of all parts, five frames at ten a second each, sampled to five a second by a decoder that gives one frame after the other."""
+    return _media(spark, d, _shots(5), lambda data: ((np.frombuffer(data, np.uint8, 6, at).reshape(2, 3) for at in range(0, len(data), 6)), 10.0))
 
 
-@query("SELECT p_partkey, 0 AS frame_idx, CAST(2 AS INT) AS height, CAST(3 AS INT) AS width, array_to_string(list_transform(range(6), lambda k: (p_partkey + 40 * k) % 256), ',') AS gray FROM part WHERE p_partkey < 6")
+@query("SELECT p_partkey, 0 AS frame_idx, CAST(2 AS INT) AS height, CAST(3 AS INT) AS width, array_to_string(list_transform(range(6), lambda k: (p_partkey + 40 * k) % 256), ',') AS gray FROM part")
 def image_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Still images: their one frame."""
-    return _media(spark, d, 1)
-
-
-def _media(spark: SparkSession, d: str, count: int) -> DataFrame:
-    """Frames of media files made of the first parts: a 3 x 2 image for each, as PNG, or `count` of them one after the other at ten a second."""
-    folder = store.shared_path(spark, "media")
-    files = []
-    for r in table(spark, d, "part").where("p_partkey < 6").select("p_partkey").collect():
-        shots = [np.array([(r[0] + 40 * k + i) % 256 for k in range(6)], np.uint8).reshape(2, 3) for i in range(count)]
-        files.append((f"{r[0]}.{'png' if count == 1 else 'frames'}", external.encode_png(shots[0]) if count == 1 else external.encode_frames(shots, 10.0)))
-    external.write_files(spark, folder, files)
-    made = external.frames(spark, folder, external.decode_image if count == 1 else external.decode_frames)
-    return made.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("p_partkey"), "frame_idx", "height", "width", F.array_join(F.col("gray").cast("array<string>"), ",").alias("gray"))
+    """Still images of all parts, as portable gray maps: their one frame."""
+    return _media(spark, d, F.concat(F.lit(b"P5 3 2 255 "), _shots(1)), external.decode_pnm)
+
+
+def _shots(count: int) -> Column:
+    """Pixels of `count` 3 x 2 frames of a part, one after the other, as bytes."""
+    return F.unhex(F.concat(*[F.lpad(F.hex((F.col("p_partkey") + 40 * k + i) % 256), 2, "0") for i in range(count) for k in range(6)]))
+
+
+def _media(spark: SparkSession, d: str, content: Column, decode: external.Decode) -> DataFrame:
+    """Frames of media made of each part."""
+    made = external.frame_rows(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")), decode)
+    values = F.array_join(external.pixels("gray").cast("array<string>"), ",")
+    return made.select(F.col("path").cast("long").alias("p_partkey"), "frame_idx", "height", "width", values.alias("gray"))
 
 
 @query("SELECT p_partkey, '1. show ' || p_name AS code_plan, 'code_with_plan' AS template FROM part")

@@ -8,18 +8,20 @@ from __future__ import annotations
 import glob
 import inspect
 import os
+import re
 import struct
 import subprocess
 import sys
 import tempfile
 import zlib
 from collections import ChainMap
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,10 +110,15 @@ def with_renders(df: DataFrame, render: Callable[[str], tuple[bytes | None, bool
     return df.where(~is_blank(F.col(code))).mapInPandas(run, _extended(df, *fields)).unionByName(blank)
 
 
+#: Kind, width, height and greatest value; one white space ends it, and what follows are pixels, whatever they are.
+_PNM_HEAD = re.compile(rb"(\S+)\s+(\d+)\s+(\d+)\s+\d+\s")
+
+
 def decode_pnm(data: bytes) -> tuple[list[np.ndarray], float]:
     """Frames and frame rate of one portable gray or colour map (binary P5 or P6); a decoder that needs no library."""
-    head, rest = data.split(None, 4)[:4], data.split(None, 4)[4]
-    kind, width, height = head[0], int(head[1]), int(head[2])
+    if not (head := _PNM_HEAD.match(data)):
+        raise ValueError("no portable map")
+    kind, width, height, rest = head[1], int(head[2]), int(head[3]), data[head.end() :]
     if kind == b"P5":
         return [np.frombuffer(rest[: width * height], np.uint8).reshape(height, width)], 0.0
     if kind == b"P6":
@@ -217,37 +224,75 @@ def write_files(spark: SparkSession, folder: str, files: list[tuple[str, bytes]]
         out.close()
 
 
-def sampled(data: bytes, decode: Callable[[bytes], tuple[list[np.ndarray], float]], name: str, target_fps: float) -> list[tuple[int, np.ndarray]]:
-    """(number, frame) of those frames that target_fps takes. What can't be decoded, moves without a rate or has no frame is an error that names it."""
+Decode = Callable[[bytes], tuple[Iterable[np.ndarray], float]]
+#: Bytes of pixels of sampled frames that a task holds at once.
+RUN = 16 << 20
+
+
+def sampled(data: bytes, decode: Decode, name: str, target_fps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, frame) of those frames that target_fps takes, one after the other. What can't be decoded, moves without a rate or has no frame is an error that names it."""
+    count = 0
     try:
         found, fps = decode(data)
+        step = max(1, int(fps / target_fps))
+        for f in found:
+            count += 1
+            if count == 2 and not fps > 0:
+                break
+            if (count - 1) % step == 0:
+                yield count - 1, f
     except Exception as error:
         raise ValueError(f"could not load {name}: {error}") from error
-    if not found:
+    if not count:
         raise ValueError(f"no frames in {name}")
-    if len(found) > 1 and not fps > 0:
+    if count > 1 and not fps > 0:
         raise ValueError(f"no frame rate in {name}")
-    step = max(1, int(fps / target_fps))
-    return [(i, f) for i, f in enumerate(found) if i % step == 0]
 
 
-FRAMES = "path string, frame_idx int, height int, width int, gray array<smallint>"
+def runs_of(shots: Iterable[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Frames in runs of at most RUN bytes of pixels, or of one frame."""
+    run, room = [], 0
+    for shot in shots:
+        if run and room + shot[1].size > RUN:
+            yield run
+            run, room = [], 0
+        run.append(shot)
+        room += shot[1].size
+    if run:
+        yield run
+
+
+def frame_rows(media: DataFrame, decode: Decode, target_fps: float = 5) -> DataFrame:
+    """path, frame_idx, height, width, gray (bytes, row by row) of the sampled frames of media (path, content).
 
+    A decoder that gives its frames one after the other never has a whole film in memory: a task holds runs of RUN bytes."""
+    ship(media.sparkSession)
+    names = ["path", "frame_idx", "height", "width", "gray"]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
-def frames(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[list[np.ndarray], float]] = decode_pnm, target_fps: float = 5) -> DataFrame:
-    """Sampled gray frames of the media files under a path. decode gives a file's frames and rate; a still image has one frame and rate 0.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                path = name.as_py()
+                for shots in runs_of(sampled(data.as_py(), decode, path, target_fps)):
+                    columns = zip(*[(path, i, *f.shape, f.astype(np.uint8).tobytes()) for i, f in shots], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return media.select("path", "content").mapInArrow(run, "path string, frame_idx int, height int, width int, gray binary")
+
+
+def frames(spark: SparkSession, path: str, decode: Decode = decode_pnm, target_fps: float = 5) -> DataFrame:
+    """Sampled gray frames of the media files under a path, their pixels as numbers. decode gives a file's frames and rate; a still image has one frame and rate 0.
 
     A file that can't be decoded, that moves without a rate, or that has no frame, is an error that says which."""
-    ship(spark)
+    found = frame_rows(spark.read.format("binaryFile").load(path), decode, target_fps)
+    return found.withColumn("gray", pixels("gray"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for name, data in zip(part["path"], part["content"], strict=True):
-                rows += [(name, i, f.shape[0], f.shape[1], f.astype(np.int16).ravel().tolist()) for i, f in sampled(bytes(data), decode, name, target_fps)]
-            yield pd.DataFrame(rows, columns=["path", "frame_idx", "height", "width", "gray"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FRAMES)
+@F.pandas_udf(T.ArrayType(T.ShortType()))
+def pixels(gray: pd.Series) -> pd.Series:
+    """Bytes as numbers of 0 to 255."""
+    return gray.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int16))
 
 
 class _Unknown(LookupError):

@@ -176,45 +176,72 @@ def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - ends + sizes, sizes)
 
 
+def _rare(item: np.ndarray, place: np.ndarray, often: np.ndarray, lengths: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    """Which seeds of items (item, place, in order; how often the seed stands in all items) a covered item must have one of in common with the text.
+
+    The other seeds of an item are its most frequent ones, as many levels of frequency as cover less than the threshold of its tokens together: an item that shares
+    only those is not covered."""
+    level = np.frexp(often.astype(np.float64))[1]
+    rare = np.ones(len(item), bool)
+    open_ = np.ones(len(lengths), bool)  # items whose frequent seeds do not cover the threshold yet
+    for least in sorted(set(level.tolist()), reverse=True):
+        frequent = np.flatnonzero(level >= least)
+        of, at = item[frequent], place[frequent]
+        step = np.where(np.diff(of, append=-1) == 0, np.minimum(np.diff(at, append=0), size), size)
+        open_ &= np.bincount(of, step, len(lengths)) < threshold * lengths
+        rare[(level == least) & open_[item]] = False
+    return rare
+
+
 class Seeds:
-    """Seeds of one size of some test items (id, word hashes), as sorted arrays: some 24 bytes a token. Hashes are those of this process, so seeds are
-    built where they are used."""
+    """Some test items (id, word hashes) by the seeds of one size that are rare among them, as sorted arrays: 12 bytes a rare seed and 8 a token. Hashes are those of this
+    process, so seeds are built where they are used.
+
+    A text's candidates are the items of which it has a rare seed; each is then looked at with all its seeds. A stem that very many items share costs nothing."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], size: int):
         self.size, self.keys, self.values = size, [k for k, _ in items], [v for _, v in items]
-        hashes = [running_hash(v, size) for v in self.values]
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(self.hash, kind="stable")
-        self.hash = self.hash[order]
-        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(h) for h in hashes])[order]
-        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])[order].astype(np.int32)
-        self.some = np.zeros(1 << _TABLE_BITS, bool)
-        self.some[self.hash >> np.uint64(64 - _TABLE_BITS)] = True
+        self.rare: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _rare(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of rare seeds, sorted, their items, and a table of the first bits of the hashes."""
+        if threshold not in self.rare:
+            hashes = [running_hash(v, self.size) for v in self.values]
+            counts = np.array([len(h) for h in hashes], np.int64)
+            item = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            place = _numbers(np.zeros_like(counts), counts).astype(np.int32)
+            every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+            _, which, times = np.unique(every, return_inverse=True, return_counts=True)
+            kept = _rare(item, place, times[which], np.array([len(v) for v in self.values], np.int64), self.size, threshold)
+            every, item = every[kept], item[kept]
+            order = np.argsort(every, kind="stable")
+            some = np.zeros(1 << _TABLE_BITS, bool)
+            some[every >> np.uint64(64 - _TABLE_BITS)] = True
+            self.rare[threshold] = every[order], item[order], some
+        return self.rare[threshold]
 
     def matches(self, values: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+        known, owners, some = self._rare(threshold)
         hashes = running_hash(values, self.size)
-        at = np.flatnonzero(self.some[hashes >> np.uint64(64 - _TABLE_BITS)])
-        if not len(at):
+        seen = np.unique(hashes[some[hashes >> np.uint64(64 - _TABLE_BITS)]])
+        lo, hi = np.searchsorted(known, seen, side="left"), np.searchsorted(known, seen, side="right")
+        candidates = np.unique(owners[_numbers(lo, hi)])
+        if not len(candidates):
             return
-        seen, back, times = np.unique(hashes[at], return_inverse=True, return_counts=True)
-        lo, hi = np.searchsorted(self.hash, seen, side="left"), np.searchsorted(self.hash, seen, side="right")
-        rows = _numbers(lo, hi)
-        owner = np.repeat(np.arange(len(seen)), hi - lo)
-        order = np.lexsort((self.place[rows], self.item[rows]))
-        rows, owner = rows[order], owner[order]
-        cuts = np.flatnonzero(np.diff(self.item[rows])) + 1
+        every, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
         by_hash = np.argsort(back, kind="stable")
         starts = np.concatenate([[0], np.cumsum(times)])
-        for some, of in zip(np.split(rows, cuts), np.split(owner, cuts), strict=True):
-            if not len(some):
-                continue
-            key, item = self.keys[self.item[some[0]]], self.values[self.item[some[0]]]
-            place = self.place[some]
+        for c in candidates.tolist():
+            key, item = self.keys[c], self.values[c]
+            own = running_hash(item, self.size)
+            of = np.minimum(np.searchsorted(every, own), len(every) - 1)
+            place = np.flatnonzero(every[of] == own)
+            of = of[place]
             # What the seeds cover at most, marked or not.
             if np.minimum(np.diff(place, append=place[-1] + self.size), self.size).sum() < threshold * len(item):
                 continue
             if int(times[of].sum()) <= PAIRS * (len(item) + len(values)):
-                where = at[by_hash[_numbers(starts[of], starts[of + 1])]]
+                where = by_hash[_numbers(starts[of], starts[of + 1])]
                 found = tiles(item.tolist(), values.tolist(), list(zip(where.tolist(), np.repeat(place, times[of]).tolist(), strict=True)), self.size)
             else:
                 found = running_tiles(item, values, self.size)

@@ -79,6 +79,33 @@ def test_repetitive_texts_take_near_linear_time():
         assert (len(got) == 1) == (item.split()[:3] != ["a", "a", "b"])
 
 
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=14), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=40), st.sampled_from([0.0, 0.3, 0.5, 0.8, 1.0]))
+@settings(max_examples=300, deadline=None)
+def test_rare_seeds_lose_nothing(items, text, threshold):
+    """Items that share most of their seeds, at several thresholds, with seeds of two tokens."""
+    want = []
+    for k, item in enumerate(items):
+        found = plain_tiles(item, text, min(2, len(item)))
+        tiled = sum(n for _, _, n in found)
+        if tiled and tiled >= threshold * len(item):
+            want.append((k, len(item), tiled, len(found), tiled / len(item)))
+    assert D.Index([(k, " ".join(i)) for k, i in enumerate(items)], 2).matches(" ".join(text), threshold) == want
+
+
+def test_a_stem_that_all_items_share_costs_nothing():
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(30_000)]
+    stem = "which of the following statements about"
+    items = [(k, f"{stem} {' '.join(rng.choices(names, k=9))}") for k in range(50_000)]
+    index = D.Index(items)
+    assert index.matches(f"{stem} {items[7][1][len(stem) :]}", 0.5)[0][0] == 7
+    began = time.perf_counter()
+    for _ in range(20):
+        assert index.matches(f"someone asked {stem} the moon is true", 0.5) == []
+    assert (time.perf_counter() - began) / 20 < 0.005
+    assert [m[0] for m in index.matches(f"{stem} as {items[31][1]} said", 0.5)] == [31]
+
+
 def test_reordered_and_edited_passages():
     item = WORDS[:40]
     index = D.Index([(9, " ".join(item))])

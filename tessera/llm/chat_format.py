@@ -20,6 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,20 +225,44 @@ def strip_marker(line: str) -> str:
     return line[m.end() :] if m else line
 
 
-def turns(text: str, states: list[int]) -> list[tuple[str, bool, str]]:
-    """(role, whether the turn began in an earlier chunk, content) of the turns in a chunk."""
+def parts(text: str, states: list[int]) -> list[tuple[str, bool, str]]:
+    """(role, whether the turn began in an earlier chunk, lines but for the marker) of the turns in a chunk."""
     out: list[list] = []
     for line, s in zip(text.split("\n"), states, strict=True):
         if s % 3 == 0 or not out:
             out.append([ROLES[s // 3], s % 3 != 0, [strip_marker(line) if s % 3 == 0 else line]])
         else:
             out[-1][2].append(line)
-    return [(role, going, _END.sub("", "\n".join(body).strip("\n"))) for role, going, body in out]
+    return [(role, going, "\n".join(body)) for role, going, body in out]
+
+
+def _content(body: str) -> str:
+    return _END.sub("", body.strip("\n"))
+
+
+def turns(text: str, states: list[int]) -> list[tuple[str, bool, str]]:
+    """(role, whether the turn began in an earlier chunk, content) of the turns in a chunk."""
+    return [(role, going, _content(body)) for role, going, body in parts(text, states)]
+
+
+#: What a reader of the canonical form, or of a near one, could take for a control token: `<|name|>`.
+_CONTROL = re.compile(r"<(?=\|[^\s|<>]{1,64}\|>)")
 
 
-def render(role: str, content: str, going: bool) -> str:
-    """Canonical form of a turn, or of a part that continues one."""
-    return f"{content}<|im_end|>\n" if going else f"<|im_start|>{role}\n{content.strip()}<|im_end|>\n"
+def escaped(content: str) -> str:
+    """Content in which nothing reads as a control token: a zero-width space parts the two signs that would open one."""
+    return _CONTROL.sub("<\u200b", content)
+
+
+def render(role: str, body: str, going: bool, ends: bool = True) -> str:
+    """Canonical form of a turn, or of a part of one: the parts of a turn, one after the other, give that of the whole turn.
+
+    A part that began earlier (going) follows a line break; one that goes on in a later chunk (not ends) is not closed. White space and an end mark go at a turn's
+    start and end; a blank line at a cut within a turn stays, also where the cut parts it from the turn's start or end. Control tokens in it are escaped()."""
+    said = body if going else body.lstrip()
+    if ends:
+        said = _END.sub("", said.rstrip("\n")).rstrip()
+    return ("\n" if going else f"<|im_start|>{role}\n") + escaped(said) + ("<|im_end|>\n" if ends else "")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -316,7 +341,7 @@ def format_transcripts(chunks: DataFrame, model: Model | None = None) -> DataFra
     """A row (SCHEMA) for each turn, or part of a turn, in each chunk (conv_id, seq, text) of a transcript. Without a model the fixed probabilities hold.
 
     Chunks of a conversation are read in order of seq (null first, ties by a hash of the text); those with the same seq and text are one
-    chunk to the model and are returned once for each row. Null or empty text: no turns. Rows with a null conv_id are one conversation. Very long
+    chunk to the model and are returned once for each row. A turn over several chunks is opened once and closed once: the parts' `rendered`, in order, are the turn's. Null or empty text: no turns. Rows with a null conv_id are one conversation. Very long
     texts are read whole; other columns, whatever their names, are ignored. Empty table: no rows."""
     spark = chunks.sparkSession
     ship(spark)
@@ -331,32 +356,56 @@ def format_transcripts(chunks: DataFrame, model: Model | None = None) -> DataFra
 
     each = rows.mapInArrow(fold_lines, "conv_id long, seq long, h long, mat array<double>").groupBy("conv_id", "seq", "h").agg(F.first("mat").alias("mat"))
     folded = written(global_row_number(each, "n", "conv_id", "seq", "h"), "chunks")
-    states = chunk_states(folded.select("conv_id", "n", "mat")).select("n", "before", "after")
+    states = written(chunk_states(folded.select("conv_id", "n", "mat")).select("n", "before", "after"), "states")
     named = states.join(folded.select("n", F.col("conv_id").alias("c2"), F.col("seq").alias("s2"), F.col("h").alias("h2")), "n")
     same: Column = F.col("conv_id").eqNullSafe(F.col("c2")) & F.col("seq").eqNullSafe(F.col("s2")) & (F.col("h") == F.col("h2"))
-    joined = rows.join(named, same).select("conv_id", "seq", "text", "before", "after")
+    joined = rows.join(named, same).select("conv_id", "seq", "text", "before", "after", "n")
+    joined = _with_open(joined, folded, shared)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "seq", "part", "role", "continues", "content", "rendered"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string())
         for batch in batches:
             out = []
-            for conv, seq, text, before, after in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for conv, seq, text, before, after, open_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 states = path([shared.value[symbol(line)] for line in text.split("\n")], before, after)
-                for part, (role, going, body) in enumerate(turns(text, states)):
-                    out.append((conv, seq, part, role, going, body, render(role, body, going)))
+                found = parts(text, states)
+                for part, (role, going, body) in enumerate(found):
+                    out.append((conv, seq, part, role, going, _content(body), render(role, body, going, not (open_ and part == len(found) - 1))))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return joined.mapInArrow(decode, SCHEMA)
 
 
+def _with_open(rows: DataFrame, folded: DataFrame, shared: Broadcast) -> DataFrame:
+    """conv_id, seq, text, before, after of the chunks (and n, their number) with `open`: whether a chunk's last turn goes on in the next one.
+
+    That is told by the state of the next chunk's first line. Chunks that are not the first of their conversation are decoded for it, and only their numbers go on; where each conversation is one chunk
+    nothing is decoded twice."""
+    spans = folded.groupBy("conv_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").select(F.col("conv_id").alias("c2"), "low")
+    several = written(spans, "spans")
+    columns = [F.col(c) for c in ("conv_id", "seq", "text", "before", "after")]
+    if several.isEmpty():
+        return rows.select(*columns, F.lit(False).alias("open"))
+    later = folded.select("conv_id", "n").join(several, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("n") > F.col("low"))).select("n")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [n for n, text, before, after in zip(*[c.to_pylist() for c in batch.columns], strict=True) if path([shared.value[symbol(line)] for line in text.split("\n")], before, after)[0] % 3]
+            yield pa.RecordBatch.from_arrays([pa.array([n - 1 for n in got], pa.int64())], ["n2"])
+
+    # Rows that repeat are one chunk.
+    open_ = rows.join(later, "n", "left_semi").select("n", "text", "before", "after").mapInArrow(first, "n2 long").distinct()
+    return rows.join(open_, F.col("n") == F.col("n2"), "left").select(*columns, F.col("n2").isNotNull().alias("open"))
+
+
 #: Fixed value: the spellings of as_transcripts() after whose turns a blank line follows, as Markdown has it.
 SPACED = (1, 4)
 
 
 def spelled(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of turns as the web has them: the spelling of the markers goes by conversation, one turn in four has
+    """conv_id, turn, role, text of turns as the web has them; a role outside the three gets a marker that the model does not know, so its turn reads as part of the one before. The spelling of the markers goes by conversation, one turn in four has
     none, and some spellings set turns apart by a blank line."""
     style = F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.lit(5))
     role = F.lower("role")
